@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import linededup, mixing, pii, urlfilter
+from . import linededup, mixing, ngram_join, pii, urlfilter
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"))
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_digest(table(spark, sf_dir, "documents"))
 
@@ -27,8 +31,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_url_filters, op8_line_dedup, op10_mixing)}
+    return {f.__name__: f for f in (op1_pii, op2_url_filters, op3_ngram_jaccard_join, op8_line_dedup, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_line_dedup": linededup.SQL}
+    return {"op3_ngram_jaccard_join": ngram_join.SQL, "op8_line_dedup": linededup.SQL}
