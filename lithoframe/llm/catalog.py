@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import linededup, mixing, ngram_join, pii, urlfilter
+from . import linededup, mixing, neardup, ngram_join, pii, topk, urlfilter
 from .common import table
 
 
@@ -22,6 +22,14 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op5_exact_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_digest(table(spark, sf_dir, "documents"))
 
@@ -31,8 +39,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_url_filters, op3_ngram_jaccard_join, op8_line_dedup, op10_mixing)}
+    return {f.__name__: f for f in (op1_pii, op2_url_filters, op3_ngram_jaccard_join, op5_exact_top_k_search, op6_embedding_near_dedup, op8_line_dedup, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_ngram_jaccard_join": ngram_join.SQL, "op8_line_dedup": linededup.SQL}
+    return {"op3_ngram_jaccard_join": ngram_join.SQL, "op5_exact_top_k_search": topk.SQL, "op6_embedding_near_dedup": neardup.SQL, "op8_line_dedup": linededup.SQL}

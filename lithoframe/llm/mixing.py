@@ -87,7 +87,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST, seed: int =
     return (
         placed.withColumn("taken", taken)
         .select("doc_id", "size", "source_size", "target", "taken", F.ceil(F.try_divide(F.col("taken"), F.col("size"))).cast("long").alias("passes"), position.alias("position"))
-        .repartitionByRange(F.col("position").asc_nulls_last()).sortWithinPartitions(F.col("position").asc_nulls_last(), "doc_id")
+        .repartitionByRange(F.col("position").asc_nulls_last(), "doc_id").sortWithinPartitions(F.col("position").asc_nulls_last(), "doc_id")
     )
 
 
