@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import linededup, mixing, neardup, ngram_join, pii, topk, urlfilter
+from . import linededup, mixing, neardup, ngram_join, pieces, pii, quality, sharding, topk, urlfilter
 from .common import table
 
 
@@ -22,6 +22,10 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op4_sentencepiece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents"))
+
+
 def op5_exact_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
@@ -30,16 +34,24 @@ def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_digest(table(spark, sf_dir, "documents"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_digest(table(spark, sf_dir, "documents"))
 
 
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_digest(table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_url_filters, op3_ngram_jaccard_join, op5_exact_top_k_search, op6_embedding_near_dedup, op8_line_dedup, op10_mixing)}
+    return {f.__name__: f for f in (op1_pii, op2_url_filters, op3_ngram_jaccard_join, op4_sentencepiece_encoding, op5_exact_top_k_search, op6_embedding_near_dedup, op7_quality_classifier, op8_line_dedup, op9_sharding, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -62,32 +62,32 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
 
 
 def with_kept_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """docs with struct column `_lines` (n_lines, n_dropped, kept); a null or empty text is one empty line.
+    """docs with struct column `__lf_lines` (n_lines, n_dropped, kept); a null or empty text is one empty line.
 
     Lines that stay are joined by newlines unchanged. Extra columns pass through, whatever their names."""
-    bitmaps = keep_bitmaps(docs, min_chars, min_docs).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("drops").alias("_drops"))
-    source = docs.withColumn("_hash_own", F.xxhash64("text"))
+    bitmaps = keep_bitmaps(docs, min_chars, min_docs).select(F.col("doc_id").alias("__lf_id"), F.col("text_hash").alias("__lf_hash"), F.col("drops").alias("__lf_drops"))
+    source = docs.withColumn("__lf_own", F.xxhash64("text"))
     lines = F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1)
-    joined = source.join(bitmaps, (source["doc_id"] == bitmaps["_id"]) & (source["_hash_own"] == bitmaps["_hash"]), "left")
-    dropped = F.coalesce(F.size("_drops"), F.lit(0))
-    kept_at = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_drops"))
-    kept = F.when(F.col("_drops").isNull(), F.coalesce(F.col("text"), F.lit(""))).otherwise(
+    joined = source.join(bitmaps, (source["doc_id"] == bitmaps["__lf_id"]) & (source["__lf_own"] == bitmaps["__lf_hash"]), "left")
+    dropped = F.coalesce(F.size("__lf_drops"), F.lit(0))
+    kept_at = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__lf_drops"))
+    kept = F.when(F.col("__lf_drops").isNull(), F.coalesce(F.col("text"), F.lit(""))).otherwise(
         F.array_join(F.transform(kept_at, lambda i: F.get(lines, i)), "\n")
     )
     return joined.select(
         *[docs[c] for c in docs.columns],
-        F.struct(F.size(lines).cast("long").alias("n_lines"), dropped.cast("long").alias("n_dropped"), kept.alias("kept")).alias("_lines"),
+        F.struct(F.size(lines).cast("long").alias("n_lines"), dropped.cast("long").alias("n_dropped"), kept.alias("kept")).alias("__lf_lines"),
     )
 
 
 def line_digest(docs: DataFrame) -> DataFrame:
     out = with_kept_lines(docs)
-    return out.select("doc_id", F.col("_lines.n_lines").alias("n_lines"), F.col("_lines.n_dropped").alias("n_dropped"), F.sha2(F.col("_lines.kept"), 256).alias("kept_sha256"))
+    return out.select("doc_id", F.col("__lf_lines.n_lines").alias("n_lines"), F.col("__lf_lines.n_dropped").alias("n_dropped"), F.sha2(F.col("__lf_lines.kept"), 256).alias("kept_sha256"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """docs with the lines that lost taken out of text; the other columns and the row order of columns stay."""
-    return with_kept_lines(docs).select(*[F.when(F.col("text").isNull(), F.col("text")).otherwise(F.col("_lines.kept")).alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    return with_kept_lines(docs).select(*[F.when(F.col("text").isNull(), F.col("text")).otherwise(F.col("__lf_lines.kept")).alias("text") if c == "text" else F.col(c) for c in docs.columns])
 
 
 SQL = r"""

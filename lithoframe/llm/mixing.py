@@ -94,10 +94,10 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST, seed: int =
 def mixed_documents(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST) -> DataFrame:
     """docs with each row as often as the mix takes it: taken / size, rounded, so the one document a source's last pass
     cuts stays whole or goes. Rows the mix doesn't reach go; columns stay as they are."""
-    plan = mix(docs, weights, most).select(F.col("doc_id").alias("_id"), F.round(F.try_divide(F.col("taken"), F.col("size"))).cast("int").alias("_times")).where("_times > 0")
+    plan = mix(docs, weights, most).select(F.col("doc_id").alias("__lf_id"), F.round(F.try_divide(F.col("taken"), F.col("size"))).cast("int").alias("__lf_times")).where("__lf_times > 0")
     # rows that repeat a doc_id are numbered on both sides alike, so that none multiplies the other
     nth = lambda key: F.row_number().over(W.partitionBy(key).orderBy(F.lit(1)))
-    own = docs.withColumn("_nth", nth("doc_id"))
-    plan = plan.withColumn("_nth_of", nth("_id"))
-    joined = own.join(plan, own["doc_id"].eqNullSafe(plan["_id"]) & (own["_nth"] == plan["_nth_of"]))
-    return joined.select(*[own[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_pass")).drop("_pass")
+    own = docs.withColumn("__lf_nth", nth("doc_id"))
+    plan = plan.withColumn("__lf_nth_of", nth("__lf_id"))
+    joined = own.join(plan, own["doc_id"].eqNullSafe(plan["__lf_id"]) & (own["__lf_nth"] == plan["__lf_nth_of"]))
+    return joined.select(*[own[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("__lf_times"))).alias("__lf_pass")).drop("__lf_pass")

@@ -193,8 +193,8 @@ def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> D
     """The rows of docs whose doc_id is their component's smallest, one for each doc_id and text that repeats; those without
     shingles or doc_id stay."""
     found = jaccard_components(docs, k, num, den)
-    gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(gone, docs["doc_id"] == F.col("_id"), "left_anti")
+    gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias("__lf_id")).distinct()
+    kept = docs.join(gone, docs["doc_id"] == gone["__lf_id"], "left_anti")
     return kept
 
 
