@@ -14,6 +14,7 @@ WEIGHTS, MOST = (5, 2, 1), 3
 SLOPES = (-0.5, 0.0, 0.5)
 #: Documents of a source that one task orders at most, on average.
 BUCKET_DOCS = 20_000
+SEED = 20
 
 
 def word_count(text: Column) -> Column:
@@ -53,7 +54,7 @@ def when_reached(share: Column, slope: Column) -> Column:
     return F.when(slope == 0, share).otherwise((1 + slope - inside) / (2 * slope) + 0.0)
 
 
-def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST, seed: int = 20) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST, seed: int = SEED) -> DataFrame:
     """One row per row of docs: doc_id, size, source_size, target, taken, passes, position, range-sorted by position.
 
     Each source is an endless reel of its documents in a seeded hash order; the mix plays target words of it, so every
@@ -62,8 +63,17 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST, seed: int =
     taken 0 and null position. A source's reel is cut into hash buckets whose totals are added up first, so the
     order within a hot source is never one task's. Null text has size 0; a null source is a source of its own; repeated
     rows each count. Other columns are ignored."""
+    last = F.col("position").asc_nulls_last()
+    return _placed(docs, weights, most, seed).drop("order").repartitionByRange(last, "doc_id").sortWithinPartitions(last, "doc_id")
+
+
+def _order(seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), "doc_id", F.xxhash64("text"))
+
+
+def _placed(docs: DataFrame, weights: tuple, most: int, seed: int) -> DataFrame:
     base = Written(
-        docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), "doc_id", F.xxhash64("text")).alias("order")),
+        docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), _order(seed).alias("order")),
         "sizes",
     )
     sizes = base.df.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
@@ -84,20 +94,20 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST, seed: int =
     partial = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("at")))
     taken = (whole * F.col("size") + partial).cast("long")
     position = F.when(F.col("taken") > 0, when_reached(F.try_divide(F.col("at").cast("double"), F.col("target")), F.col("slope")))
-    return (
-        placed.withColumn("taken", taken)
-        .select("doc_id", "size", "source_size", "target", "taken", F.ceil(F.try_divide(F.col("taken"), F.col("size"))).cast("long").alias("passes"), position.alias("position"))
-        .repartitionByRange(F.col("position").asc_nulls_last(), "doc_id").sortWithinPartitions(F.col("position").asc_nulls_last(), "doc_id")
-    )
+    passes = F.ceil(F.try_divide(F.col("taken"), F.col("size"))).cast("long")
+    return placed.withColumn("taken", taken).select("doc_id", "size", "source_size", "target", "taken", passes.alias("passes"), position.alias("position"), "order")
 
 
 def mixed_documents(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST) -> DataFrame:
     """docs with each row as often as the mix takes it: taken / size, rounded, so the one document a source's last pass
     cuts stays whole or goes. Rows the mix doesn't reach go; columns stay as they are."""
-    plan = mix(docs, weights, most).select(F.col("doc_id").alias("__lf_id"), F.round(F.try_divide(F.col("taken"), F.col("size"))).cast("int").alias("__lf_times")).where("__lf_times > 0")
-    # rows that repeat a doc_id are numbered on both sides alike, so that none multiplies the other
-    nth = lambda key: F.row_number().over(W.partitionBy(key).orderBy(F.lit(1)))
-    own = docs.withColumn("__lf_nth", nth("doc_id"))
-    plan = plan.withColumn("__lf_nth_of", nth("__lf_id"))
-    joined = own.join(plan, own["doc_id"].eqNullSafe(plan["__lf_id"]) & (own["__lf_nth"] == plan["__lf_nth_of"]))
-    return joined.select(*[own[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("__lf_times"))).alias("__lf_pass")).drop("__lf_pass")
+    times = F.round(F.try_divide(F.col("taken"), F.col("size"))).cast("int")
+    plan = _placed(docs, weights, most, SEED).select(F.col("order").alias("__lf_order"), times.alias("__lf_times")).where("__lf_times > 0")
+    plan = Written(plan.groupBy("__lf_order").agg(F.sort_array(F.collect_list("__lf_times")).alias("__lf_times")), "mix").df
+    joined = docs.withColumn("__lf_own", _order(SEED)).join(small(plan), F.col("__lf_own") == F.col("__lf_order"))
+    # a row that repeats takes the times of one of its kind; all others have one entry
+    nth = F.row_number().over(W.partitionBy("__lf_own").orderBy(F.lit(1)))
+    one = joined.where(F.size("__lf_times") == 1).withColumn("__lf_n", F.lit(1))
+    some = joined.where(F.size("__lf_times") > 1).withColumn("__lf_n", nth)
+    both = one.unionAll(some).withColumn("__lf_n", F.get("__lf_times", F.col("__lf_n") - 1)).where("__lf_n > 0")
+    return both.withColumn("__lf_n", F.explode(F.sequence(F.lit(1), F.col("__lf_n")))).select(*docs.columns)
