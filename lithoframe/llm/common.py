@@ -56,7 +56,9 @@ class Written:
         self.df = self.spark.read.schema(schema).parquet(self.path)
 
     def drop(self) -> None:
+        """Deletes the table, and lets Spark delete the shuffle files of the steps that are done."""
         remove_path(self.spark, self.path)
+        self.spark.sparkContext._jvm.System.gc()
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

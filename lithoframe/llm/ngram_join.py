@@ -1,10 +1,11 @@
 """Exact Jaccard self-join on word shingles, filtered by prefixes under several global token orders.
 
 Texts with equal shingle sets become one node first. Under order A, the order of the hashes, a node's list is its prefix
-long enough that two linked nodes share `need` tokens of their lists. Order B puts the tokens of all lists by how many
-nodes hold them, rarest first; within its list, a node's B-prefix must share a token with its partner's. Order C is
-another hash order of whole sets; their C-prefixes must share a token, too. Only pairs that pass all three, and whose
-sizes allow a link, are verified on whole sets.
+long enough that two linked nodes share a known number of tokens of their lists. Nodes whose lists share too few tokens
+with all others have no partner. Order B puts the tokens of the whole sets of the nodes left by how many of them hold a
+token, rarest first; a node's B-prefix must share a token with its partner's. Order C is another hash order of whole sets;
+their C-prefixes must share a token, too. Only pairs that pass all three, and whose sizes allow a link, are verified on
+whole sets.
 
 Inside a bucket of nodes that share a B-prefix token, members are verified against the bucket's leader first and joined
 into components; then only pairs that stand in different components are left, so a large group of near copies costs a
@@ -23,7 +24,7 @@ from . import textkernels as tk
 from .common import Written, components, small
 
 #: Rounds of verification against leaders before all pairs that remain are verified.
-LEADER_ROUNDS = 3
+LEADER_ROUNDS = 2
 #: Bytes of a hash that verification compares: within a pair of sets, two different shingles agree with odds of n^2 / 2^48.
 PACKED = 6
 
@@ -86,6 +87,15 @@ def _unpack(b: bytes) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each token of packed sets."""
+    for batch in batches:
+        sets = [_unpack(b.as_py()) for b in batch.column(1)]
+        sizes = np.array([len(x) for x in sets])
+        rows = np.repeat(np.arange(len(sets)), sizes)
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(sizes[rows]), pa.array(np.concatenate(sets or [np.zeros(0, np.uint64)]).view(np.int64))], names=["doc_id", "n", "tok"])
+
+
 def _verify(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -138,23 +148,28 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
     many = nodes.groupBy("doc_id").agg(F.min("f1").alias("lo"), F.max("f1").alias("hi")).where("lo <> hi").select("doc_id")
     ties = named.select("doc_id", "rep").where("doc_id <> rep").join(many, "doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
 
+    # order A: nodes whose lists share enough tokens with other lists
     tokens = named.where("doc_id = rep").select("doc_id", "n", F.explode("list").alias("tok"))
-    held = tokens.groupBy("tok").agg(F.count("*").alias("df")).where("df > 1")
-    shared = tokens.join(held, "tok").groupBy("doc_id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "tok"))).alias("list"))
-    shared = shared.withColumn("least_n", F.expr(f"({num} * n + {den - 1}) div {den}"))
-    slots = (F.size("list") - _need(F.col("least_n"), num, den) + 1).cast("int")
-    b_prefix = shared.where(slots > 0).select("doc_id", F.explode(F.slice("list", F.lit(1), slots)).alias("x")).select("doc_id", F.col("x.tok").alias("tok"))
-    members = Written(b_prefix, "members")
-    digest_ids = digest.df.select("doc_id", "n", "f1", "f2")
+    held = tokens.groupBy("tok").agg(F.count("*").alias("df")).where("df > 1").select("tok")
+    shared = tokens.join(held, "tok").groupBy("doc_id", "n").agg(F.count("*").alias("s")).withColumn("least_n", F.expr(f"({num} * n + {den - 1}) div {den}"))
+    ids = Written(shared.where(F.col("s") >= _need(F.col("least_n"), num, den)).select(F.col("doc_id").alias("__lf_id")).distinct(), "open-ids")
+    digest_ids = Written(digest.df.select("doc_id", "n", "f1", "f2"), "digest-ids").df
+    links = Written(ties, "links")
+    digest.drop()
+    text = docs.select("doc_id", "text").join(small(ids.df), F.col("doc_id") == F.col("__lf_id"), "left_semi")
+    sets = Written(text.mapInArrow(_sets(k, num, den), f"doc_id {kind}, n long, head array<int>, packed binary").where("n > 0"), "sets")
+    ids.drop()
 
+    # order B: rarest first in whole sets; o tokens of n must be shared, so the first n - o + 1 hold one of them
+    tokens = sets.df.select("doc_id", "packed").mapInArrow(_tokens, f"doc_id {kind}, n long, tok long")
+    held = tokens.groupBy("tok").agg(F.count("*").alias("df")).where("df > 1")
+    ranked = tokens.join(held, "tok").groupBy("doc_id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "tok"))).alias("list"))
+    slots = (F.size("list") - F.expr(f"({num} * n + {den - 1}) div {den}") + 1).cast("int")
+    members = Written(ranked.where(slots > 0).select("doc_id", F.explode(F.slice("list", F.lit(1), slots)).alias("x")).select("doc_id", F.col("x.tok").alias("tok")), "members")
     twice = members.df.groupBy("tok").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi")
     open_ = Written(members.df.join(twice.select("tok"), "tok").distinct(), "open")
     members.drop()
-    ids = Written(open_.df.select(F.col("doc_id").alias("_id")).distinct(), "open-ids")
-    text = docs.select("doc_id", "text").join(small(ids.df), F.col("doc_id") == F.col("_id"), "left_semi")
-    sets = Written(text.mapInArrow(_sets(k, num, den), f"doc_id {kind}, n long, head array<int>, packed binary").where("n > 0"), "sets")
 
-    links = Written(ties, "links")
     found = [links]
     labels = components(links.df)
     for turn in range(LEADER_ROUNDS + 1):
@@ -179,7 +194,6 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
                 edges = edges.unionAll(w.df)
             labels = components(edges)
     open_.drop()
-    ids.drop()
     sets.drop()
 
     labels = Written(labels.where("node <> component"), "labels")
