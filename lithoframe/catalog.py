@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple = ()
+from .plans import attribute_queries, spatial_queries
+
+MODULES: tuple = (attribute_queries, spatial_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -30,3 +30,19 @@ def zones(spark: SparkSession, sf_dir: str, side: float = 20018.0) -> DataFrame:
         (F.pmod(n, F.lit(5)) * side).alias("xmin"), (F.floor(n / 5.0) * side).alias("ymin"),
         (F.pmod(n, F.lit(5)) * side + side).alias("xmax"), (F.floor(n / 5.0) * side + side).alias("ymax"),
     )
+
+
+def in_frame(df: DataFrame, srid: int) -> DataFrame:
+    """df with its spatial reference noted; nothing is reprojected."""
+    return df.withMetadata(df.columns[0], {"srid": srid})
+
+
+def frame_of(df: DataFrame) -> int | None:
+    return next((f.metadata["srid"] for f in df.schema if "srid" in f.metadata), None)
+
+
+def same_frame(a: DataFrame, b: DataFrame) -> None:
+    """Refuses two layers in different frames."""
+    fa, fb = frame_of(a), frame_of(b)
+    if fa is not None and fb is not None and fa != fb:
+        raise ValueError(f"the layers are in frames {fa} and {fb}; reproject one of them first")
