@@ -118,7 +118,7 @@ def fit_lags(lag: np.ndarray, gamma: np.ndarray, weight: np.ndarray, kind: str,
             sill = float((w * unit * gamma).sum() / max((w * unit * unit).sum(), 1e-300))
             res = float((w * (gamma - sill * unit) ** 2).sum())
             if sill > 0 and (best is None or res < best.residual):
-                best = Model(kind, share * sill, sill, float(r), shape, residual=res)
+                best = Model(kind, float(share * sill), sill, float(r), shape, residual=res)
     require(best is not None, "no model fits these lags; they don't rise from zero")
     return best
 
