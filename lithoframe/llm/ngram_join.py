@@ -114,6 +114,21 @@ def _verify(num: int, den: int):
     return run
 
 
+def _all(found: list[Written]) -> DataFrame:
+    out = found[0].df
+    for w in found[1:]:
+        out = out.unionAll(w.df)
+    return out
+
+
+def _parts(edges: DataFrame) -> DataFrame:
+    """(node, component): a smaller node that edges lead to in one or two steps. Nodes of one part are connected; the whole
+    components come at the end."""
+    both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    low = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("m"))
+    return low.join(low.select(F.col("node").alias("m"), F.col("m").alias("component")), "m").select("node", "component")
+
+
 def _links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Those of pairs (a, b) that are links."""
     kind = pairs.schema["a"].dataType.simpleString()
@@ -171,7 +186,7 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
     members.drop()
 
     found = [links]
-    labels = components(links.df)
+    labels = _parts(links.df)
     for turn in range(LEADER_ROUNDS + 1):
         seen = open_.df.join(labels, open_.df["doc_id"] == labels["node"], "left").select("tok", "doc_id", F.coalesce("component", "doc_id").alias("part"))
         pick = F.struct(F.xxhash64(F.lit(turn), "doc_id").alias("h"), F.col("doc_id").alias("doc_id"), F.col("part").alias("part")) if turn else F.struct("doc_id", "part")
@@ -187,16 +202,12 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
             pairs = left.join(right, "tok").where("a < b AND part_a <> part").select("a", "b")
         links = Written(_links(pairs.distinct(), sets.df, num, den), "links")
         now.drop()
-        if not links.df.isEmpty():
-            found.append(links)
-            edges = found[0].df
-            for w in found[1:]:
-                edges = edges.unionAll(w.df)
-            labels = components(edges)
+        found.append(links)
+        labels = _parts(_all(found))
     open_.drop()
     sets.drop()
 
-    labels = Written(labels.where("node <> component"), "labels")
+    labels = Written(components(_all(found)).where("node <> component"), "labels")
     out = digest_ids.join(small(copies.df), ["f1", "f2"], "left").withColumn("rep", F.when(F.col("n") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")))
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep"))
     result = out.join(small(labels.df), out["rep"] == labels.df["node"], "left")
