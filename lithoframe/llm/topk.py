@@ -32,7 +32,7 @@ def _search(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray,
     order = np.argsort(-(c.astype(float) ** 2).sum(axis=1), kind="stable")  # heavy dimensions first, so bounds close early
     q, c = q[order], c[order]
     if wide:  # beyond double precision: exact integers, without bounds
-        scores = c.astype(object).T @ q.astype(object)
+        scores = np.clip(c.astype(object).T @ q.astype(object), -(2**63), 2**63 - 1)
         out = [(i, j, int(scores[j, i])) for i in range(q.shape[1]) for j in sorted((j for j in range(len(c_ids)) if c_ids[j] != q_ids[i]), key=lambda j: (-scores[j, i], c_ids[j]))[:k]]
         return tuple(np.array([r[x] for r in out], np.int64) for x in range(3))
     q, c = q.astype(float), c.astype(float)
@@ -124,7 +124,7 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
 
     Both sides are cut into blocks of bounded size, each query block meets each candidate block once, and every meeting
     sends on k rows for a query. Rows that repeat a vec_id stand once, the one of greatest components. An empty vector
-    scores 0 with all; other columns are ignored."""
+    scores 0 with all; scores that a long can't hold are held to its ends; other columns are ignored."""
     spark = vectors.sparkSession
     base = Written(quantised(vectors).groupBy("vec_id").agg(F.max("v").alias("v")), "vectors")
     packed = "part long, ids binary, dims long, m binary"
