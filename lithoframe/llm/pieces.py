@@ -106,6 +106,103 @@ def segment_long(chars: list[str], rank: dict, key: int, limit: int) -> list[str
     return [p for p in piece if p is not None]
 
 
+class PairTable:
+    """Merges by their two pieces, for arrays of pairs: an open-addressed table of key, rank and merged piece."""
+
+    BITS, NONE = 19, np.int64(2**31 - 1)
+
+    def __init__(self, model: dict):
+        pieces, rank = model["pieces"], model["rank"]
+        found = [(pieces[p[:j]] * model["size"] + pieces[p[j:]], int(rank[p]), i) for p, i in pieces.items() for j in range(1, len(p)) if p[:j] in pieces and p[j:] in pieces]
+        self.size = model["size"]
+        self.keys = np.full(1 << self.BITS, -1, np.int64)
+        self.rank, self.merged = np.full(1 << self.BITS, self.NONE), np.zeros(1 << self.BITS, np.int64)
+        for key, r, i in found:
+            at = int(self._slot(np.array([key]))[0])
+            while self.keys[at] >= 0:
+                at = (at + 1) & ((1 << self.BITS) - 1)
+            self.keys[at], self.rank[at], self.merged[at] = key, r, i
+        self.char = np.full(0x110000, -1, np.int64)
+        for p, i in pieces.items():
+            if len(p) == 1 and p != SPACE:
+                self.char[ord(p)] = i
+        self.char[ord(" ")] = pieces[SPACE]
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.BITS)).astype(np.int64)
+
+    def find(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Slots of the merges of pairs; the rank there is NONE where there is no merge."""
+        key = left * self.size + right
+        at = self._slot(key)
+        seen = self.keys[at]
+        wrong = np.flatnonzero((seen != key) & (seen >= 0))
+        while len(wrong):
+            at[wrong] = (at[wrong] + 1) & ((1 << self.BITS) - 1)
+            seen = self.keys[at[wrong]]
+            wrong = wrong[(seen != key[wrong]) & (seen >= 0)]
+        return at
+
+
+def segment_batch(chars: np.ndarray, keys: np.ndarray, table: PairTable, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """(pieces [units, length], number of each): the agenda of many units of one length at once, each step taking one merge of
+    every unit; the same as segment_short."""
+    units, length = chars.shape
+    out, count = chars.copy(), np.full(units, length)
+    rows = np.arange(units)
+    ids, at = chars.copy(), np.tile(np.arange(length + 1), (units, 1))
+    slots = table.find(ids[:, :-1].ravel(), ids[:, 1:].ravel()).reshape(units, length - 1)
+    ranks = table.rank[slots]
+    keys = keys.astype(np.uint64)
+    columns = np.arange(length)
+    while ids.shape[1] > 1 and len(rows):
+        i = ranks.argmin(axis=1)
+        n = np.arange(len(rows))
+        live = ranks[n, i] < table.NONE
+        if not live.all():  # units that are done leave
+            gone = ~live
+            out[rows[gone], : ids.shape[1]] = ids[gone]
+            rows, ids, at, slots, ranks, keys, i = rows[live], ids[live], at[live], slots[live], ranks[live], keys[live], i[live]
+            n = n[: len(rows)]
+            if not len(rows):
+                break
+        if limit:
+            a, m, z = (at[n, i + k].astype(np.uint64) for k in range(3))
+            low = np.uint64(0xFFFFFFFF)
+            h = (keys ^ (a * np.uint64(73856093) + m * np.uint64(19349663) + z * np.uint64(83492791))) * np.uint64(2654435761) & low
+            drop = ((h ^ (h >> np.uint64(15))) * np.uint64(2246822519) & low) < np.uint64(limit)
+            ranks[n[drop], i[drop]] = table.NONE
+            do = ~drop
+        else:
+            do = np.ones(len(rows), bool)
+        r, k = n[do], i[do]
+        if not len(r):
+            continue
+        ids[r, k] = table.merged[slots[r, k]]
+        # what stands behind the merge moves up by one; the last column is stale and lies beyond each unit's count
+        count[rows[r]] -= 1
+        width = ids.shape[1]
+        move = columns[: width - 1] + (columns[: width - 1] > k[:, None])
+        ids[r, : width - 1] = np.take_along_axis(ids[r], move, 1)
+        ids[r, width - 1] = -1
+        edge = columns[:width] + (columns[:width] > k[:, None])
+        at[r, :width] = np.take_along_axis(at[r], edge, 1)
+        if width > 2:
+            step = columns[: width - 2] + (columns[: width - 2] >= k[:, None])
+            slots[r, : width - 2] = np.take_along_axis(slots[r], step, 1)
+            ranks[r, : width - 2] = np.take_along_axis(ranks[r], step, 1)
+        ranks[r, width - 2] = table.NONE
+        now = count[rows[r]]
+        for side in (k - 1, k):
+            ok = (side >= 0) & (side + 1 < now)
+            rr, kk = r[ok], side[ok]
+            found = table.find(ids[rr, kk], ids[rr, kk + 1])
+            slots[rr, kk], ranks[rr, kk] = found, table.rank[found]
+    if len(rows):
+        out[rows, : ids.shape[1]] = ids
+    return out, count
+
+
 class _Memory(dict):
     """unit -> its ids as little-endian 32-bit integers, for one variant of the key."""
 
@@ -122,6 +219,34 @@ class _Memory(dict):
             self[unit] = out
         return out
 
+    def learn(self, units: list[str], table: PairTable) -> None:
+        """Remembers all of these units; those of plain characters and usual length are encoded together."""
+        fresh = []
+        if len(self) + len(units) > self.most:
+            self.older = dict(self)
+            self.clear()
+        for u in set(units):
+            if u not in self:
+                known = self.older.get(u)
+                if known is None:
+                    fresh.append(u)
+                else:
+                    self[u] = known
+        fresh = [u for u in fresh if 1 < len(u) <= SHORT]
+        if not fresh:
+            return
+        lengths = np.array([len(u) for u in fresh])
+        chars = table.char[np.frombuffer("".join(fresh).encode("utf-32-le", "surrogatepass"), np.uint32)]
+        first = np.concatenate(([0], np.cumsum(lengths)))[:-1]
+        plain = np.minimum.reduceat(chars, first) >= 0
+        for n in np.unique(lengths[plain]).tolist():
+            own = np.flatnonzero(plain & (lengths == n))
+            keys = np.array([_key(fresh[i], self.seed, self.variant) for i in own], np.int64) if self.limit else np.zeros(len(own), np.int64)
+            ids, count = segment_batch(chars[first[own][:, None] + np.arange(n)], keys, table, self.limit)
+            flat, width = ids.astype("<i4").tobytes(), 4 * n
+            for j, (i, c) in enumerate(zip(own.tolist(), count.tolist())):
+                self[fresh[i]] = flat[j * width : j * width + 4 * c]
+
     def ids_of(self, unit: str) -> bytes:
         pieces, by_byte = self.model["pieces"], self.model["bytes"]
         key = _key(unit, self.seed, self.variant) if self.limit else 0
@@ -143,6 +268,7 @@ class Coder:
     def __init__(self, model: dict, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS):
         self.model = model
         self.memories = [_Memory(model, int(dropout * 2**32), seed, v, REMEMBERED // variants) for v in range(variants)]
+        self.table = PairTable(model)
         self.surface = [b""] * model["size"]
         for p, i in model["pieces"].items():
             self.surface[i] = p.replace(SPACE, " ").encode("utf-8", "surrogatepass")
@@ -153,13 +279,23 @@ class Coder:
         """ids of the text; none for null or empty. start: the variant of the first unit."""
         if not text:
             return np.zeros(0, np.int32)
-        units = _UNIT.findall(" " + text)
+        return self._ids(_UNIT.findall(" " + text), start)
+
+    def _ids(self, units: list[str], start: int) -> np.ndarray:
         v = len(self.memories)
         out: list[bytes] = [b""] * len(units)
         for k in range(min(v, len(units))):
             out[k::v] = map(self.memories[(k + start) % v].__getitem__, units[k::v])
         return np.frombuffer(b"".join(out), "<i4")
 
+    def encode_many(self, texts: list[str | None], starts: list[int]) -> list[np.ndarray]:
+        """encode of each, with the units that are new learnt together."""
+        v = len(self.memories)
+        units = [_UNIT.findall(" " + t) if t else [] for t in texts]
+        for k, memory in enumerate(self.memories):
+            memory.learn([u for own, s in zip(units, starts) for u in own[(k - s) % v :: v]], self.table)
+        return [self._ids(own, s) for own, s in zip(units, starts)]
+
     def decode(self, ids: np.ndarray) -> str:
         return b"".join(map(self.surface.__getitem__, ids.tolist()))[1:].decode("utf-8", "surrogatepass")
 
@@ -188,26 +324,21 @@ def encode(docs: DataFrame, model_path: str = MODEL, dropout: float = DROPOUT, s
         coder = _coder(shared, dropout, seed, variants)
         for batch in batches:
             names, texts = batch.column(0), batch.column(1)
-            first, ids, same, size = 0, [], [], 0
-
-            def out(stop: int) -> pa.RecordBatch:
+            starts = [zlib.crc32(str(n).encode(), seed) for n in names.to_pylist()]
+            first = 0
+            while first < batch.num_rows:
+                held, size = [], 0
+                while first + len(held) < batch.num_rows and size <= CHUNK_BYTES:
+                    held.append(texts[first + len(held)].as_py())
+                    size += len(held[-1] or "")
+                ids = coder.encode_many(held, starts[first : first + len(held)])
+                same = [coder.decode(x) == (t or "") for x, t in zip(ids, held)]
                 at = np.concatenate(([0], np.cumsum([len(x) for x in ids])))
-                flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-                return pa.RecordBatch.from_arrays(
-                    [names.slice(first, stop - first), pa.array(np.diff(at)), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat, pa.int32())), pa.array(same, pa.bool_())],
+                yield pa.RecordBatch.from_arrays(
+                    [names.slice(first, len(held)), pa.array(np.diff(at)), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(ids), pa.int32())), pa.array(same, pa.bool_())],
                     names=["doc_id", "n_tokens", "ids", "lossless"],
                 )
-
-            for i in range(batch.num_rows):
-                text, name = texts[i].as_py(), names[i].as_py()
-                own = coder.encode(text, zlib.crc32(str(name).encode(), seed))
-                ids.append(own), same.append(coder.decode(own) == (text or ""))
-                size += len(text or "")
-                if size > CHUNK_BYTES:
-                    yield out(i + 1)
-                    first, ids, same, size = i + 1, [], [], 0
-            if ids:
-                yield out(batch.num_rows)
+                first += len(held)
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids array<int>, lossless boolean")
 

@@ -46,6 +46,15 @@ def test_list_and_heap_agree(model):
     assert pieces.segment_short(list("there"), model["rank"], 99, 2**32) == list("there")
 
 
+def test_batches_equal_single_texts(model):
+    r = random.Random(8)
+    texts = [t for t in TEXTS if t] + ["".join(r.choice("theranoing \n.,éßAB12▁😀") for _ in range(r.randint(1, 400))) for _ in range(200)]
+    for p in (0.0, 0.1, 0.5, 1.0):
+        starts = [r.randrange(9) for _ in texts]
+        many, one = pieces.Coder(model, p).encode_many(texts, starts), pieces.Coder(model, p)
+        assert [x.tolist() for x in many] == [one.encode(t, s).tolist() for t, s in zip(texts, starts)]
+
+
 def test_round_trip_of_a_table(docs_of):
     rows = [*enumerate(TEXTS), (None, "no id"), (4, TEXTS[4])]
     got = pieces.encode(docs_of(rows))
