@@ -2,6 +2,7 @@
 
 import json
 import math
+import shutil
 
 import numpy as np
 import pytest
@@ -112,6 +113,7 @@ def test_store_versions_pruning_and_conflicts(spark, sf_dir, tmp_path):
         registry.apply_edits(layer, spark.createDataFrame([(-5, 1, True)], "id long, seq int, deleted boolean"))
     bounds = store.row_group_bounds(f"file://{tmp_path}/layer/v1")
     assert bounds and all(b["xmin"] <= b["xmax"] for b in bounds)
+    spark.conf.set("spark.sql.maxMetadataStringLength", 4000)
     plan = s.read().where(attributes.overlaps_box("bbox", (0.0, 0.0, 9.0, 9.0)))._jdf.queryExecution().executedPlan().toString()
     assert "LessThanOrEqual(bbox.xmin" in plan
 
@@ -149,7 +151,9 @@ def test_archives_are_held_to_limits(tmp_path):
 
 def test_streams_match_batches(spark, sf_dir, tmp_path):
     events = table(spark, sf_dir, "events")
-    stream = windows.stream_events(spark, f"{sf_dir}/events.parquet", events.schema)
+    (tmp_path / "in").mkdir()
+    shutil.copy(f"{sf_dir}/events.parquet", tmp_path / "in")
+    stream = windows.stream_events(spark, str(tmp_path / "in"), events.schema)
     q = windows.tumbling(stream, late="2 days").writeStream.outputMode("complete").format("memory").queryName("tumbled").trigger(availableNow=True).start()
     q.awaitTermination()
     want = {(r.start, r.event_type): r.n for r in windows.tumbling(events.withColumn("ts", F.col("ts").cast("timestamp"))).collect()}
