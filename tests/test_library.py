@@ -195,3 +195,57 @@ def test_resolution_policies_and_catalogue(spark):
     for policy, want in (("largest", {1: 5.0, 2: 7.0}), ("common", {1: 5.0, 2: 7.0}), ("sum_numeric", {1: 10.0, 2: 7.0})):
         assert {r.g: r.v for r in aggregate.resolve_attributes(df, "g", ["v"], F.col("area"), policy).collect()} == want
     assert len(aggregate.operations()) == 15
+
+
+def test_tiles_are_decodable_by_hand():
+    from lithoframe.functions import mvt
+
+    assert mvt.encode_layer("a", []) == b""
+    assert mvt.commands("Point", (25, 17)) == [9, 50, 34]
+    assert mvt.commands("LineString", [(2, 2), (2, 10), (10, 10)]) == [9, 4, 4, 18, 0, 16, 16, 0]
+    assert mvt.commands("Polygon", [[(3, 6), (8, 12), (20, 34), (3, 6)]]) == [9, 6, 12, 18, 10, 12, 24, 44, 15]
+    assert mvt.commands("MultiPoint", [(5, 7), (3, 2)]) == [9, 10, 14, 9, 3, 9]
+    tile = mvt.encode_layer("pts", [(1, "Point", (25, 17), {"k": "v", "n": 1.5})])
+    assert tile[0] == 0x1A and b"pts" in tile and b"v" in tile
+
+
+def test_trends_recover_what_made_the_data():
+    from lithoframe.operators import trend
+
+    r = np.random.default_rng(2)
+    x = r.random((300, 2)) + 0.5
+    for name, theta in (("linear", [1.0, 2.0, -1.0]), ("loglinear", [0.1, 0.5, 0.2]), ("cobb_douglas", [0.3, 0.6, 0.2])):
+        f = trend.preset(name, 2)
+        y = f.f(x, np.array(theta)) + r.normal(size=300) * 0.01
+        got, cov = trend.gls(x, y, f)
+        assert np.allclose(got, theta, atol=0.05) and not trend.unidentified(f, got, cov) and (trend.trend_variance(x, f, got, cov) > 0).all()
+    assert trend.turning(x, trend.Form("hump", ("a",), lambda x, t: -((x[:, 0] - 1) ** 2), (0.0,)), np.array([0.0])) == [0]
+    with pytest.raises(ValueError):
+        trend.parse_expression("__import__('os').system('x')", {"x": F.lit(1.0)})
+
+
+def test_reml_finds_the_range():
+    from lithoframe.operators import trend
+
+    r = np.random.default_rng(4)
+    xy = r.random((250, 2)) * 100
+    true = variogram.Model("exponential", 0.05, 1.0, 30.0)
+    c = true.covariance(np.hypot(xy[:, None, 0] - xy[None, :, 0], xy[:, None, 1] - xy[None, :, 1]))
+    z = np.linalg.cholesky(c + 1e-9 * np.eye(250)) @ r.normal(size=250)
+    got = trend.fit_reml(xy, z, np.ones((250, 1)), variogram.Model("exponential", 0.2, 0.5, 10.0))
+    assert 12 < got.range < 80 and 0.3 < got.sill < 3
+
+
+def test_documents(spark):
+    from datetime import date
+
+    from lithoframe.operators import documents as D
+
+    assert len(D.short_code()) == 6 and D.filename("My Layer (1)", "csv", date(2024, 1, 2)) == "my_layer_1_20240102.csv"
+    assert D.normalise_layers([{"id": 1}]) == [{"id": 1, "visible": True, "opacity": 1.0}]
+    for bad in (lambda: D.normalise_layers([{"id": 1}, {"id": 1}]), lambda: D.normalise_view({"bbox": [1, 1, 0, 2]}), lambda: D.normalise_view({"zoom": 99})):
+        with pytest.raises(LayerError):
+            bad()
+    f = D.Flags()
+    f.add("few_points", "warning", "there are few points", n=3)
+    assert f.frame(spark).first().details == {"n": "3"} and D.caption({"title": "A", "date": 2024}) == "A · 2024"
