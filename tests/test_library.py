@@ -209,7 +209,7 @@ def test_tiles_are_decodable_by_hand():
     assert tile[0] == 0x1A and b"pts" in tile and b"v" in tile
 
 
-def test_trends_recover_what_made_the_data():
+def test_trends_recover_what_made_the_data(spark):
     from lithoframe.operators import trend
 
     r = np.random.default_rng(2)
