@@ -47,7 +47,7 @@ def _digests(k: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, f1, f2, lists, at = [], [], [], [], [0]
-            for s in tk.shingle_sets(batch.column(1).to_pylist(), k):
+            for s in tk.shingle_sets(tk.values(batch.column(1)), k):
                 a, b = tk.fingerprint(s)
                 own = np.zeros(0, np.uint64)
                 if len(s):
@@ -67,7 +67,7 @@ def _sets(k: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, heads, at, packed = [], [], [0], []
-            for s in tk.shingle_sets(batch.column(1).to_pylist(), k):
+            for s in tk.shingle_sets(tk.values(batch.column(1)), k):
                 o, _ = _limits(len(s), num, den)
                 other = np.sort(tk.mix(s ^ np.uint64(0xC2B2AE3D27D4EB4F)))[: len(s) - o + 1] if len(s) else s
                 n.append(len(s)), heads.append((other >> np.uint64(32)).astype(np.uint32)), at.append(at[-1] + len(other))

@@ -23,8 +23,8 @@ DROPOUT, SEED, VARIANTS = 0.1, 13, 4
 #: Units longer than this go through a heap; a list is faster below.
 SHORT = 48
 #: Units of all variants in new memories; a full one becomes the older one, which is looked up before encoding anew.
-REMEMBERED = 400_000
-CHUNK_BYTES = 2_000_000
+REMEMBERED = 160_000
+CHUNK_BYTES = 1_000_000
 SPACE = "▁"
 _UNIT = re.compile(r" *[^ \n]+| +|\n")
 _NEVER = float("inf")
@@ -222,10 +222,11 @@ class _Memory(dict):
     def learn(self, units: list[str], table: PairTable) -> None:
         """Remembers all of these units; those of plain characters and usual length are encoded together."""
         fresh = []
-        if len(self) + len(units) > self.most:
+        distinct = set(units)
+        if len(self) + len(distinct) > self.most:
             self.older = dict(self)
             self.clear()
-        for u in set(units):
+        for u in distinct:
             if u not in self:
                 known = self.older.get(u)
                 if known is None:

@@ -7,7 +7,7 @@ document whole."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -50,7 +50,7 @@ def _function_hashes() -> np.ndarray:
     return np.unique(tk.word_hashes(buf, starts, ends))
 
 
-def measure(texts: list[str | None]) -> Iterator[tuple]:
+def measure(texts: Iterable[str | None]) -> Iterator[tuple]:
     """For runs of texts: (counts of words, statistics [rows, 8], word hashes, shape hashes); statistics are shares of
     symbols and of capitals, of function words, separators, distinct words, words that end a sentence,
     word length, and words that repeat the one before."""
@@ -124,7 +124,7 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> dic
 
 def _codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out = [votes(c, s) @ (3 ** np.arange(len(LABELLERS))) for c, s, _, _ in measure(batch.column(1).to_pylist())]
+        out = [votes(c, s) @ (3 ** np.arange(len(LABELLERS))) for c, s, _, _ in measure(tk.values(batch.column(1)))]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(out or [np.zeros(0, np.int64)]), pa.int64())], names=["doc_id", "pattern"])
 
 
@@ -142,7 +142,7 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     size = SHAPES + WORDS + STATS
     for batch in batches:
         codes, at, features, values = [], [0], [], []
-        for counts, stats, words, shapes in measure(batch.column(0).to_pylist()):
+        for counts, stats, words, shapes in measure(tk.values(batch.column(0))):
             codes.append(votes(counts, stats) @ (3 ** np.arange(len(LABELLERS))))
             row, f, v = hashed(counts, stats, words, shapes)
             cell, where = np.unique(row * size + f, return_inverse=True)
@@ -200,7 +200,7 @@ def classify(docs: DataFrame, model: dict | None = None, threshold: float = THRE
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for counts, stats, words, shapes in measure(batch.column(at).to_pylist()):
+            for counts, stats, words, shapes in measure(tk.values(batch.column(at))):
                 n = len(counts)
                 row = np.repeat(np.arange(n), counts)
                 z = np.bincount(row, weights[(shapes % np.uint64(SHAPES)).astype(np.int64)] + weights[SHAPES + (words % np.uint64(WORDS)).astype(np.int64)], n) / (counts + SHORT)

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
 #: Texts are taken together up to this many bytes; a longer text is taken alone, whole.
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1_000_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
@@ -41,7 +41,12 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def chunks(texts: list[str | None]) -> Iterator[tuple[int, list[bytes]]]:
+def values(column) -> Iterator[str | None]:
+    """The texts of an Arrow column one by one, so that a batch is never a list of strings as well."""
+    return (x.as_py() for x in column)
+
+
+def chunks(texts: Iterable[str | None]) -> Iterator[tuple[int, list[bytes]]]:
     """(index of the first, encoded texts) in runs of at most CHUNK_BYTES; null is the empty text."""
     first, held, size = 0, [], 0
     for i, t in enumerate(texts):
@@ -75,7 +80,7 @@ def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bo
     return mix((sums[ends] - sums[starts]) * _power(_INVERSE, n, "q")[starts])
 
 
-def shingle_sets(texts: list[str | None], k: int) -> Iterator[np.ndarray]:
+def shingle_sets(texts: Iterable[str | None], k: int) -> Iterator[np.ndarray]:
     """Each text's sorted distinct hashes of its k-word shingles, A-Z lower-cased; with fewer words, of the whole sequence;
     without words, empty."""
     for _, encoded in chunks(texts):
