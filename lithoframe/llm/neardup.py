@@ -2,8 +2,9 @@
 
 Each pass hashes a vector by the signs of its projections on BITS random directions, one after the other, and orders the
 vectors of a label lexicographically by these bits; neighbours in that order are compared by exact cosine. A window goes
-on from block to block as long as it finds links, so a group larger than a window is compared whole. Pairs verified in any
-pass are united."""
+on from block to block as long as it finds links, so a group larger than a window is compared whole. The verified pairs of
+a window leave it as the edges of a forest, one for each vector, and the passes' forests are united to components. Links are
+then counted inside each component, block by block, by exact cosine: no pair is ever a row."""
 
 from __future__ import annotations
 
@@ -18,6 +19,8 @@ from .common import Written, components, small
 
 #: Passes, hash bits of each, and rows of a block: a row meets its own block and the next at least.
 PASSES, BITS, BLOCK = 12, 32, 256
+#: Vectors of a block of links counted, on average.
+COUNT_BLOCK = 512
 SIMILAR = 0.98
 
 
@@ -43,49 +46,103 @@ def _codes(passes: int, bits: int):
     return run
 
 
-def _windows(similar: float, block: int):
-    def links(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        return x @ y.T >= similar
+def _unit(m: np.ndarray) -> np.ndarray:
+    return m / np.sqrt((m * m).sum(axis=1))[:, None]
+
+
+def forest(links: np.ndarray) -> np.ndarray:
+    """The least index that each of the columns is connected to, by links [rows, columns] between the last columns and all."""
+    rows, columns = links.shape
+    label, far = np.arange(columns), columns
+    while True:
+        own = np.minimum(label[columns - rows :], np.where(links, label[None, :], far).min(axis=1))
+        new = label.copy()
+        new[columns - rows :] = own
+        new = np.minimum(new, np.where(links, own[:, None], far).min(axis=0))
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
 
+def _windows(similar: float, block: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by turn, label and code; the last blocks of a run of equal (turn, label) are kept while they
-        still link with what follows."""
-        held: list[tuple[np.ndarray, np.ndarray]] = []  # (ids, unit vectors) of the last block and of earlier ones still open
-        key, ids, rows = None, [], []
+        """Rows come sorted by turn, label and code; the vectors of earlier blocks of a run of equal (turn, label) are kept
+        while they still link with what follows, those of the last block always."""
+        ids, units = np.zeros(0, np.int64), np.zeros((0, 0))
+        key, new, rows = None, [], []
 
         def close() -> Iterator[pa.RecordBatch]:
-            nonlocal held, ids, rows
-            if not ids:
+            nonlocal ids, units, new, rows
+            if not new:
                 return
-            own, m = np.array(ids, np.int64), np.stack(rows)
-            m = m / np.sqrt((m * m).sum(axis=1))[:, None]
-            a, b = np.nonzero(np.triu(links(m, m), 1))
-            out = [(own[a], own[b])]
-            still = []
-            for n, (past, pm) in enumerate(reversed(held)):
-                a, b = np.nonzero(links(pm, m))
-                out.append((past[a], own[b]))
-                if len(a):
-                    still.append((past[np.unique(a)], pm[np.unique(a)]))
-            held = [*reversed(still), (own, m)]
-            ids, rows = [], []
-            a, b = (np.concatenate([o[i] for o in out]) for i in (0, 1))
+            own, m = np.array(new, np.int64), _unit(np.stack(rows))
+            ids, units = (np.concatenate((ids, own)), np.concatenate((units, m))) if len(ids) else (own, m)
+            links = m @ units.T >= similar
+            label = forest(links)
+            at = np.flatnonzero(label != np.arange(len(label)))
+            a, b = ids[label[at]], ids[at]
+            past = len(ids) - len(own)
+            keep = np.concatenate((links[:, :past].any(axis=0), np.ones(len(own), bool)))
+            ids, units = ids[keep], units[keep]
+            new, rows = [], []
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
         for batch in batches:
             turns, labels, nodes, values = batch.column(0).to_pylist(), batch.column(3).to_pylist(), batch.column(2).to_pylist(), batch.column(4)
             flat, at = values.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(values.value_lengths().to_numpy(zero_copy_only=False))))
             for i, now in enumerate(zip(turns, labels, np.diff(at).tolist(), strict=True)):
-                if now != key or len(ids) >= block:
+                if now != key or len(new) >= block:
                     yield from close()
                     if now != key:
-                        held, key = [], now
-                ids.append(nodes[i]), rows.append(flat[at[i] : at[i + 1]])
+                        ids, units, key = np.zeros(0, np.int64), np.zeros((0, 0)), now
+                new.append(nodes[i]), rows.append(flat[at[i] : at[i + 1]])
         yield from close()
 
     return run
 
 
+def _counts(similar: float):
+    """Rows (b1, b2, left, right) of two blocks of a component, each an array of (node, times, v), to (node, n): how many
+    vectors of the other block each links with."""
+
+    def read(x: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        s = x.values
+        v = s.field("v")
+        node, times = s.field("node").to_numpy(zero_copy_only=False), s.field("times").to_numpy(zero_copy_only=False)
+        return node, times.astype(float), _unit(v.flatten().to_numpy(zero_copy_only=False).reshape(len(node), -1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                one = batch.slice(i, 1)
+                same = one.column(0)[0].as_py() == one.column(1)[0].as_py()
+                (n1, t1, u1), (n2, t2, u2) = (read(pa.ListArray.from_arrays(pa.array([0, len(c[0].values)], pa.int32()), c[0].values)) for c in (one.column(2), one.column(3)))
+                links = u1 @ u2.T >= similar
+                if same:
+                    np.fill_diagonal(links, False)
+                    node, n = n1, links @ t2
+                else:
+                    node, n = np.concatenate((n1, n2)), np.concatenate((links @ t2, t1 @ links))
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(n.astype(np.int64))], names=["node", "n"])
+
+    return run
+
+
+def link_counts(members: DataFrame, similar: float) -> DataFrame:
+    """(node, more): links of each member (component, node, times, v) with other members of its component, by times.
+
+    A component is dealt into blocks by a hash, and two of its blocks meet under a key of their own, so that a large
+    component's comparisons spread over tasks."""
+    blocks = members.groupBy("component").agg(F.ceil(F.count("*") / COUNT_BLOCK).alias("blocks"))
+    dealt = members.join(blocks, "component").withColumn("blk", F.pmod(F.xxhash64(F.lit(3), "node"), F.col("blocks")))
+    packed = Written(dealt.groupBy("component", "blk", "blocks").agg(F.collect_list(F.struct("node", "times", "v")).alias("rows")), "blocks").df
+    left = packed.select("component", F.col("blk").alias("b1"), F.explode(F.sequence("blk", F.col("blocks") - 1)).alias("b2"), F.col("rows").alias("left"))
+    right = packed.select("component", F.explode(F.sequence(F.lit(0).cast("long"), "blk")).alias("b1"), F.col("blk").alias("b2"), F.col("rows").alias("right"))
+    met = left.join(right, ["component", "b1", "b2"]).select("b1", "b2", "left", "right")
+    return met.mapInArrow(_counts(similar), "node long, n long").groupBy("node").agg(F.sum("n").alias("more"))
+
+
 def near_duplicates(vectors: DataFrame, similar: float = SIMILAR, passes: int = PASSES, bits: int = BITS, block: int = BLOCK) -> DataFrame:
     """One row per row of vectors: vec_id, n_links, component_id, kept.
 
@@ -111,11 +168,11 @@ def near_duplicates(vectors: DataFrame, similar: float = SIMILAR, passes: int =
     ordered = coded.df.repartitionByRange("turn", "label", F.size("v"), "code").sortWithinPartitions("turn", "label", F.size("v"), "code", "node")
     pairs = Written(ordered.mapInArrow(_windows(similar, block), "a long, b long").where("a <> b").distinct(), "pairs")
     coded.drop()
-    both = pairs.df.unionAll(pairs.df.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    size = nodes.df.select(F.col("h1").alias("b"), "times")
-    linked = both.join(size, "b").groupBy("a").agg(F.sum("times").alias("more"))
+    comps = Written(components(pairs.df), "components").df
+    weights = nodes.df.select(F.col("h1").alias("node"), "times").dropDuplicates(["node"])
+    linked = link_counts(named.df.join(comps, "node").join(weights, "node").select("component", "node", "times", "v"), similar).withColumnRenamed("node", "a")
     names = nodes.df.select("h1", "node")
-    edges = pairs.df.join(names.select(F.col("h1").alias("a"), F.col("node").alias("na")), "a").join(names.select(F.col("h1").alias("b"), F.col("node").alias("nb")), "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
+    edges = comps.join(names.select(F.col("h1").alias("node"), F.col("node").alias("na")), "node").join(names.select(F.col("h1").alias("component"), F.col("node").alias("nb")), "component").select(F.col("na").alias("a"), F.col("nb").alias("b"))
     many = base.df.where("ok").groupBy("vec_id").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo <> hi").select("vec_id")
     ties = base.df.where("ok").join(small(nodes.df), ["h1", "h2"]).where("vec_id <> node").join(many, "vec_id").select(F.col("vec_id").alias("a"), F.col("node").alias("b"))
     labels = components(edges.unionAll(ties)).where("node <> component").select(F.col("node").alias("_node"), "component")
