@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import json
 import math
+import uuid
 from collections.abc import Iterable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,8 +20,8 @@ from .common import scratch_path
 
 #: Bytes that a shard should have, shards of a tier that are merged at a time at least, and the ratio of tiers' sizes.
 TARGET_BYTES, FAN_IN, RATIO = 64 << 20, 4, 4
-#: Merges that one job does.
-MERGES_A_JOB = 64
+#: Merges that run side by side.
+MERGES_AT_A_TIME = 16
 
 
 class Conflict(RuntimeError):
@@ -112,15 +114,16 @@ class Store:
         groups = self.plan(base["shards"], final)
         if not groups:
             return base
-        new: list[dict] = []
-        for at in range(0, len(groups), MERGES_A_JOB):
+        schema = schema or self.schema(base)
+
+        def merge(group: list[dict]) -> list[dict]:
+            # a job of its own for each merge: a union of single-partition reads may come out as one partition
             folder = f"{self.path}/{fresh('merged')}"
-            merged = None
-            for g in groups[at : at + MERGES_A_JOB]:
-                one = self.spark.read.schema(schema or self.schema(base)).parquet(*[s["path"] for s in g]).coalesce(1)
-                merged = one if merged is None else merged.unionAll(one)
-            merged.write.parquet(folder)
-            new += self._written(folder, self.tier)
+            self.spark.read.schema(schema).parquet(*[s["path"] for s in group]).coalesce(1).write.parquet(folder)
+            return self._written(folder, self.tier)
+
+        with ThreadPoolExecutor(MERGES_AT_A_TIME) as pool:
+            new = [s for made in pool.map(merge, groups) for s in made]
         gone = {s["path"] for g in groups for s in g}
         return self.commit(base["version"], [s for s in base["shards"] if s["path"] not in gone] + new)
 
@@ -146,8 +149,6 @@ class Store:
 
 
 def fresh(label: str) -> str:
-    import uuid
-
     return f"{label}-{uuid.uuid4().hex}"
 
 
