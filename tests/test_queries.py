@@ -20,7 +20,7 @@ def duck(sf_dir):
 
 def rows(df):
     def cell(v):
-        if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+        if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v):
             return "null"
         return f"{float(v):.5g}" if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
 
