@@ -180,7 +180,9 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
     held = tokens.groupBy("tok").agg(F.count("*").alias("df")).where("df > 1")
     ranked = tokens.join(held, "tok").groupBy("doc_id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "tok"))).alias("list"))
     slots = (F.size("list") - F.expr(f"({num} * n + {den - 1}) div {den}") + 1).cast("int")
-    members = Written(ranked.where(slots > 0).select("doc_id", F.explode(F.slice("list", F.lit(1), slots)).alias("x")).select("doc_id", F.col("x.tok").alias("tok")), "members")
+    # a text from which others were made lacks partners for the fewest of its tokens; such a text leads its buckets
+    lack = (F.col("n") - F.size("list")).alias("lack")
+    members = Written(ranked.where(slots > 0).select("doc_id", lack, F.explode(F.slice("list", F.lit(1), slots)).alias("x")).select("doc_id", "lack", F.col("x.tok").alias("tok")), "members")
     twice = members.df.groupBy("tok").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi")
     open_ = Written(members.df.join(twice.select("tok"), "tok").distinct(), "open")
     members.drop()
@@ -188,8 +190,8 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
     found = [links]
     labels = _parts(links.df)
     for turn in range(LEADER_ROUNDS + 1):
-        seen = open_.df.join(labels, open_.df["doc_id"] == labels["node"], "left").select("tok", "doc_id", F.coalesce("component", "doc_id").alias("part"))
-        pick = F.struct(F.xxhash64(F.lit(turn), "doc_id").alias("h"), F.col("doc_id").alias("doc_id"), F.col("part").alias("part")) if turn else F.struct("doc_id", "part")
+        seen = open_.df.join(labels, open_.df["doc_id"] == labels["node"], "left").select("tok", "doc_id", "lack", F.coalesce("component", "doc_id").alias("part"))
+        pick = F.struct((F.xxhash64(F.lit(turn), "doc_id") if turn else F.col("lack")).alias("h"), F.col("doc_id").alias("doc_id"), F.col("part").alias("part"))
         split = seen.groupBy("tok").agg(F.min("part").alias("p0"), F.max("part").alias("p1"), F.min(pick).alias("lead")).where("p0 <> p1")
         now = Written(seen.join(split.select("tok", F.col("lead.doc_id").alias("lead"), F.col("lead.part").alias("lead_part")), "tok"), "split")
         if now.df.isEmpty():
