@@ -249,3 +249,9 @@ def test_documents(spark):
     f = D.Flags()
     f.add("few_points", "warning", "there are few points", n=3)
     assert f.frame(spark).first().details == {"n": "3"} and D.caption({"title": "A", "date": 2024}) == "A · 2024"
+
+
+def test_lineage_goes_to_its_end(spark):
+    chain = [(i, i + 1) for i in range(20)] + [(20, 4), (0, 5)]
+    got = {r.id: r.depth for r in registry.lineage_depth(spark.createDataFrame(chain, "input long, output long"), spark.range(1)).collect()}
+    assert got == {i: i if i < 5 else i - 4 for i in range(21)}
