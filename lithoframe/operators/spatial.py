@@ -112,13 +112,40 @@ def erase_points(points: DataFrame, masks: DataFrame) -> DataFrame:
                        (F.col("x") >= F.col("m_xmin")) & (F.col("x") <= F.col("m_xmax")) & (F.col("y") >= F.col("m_ymin")) & (F.col("y") <= F.col("m_ymax")), "left_anti")
 
 
-def union_layers(left: DataFrame, right: DataFrame, left_mask: tuple, right_mask: tuple) -> DataFrame:
-    """Three-way overlay of box layers with masks that cover each: left alone, right alone, and intersections; attributes of
-    either side are null where it takes no part. column part: left, right or both."""
+def _without(pieces: Column, mask: Column) -> Column:
+    """An array of boxes without the mask box, each in up to four pieces."""
+
+    def cut(p: Column) -> Column:
+        piece = lambda *sides: F.struct(*[c.alias(s) for c, s in zip(sides, SIDES)])
+        (x0, y0, x1, y1), (mx0, my0, mx1, my1) = ([v[s] for s in SIDES] for v in (p, mask))
+        apart = (x0 >= mx1) | (x1 <= mx0) | (y0 >= my1) | (y1 <= my0)
+        lo, hi = F.greatest(y0, my0), F.least(y1, my1)
+        parts = F.array(piece(x0, y0, x1, my0), piece(x0, my1, x1, y1), piece(x0, lo, mx0, hi), piece(mx1, lo, x1, hi))
+        return F.when(apart, F.array(piece(x0, y0, x1, y1))).otherwise(F.filter(parts, lambda q: (q["xmin"] < q["xmax"]) & (q["ymin"] < q["ymax"])))
+
+    return F.flatten(F.transform(pieces, cut))
+
+
+def erase_layer(source: DataFrame, masks: DataFrame, *, cell: float | None = None) -> DataFrame:
+    """source's boxes without all that the boxes of masks cover, in pieces that don't meet; the other columns are kept. Equal
+    boxes are cut once, by the distinct masks that meet them."""
+    source = source.withColumns({s: F.col(s).cast("double") for s in SIDES}).where(" AND ".join(f"{s} IS NOT NULL" for s in SIDES))
+    masks = masks.select(*[F.col(s).cast("double").alias(s) for s in SIDES]).where("xmin < xmax AND ymin < ymax").distinct()
+    met = pairs(source.select(*SIDES).distinct(), masks, "intersects", cell=cell).where("xmin < r_xmax AND r_xmin < xmax AND ymin < r_ymax AND r_ymin < ymax")
+    by = met.groupBy(*SIDES).agg(F.array_sort(F.collect_set(F.struct(*[F.col(f"r_{s}").alias(s) for s in SIDES]))).alias("__masks"))
+    whole = F.array(F.struct(*SIDES))
+    cuts = by.select(*SIDES, F.aggregate("__masks", whole, _without).alias("__p"))
+    out = source.join(cuts, list(SIDES), "left").withColumn("__p", F.explode(F.coalesce("__p", whole)))
+    return out.withColumns({s: F.col(f"__p.{s}") for s in SIDES}).select(*source.columns)
+
+
+def union_layers(left: DataFrame, right: DataFrame, *, cell: float | None = None) -> DataFrame:
+    """Three-way overlay of box layers: what of left no box of right covers, what of right no box of left covers, and the
+    intersections; attributes of either side are null where it takes no part. column part: left, right or both."""
     return (
-        erase(left, right_mask).drop("piece").withColumn("part", F.lit("left"))
-        .unionByName(erase(right, left_mask).drop("piece").withColumn("part", F.lit("right")), allowMissingColumns=True)
-        .unionByName(intersect(left, right).withColumn("part", F.lit("both")), allowMissingColumns=True)
+        erase_layer(left, right, cell=cell).withColumn("part", F.lit("left"))
+        .unionByName(erase_layer(right, left, cell=cell).withColumn("part", F.lit("right")), allowMissingColumns=True)
+        .unionByName(intersect(left, right, cell=cell).withColumn("part", F.lit("both")), allowMissingColumns=True)
     )
 
 

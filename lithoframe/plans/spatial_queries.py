@@ -129,7 +129,7 @@ QUERIES = {
         f"WITH {PTS}, {BOX} SELECT id FROM pts WHERE NOT EXISTS (SELECT 1 FROM bx WHERE x >= xmin AND x <= xmax AND y >= ymin AND y <= ymax)",
     ),
     "box_union": (
-        lambda s, d: S.union_layers(boxes(s, d), zones(s, d).where("zid = 12"), (0.0, 0.0, 1000.0, 1000.0), (2 * 20018.0, 2 * 20018.0, 3 * 20018.0, 3 * 20018.0)).groupBy("part").agg(F.round(F.sum((F.col("xmax") - F.col("xmin")) * (F.col("ymax") - F.col("ymin"))), 2).alias("area")),
+        lambda s, d: S.union_layers(boxes(s, d), zones(s, d)).groupBy("part").agg(F.round(F.sum((F.col("xmax") - F.col("xmin")) * (F.col("ymax") - F.col("ymin"))), 2).alias("area")),
         f"""WITH {BOX}, {Z}, z AS (SELECT * FROM zones WHERE zid = 12), i AS (SELECT sum(greatest(0, least(a.xmax, b.xmax)-greatest(a.xmin, b.xmin))*greatest(0, least(a.ymax, b.ymax)-greatest(a.ymin, b.ymin))) AS i FROM bx a, z b)
         SELECT 'left' AS part, round((SELECT sum((xmax-xmin)*(ymax-ymin)) FROM bx) - i, 2) AS area FROM i UNION ALL SELECT 'right', round((SELECT sum((xmax-xmin)*(ymax-ymin)) FROM z), 2) UNION ALL SELECT 'both', round(i, 2) FROM i WHERE i > 0""",
     ),

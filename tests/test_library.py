@@ -255,3 +255,25 @@ def test_lineage_goes_to_its_end(spark):
     chain = [(i, i + 1) for i in range(20)] + [(20, 4), (0, 5)]
     got = {r.id: r.depth for r in registry.lineage_depth(spark.createDataFrame(chain, "input long, output long"), spark.range(1)).collect()}
     assert got == {i: i if i < 5 else i - 4 for i in range(21)}
+
+
+def test_union_erases_by_all_boxes_of_the_other_layer(spark):
+    r = np.random.default_rng(11)
+    lo, side = r.integers(0, 24, (2, 15, 2)), r.integers(1, 9, (2, 15, 2))
+    sets = [[(i, *map(float, (*a, *(a + w)))) for i, (a, w) in enumerate(zip(lo[k], side[k]))] for k in (0, 1)]
+    sets[0].append((99, *sets[0][0][1:]))
+    left, right = (spark.createDataFrame(b, f"{n} long, xmin double, ymin double, xmax double, ymax double") for n, b in zip("lr", sets))
+    area, want = F.sum((F.col("xmax") - F.col("xmin")) * (F.col("ymax") - F.col("ymin"))), {}
+
+    def raster(b):
+        m = np.zeros((40, 40), bool)
+        m[int(b[1]) : int(b[3]), int(b[2]) : int(b[4])] = True
+        return m
+
+    cover = [np.any([raster(b) for b in s], axis=0) for s in sets]
+    for k, part in ((0, "left"), (1, "right")):
+        want |= {(part, b[0] if k == 0 else None, b[0] if k else None): int((raster(b) & ~cover[1 - k]).sum()) for b in sets[k]}
+    want |= {("both", a[0], b[0]): int((raster(a) & raster(b)).sum()) for a in sets[0] for b in sets[1]}
+    for cell in (None, 3.0):
+        got = {(x.part, x.l, x.r): x.a for x in spatial.union_layers(left, right, cell=cell).groupBy("part", "l", "r").agg(area.alias("a")).collect()}
+        assert got == {k: v for k, v in want.items() if v}
