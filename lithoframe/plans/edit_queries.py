@@ -29,16 +29,14 @@ def _sql(*pairs):
 
 
 def _reml(s, d):
-    rows = points(s, d).where("id < 150").toPandas()
-    xy, v = rows[["x", "y"]].to_numpy(), rows["v"].to_numpy()
-    m = trend.fit_reml(xy, v - v.mean(), np.ones((len(v), 1)), Model("exponential", 1e6, 9e6, 15000.0), rounds=40)
+    rows = points(s, d).select("id", "x", "y", "v").toArrow().sort_by("id")
+    x, y, v = (rows[c].to_numpy() for c in ("x", "y", "v"))
+    m = trend.fit_reml(np.stack([x, y], axis=1), v - v.mean(), np.ones((len(v), 1)), Model("exponential", 1e6, 9e6, 15000.0), rounds=40)
     return s.createDataFrame([(m.kind, float(m.nugget), float(m.sill), float(m.range))], "kind string, nugget double, sill double, range double")
 
 
 def _trend(s, d):
-    rows = table(s, d, "part").orderBy("p_partkey").limit(500).toPandas()
-    x, y = rows[["p_size"]].to_numpy(float), rows["p_retailprice"].to_numpy(float)
-    theta, _ = trend.gls(x, y, trend.preset("linear", 1))
+    theta = trend.linear(table(s, d, "part"), ["p_size"], "p_retailprice")
     return s.createDataFrame([(n, round(float(t), 4)) for n, t in zip(("b0", "b1"), theta)], "name string, value double")
 
 

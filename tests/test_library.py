@@ -277,3 +277,20 @@ def test_union_erases_by_all_boxes_of_the_other_layer(spark):
     for cell in (None, 3.0):
         got = {(x.part, x.l, x.r): x.a for x in spatial.union_layers(left, right, cell=cell).groupBy("part", "l", "r").agg(area.alias("a")).collect()}
         assert got == {k: v for k, v in want.items() if v}
+
+
+def test_trends_take_all_rows(spark, tmp_path, monkeypatch):
+    from lithoframe.operators import trend
+    from lithoframe.plans import edit_queries
+
+    k = F.col("id")
+    spark.range(1, 701).select(k.alias("p_partkey"), (k % 50 + 1).cast("int").alias("p_size"), (k * k / 7.0 + k % 50).alias("p_retailprice")).write.parquet(f"{tmp_path}/part.parquet")
+    i = np.arange(1, 701)
+    b1, b0 = np.polyfit(i % 50 + 1, i * i / 7.0 + i % 50, 1)
+    got = {r.name: r.value for r in edit_queries._trend(spark, str(tmp_path)).collect()}
+    assert abs(got["b0"] - b0) < 1e-3 and abs(got["b1"] - b1) < 1e-3
+    spark.range(1, 301).select(k.alias("c_custkey"), (k * 1.0).alias("c_acctbal"), (k % 25).cast("int").alias("c_nationkey"), F.lit("A").alias("c_mktsegment")).write.parquet(f"{tmp_path}/customer.parquet")
+    met = []
+    monkeypatch.setattr(trend, "fit_reml", lambda xy, r, design, start, rounds: met.append((len(xy), len(r), len(design), r[0])) or start)
+    edit_queries._reml(spark, str(tmp_path))
+    assert met == [(300, 300, 300, 1.0 - 150.5)]
