@@ -72,7 +72,7 @@ SELECT id, "end", other, round(distance, 6) AS distance FROM d WHERE distance >
 
 
 def _lines(s, d):
-    o = _orders(s, d).where("o_custkey < 50")
+    o = _orders(s, d)
     from pyspark.sql import Window as W
 
     n = F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderkey"))

@@ -294,3 +294,17 @@ def test_trends_take_all_rows(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(trend, "fit_reml", lambda xy, r, design, start, rounds: met.append((len(xy), len(r), len(design), r[0])) or start)
     edit_queries._reml(spark, str(tmp_path))
     assert met == [(300, 300, 300, 1.0 - 150.5)]
+
+
+def test_every_line_is_densified(spark, sf_dir):
+    from lithoframe import catalog
+
+    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey").toPandas().sort_values(["o_custkey", "o_orderkey"])
+    want = {}
+    for line, keys in o.groupby("o_custkey")["o_orderkey"]:
+        y = keys.to_numpy() % 37 * 10.0
+        length = np.hypot(100.0, np.diff(y)).sum()
+        if length > 0:
+            want[line] = math.ceil(length / 75.0)
+    got = {r.line_id: r["count"] for r in catalog.queries()["densify_line"](spark, sf_dir).groupBy("line_id").count().collect()}
+    assert got == want
