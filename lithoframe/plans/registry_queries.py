@@ -50,9 +50,10 @@ GRANT = "g AS (SELECT s_suppkey AS id, CASE WHEN s_suppkey % 2 = 0 THEN s_suppke
 
 
 def _jobs(s, d):
+    """A job for each event; a user's jobs of a day share their key, and those of errors are sent anew."""
     e = table(s, d, "events")
     i = F.col("event_id")
-    return e.select(i.alias("id"), F.col("user_id").alias("user"), F.when(i % 3 == 0, "running").when(i % 3 == 1, "queued").otherwise("done").alias("state"), F.col("ts").alias("created_at"), F.col("value").alias("seconds"), (i % 500).cast("string").alias("key"))
+    return e.select(i.alias("id"), F.col("user_id").alias("user"), F.when(i % 3 == 0, "running").when(i % 3 == 1, "queued").otherwise("done").alias("state"), F.col("ts").alias("created_at"), F.col("value").alias("seconds"), F.concat_ws("/", F.col("user_id").cast("string"), F.to_date("ts").cast("string")).alias("key"), F.col("event_type").eqNullSafe("error").alias("retry"))
 
 
 def _segments(s, d):
@@ -125,7 +126,7 @@ QUERIES = {
         FROM (SELECT user_id = 7 AS u, user_id % 10 = 7 AS tm, event_id % 3 AS r, date_trunc('day', ts) = DATE '2024-01-15' AS td, value FROM events)""",
     ),
     "job_enqueue": (
-        lambda s, d: R.enqueue(_jobs(s, d).where("id < 200"), _jobs(s, d).where("id >= 100 AND id < 900"), 1e9, F.expr(NOW)).select("key", "id"),
+        lambda s, d: R.enqueue(_jobs(s, d).where("NOT retry"), _jobs(s, d).where("retry"), 1e9, F.expr(NOW)).select("key", "id"),
         "SELECT (event_id % 500)::VARCHAR AS key, min(event_id) AS id FROM events WHERE event_id >= 100 AND event_id < 900 AND event_id % 500 >= 200 GROUP BY 1",
     ),
     "default_basemap_fallback": (

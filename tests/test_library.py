@@ -308,3 +308,14 @@ def test_every_line_is_densified(spark, sf_dir):
             want[line] = math.ceil(length / 75.0)
     got = {r.line_id: r["count"] for r in catalog.queries()["densify_line"](spark, sf_dir).groupBy("line_id").count().collect()}
     assert got == want
+
+
+def test_every_event_is_a_job(spark, sf_dir):
+    from lithoframe import catalog
+
+    e = table(spark, sf_dir, "events").toPandas().sort_values("event_id")
+    e["key"] = e["user_id"].astype(str) + "/" + e["ts"].dt.strftime("%Y-%m-%d")
+    known = set(e.key[e.event_type != "error"])
+    want = e[(e.event_type == "error") & ~e.key.isin(known)].groupby("key").event_id.min().to_dict()
+    got = {r.key: r.id for r in catalog.queries()["job_enqueue"](spark, sf_dir).collect()}
+    assert got == want and max(got.values()) > 900
