@@ -1,13 +1,15 @@
 """Near-duplicate vectors by sorted projection passes.
 
-Each pass hashes a vector by the signs of its projections on BITS random directions, one after the other, and orders the
-vectors of a label lexicographically by these bits; neighbours in that order are compared by exact cosine. A window goes
+Each pass hashes a vector, less the mean of its label's vectors, by the signs of its projections on BITS random directions,
+one after the other, and orders the vectors of a label lexicographically by these bits; neighbours in that order are compared by exact cosine. A window goes
 on from block to block as long as it finds links, so a group larger than a window is compared whole. The verified pairs of
-a window leave it as the edges of a forest, one for each vector, and the passes' forests are united to components. Links are
+a window leave it as the edges of a forest, one for each vector, and the passes' forests are united to components.
+Passes come in rounds: a label goes on for as many as its size asks for, and while a round unites components. Links are
 then counted inside each component, block by block, by exact cosine: no pair is ever a row."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,8 +19,12 @@ from pyspark.sql import functions as F
 
 from .common import Written, components, small
 
-#: Passes, hash bits of each, and rows of a block: a row meets its own block and the next at least.
-PASSES, BITS, BLOCK = 12, 32, 256
+#: Passes of a round, hash bits of each, and rows of a block: a row meets its own block and the next at least.
+PASSES, BITS, BLOCK = 12, 64, 256
+#: Share of the bits that linked vectors agree in, at a mean cosine of 0.9 in the label, and odds of a link that no pass finds.
+AGREE, MISSED = 0.8, 0.001
+#: Labels whose means are broadcast.
+CENTRES = 20_000
 #: Vectors of a block of links counted, on average.
 COUNT_BLOCK = 512
 SIMILAR = 0.98
@@ -28,20 +34,56 @@ def _directions(dims: int, turn: int, bits: int) -> np.ndarray:
     return np.random.default_rng([23, turn, dims]).standard_normal((dims, bits))
 
 
-def _codes(passes: int, bits: int):
+def _rows(lengths: np.ndarray, values: pa.Array, groups: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(indices, unit vectors) of the rows of each group of equal length."""
+    flat, at = values.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(lengths)))
+    for rows in groups:
+        yield rows, _unit(np.stack([flat[at[r] : at[r + 1]] for r in rows]))
+
+
+def _groups(*keys: np.ndarray) -> list[np.ndarray]:
+    """The row numbers of each distinct combination of the keys."""
+    order = np.lexsort(keys)
+    change = np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)
+    return np.split(order, np.flatnonzero(change) + 1) if len(order) else []
+
+
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (label, v) to (label, dims, n, s): the sum of the unit vectors of each label and length in a batch."""
+    for batch in batches:
+        labels, lengths = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).value_lengths().to_numpy(zero_copy_only=False)
+        for rows, m in _rows(lengths, batch.column(1), _groups(labels, lengths)):
+            own = [pa.array([labels[rows[0]]], pa.int64()), pa.array([m.shape[1]], pa.int32()), pa.array([len(rows)], pa.int64()), pa.array([m.sum(axis=0).tolist()], pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(own, names=["label", "dims", "n", "s"])
+
+
+def centres(vectors: DataFrame, block: int, passes: int) -> DataFrame:
+    """(label, dims, centre, turns) of vectors (label, v): the mean unit vector, rounded so that it doesn't depend on the order
+    of sums, and the passes that so many vectors ask for.
+
+    A pass finds a link when the bits agree that tell apart as many blocks as the label has."""
+    parts = vectors.select("label", "v").mapInArrow(_sums, "label long, dims int, n long, s array<double>")
+    sums = parts.select("label", "dims", "n", F.posexplode("s").alias("pos", "x")).groupBy("label", "dims", "pos").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
+    out = sums.groupBy("label", "dims").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("pos", F.round(F.col("x") / F.col("n"), 9).alias("x")))).alias("c"))
+    odds = F.pow(F.lit(AGREE), F.log2(F.greatest(F.col("n") / block, F.lit(1.0))))
+    turns = F.when(odds >= 1 - MISSED, 1).otherwise(F.ceil(math.log(MISSED) / F.log1p(-odds)))
+    return out.select("label", "dims", F.transform("c", lambda e: e["x"]).alias("centre"), F.greatest(F.lit(passes), turns.cast("int")).alias("turns"))
+
+
+def _codes(first: int, passes: int, bits: int):
+    """Rows (node, label, v, centre) to (turn, code, node, label, v); the bits of a code are big-endian bytes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = batch.column(2)
-            lengths = values.value_lengths().to_numpy(zero_copy_only=False)
-            flat, at = values.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(lengths)))
-            for dims in np.unique(lengths):
-                rows = np.flatnonzero(lengths == dims)
-                m = np.stack([flat[at[r] : at[r] + dims] for r in rows])
+            values, middle = batch.column(2), batch.column(3)
+            lengths, labels = values.value_lengths().to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
+            for rows, m in _rows(lengths, values, _groups(labels, lengths)):
+                m = m - np.array(middle[int(rows[0])].as_py())
                 own = batch.take(pa.array(rows))
-                for turn in range(passes):
-                    bit = m @ _directions(int(dims), turn, bits) >= 0
-                    code = bit.astype(np.int64) @ (1 << np.arange(bits - 1, -1, -1, dtype=np.int64))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), turn), pa.int32()), pa.array(code), *own.columns], names=["turn", "code", "node", "label", "v"])
+                for turn in range(first, first + passes):
+                    bit = np.packbits(m @ _directions(m.shape[1], turn, bits) >= 0, axis=1)
+                    code = pa.array([b.tobytes() for b in bit], pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), turn), pa.int32()), code, *own.columns[:3]], names=["turn", "code", "node", "label", "v"])
 
     return run
 
@@ -143,6 +185,31 @@ def link_counts(members: DataFrame, similar: float) -> DataFrame:
     return met.mapInArrow(_counts(similar), "node long, n long").groupBy("node").agg(F.sum("n").alias("more"))
 
 
+def linked_components(named: DataFrame, similar: float, passes: int, bits: int, block: int) -> DataFrame:
+    """(node, component) of the vectors (node, label, v) that link with others, by rounds of passes."""
+    middle = Written(centres(named, block, passes), "centres").df
+    keys, dims = ["label", "dims"], F.size("v").alias("dims")
+    live, comps, first = middle, None, 0
+    while True:
+        own = named.withColumn("dims", dims).join(small(live, CENTRES), keys).select("node", "label", "v", "centre")
+        coded = Written(own.mapInArrow(_codes(first, passes, bits), "turn int, code binary, node long, label long, v array<double>"), "codes")
+        ordered = coded.df.repartitionByRange("turn", "label", F.size("v"), "code").sortWithinPartitions("turn", "label", F.size("v"), "code", "node")
+        pairs = Written(ordered.mapInArrow(_windows(similar, block), "a long, b long").where("a <> b").distinct(), "pairs")
+        coded.drop()
+        new, first = pairs.df, first + passes
+        if comps is not None:
+            at = lambda side: comps.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
+            apart = new.join(at("a"), "a", "left").join(at("b"), "b", "left")
+            new = Written(apart.where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b"), "new").df
+        if comps is None or not new.isEmpty():
+            edges = new if comps is None else new.unionAll(comps.select(F.col("node").alias("a"), F.col("component").alias("b")))
+            comps = Written(components(edges), "components").df
+        fresh = named.withColumn("dims", dims).join(new.select(F.col("a").alias("node")), "node").select(*keys).distinct().withColumn("fresh", F.lit(True))
+        live = Written(middle.join(fresh, keys, "left").where((F.col("turns") > first) | F.col("fresh")).drop("fresh"), "live").df
+        if live.isEmpty():
+            return comps
+
+
 def near_duplicates(vectors: DataFrame, similar: float = SIMILAR, passes: int = PASSES, bits: int = BITS, block: int = BLOCK) -> DataFrame:
     """One row per row of vectors: vec_id, n_links, component_id, kept.
 
@@ -151,7 +218,8 @@ def near_duplicates(vectors: DataFrame, similar: float = SIMILAR, passes: int =
     rows without vec_id. Equal vectors of a label become one node first, which counts each of them. n_links: other rows
     linked directly. component_id: the smallest vec_id reachable by links, itself included; kept where it is vec_id. Rows
     that repeat a vec_id are rows of their own that share its component. Links found are verified; a link whose two vectors
-    are far apart in every pass's order is missed, with odds that fall with the number of passes. Other columns are
+    are far apart in every pass's order is missed, with odds that fall with the number of passes, which follow the label's size
+and what they find; `passes` is a round of them. Other columns are
     ignored."""
     x = F.transform("embedding", lambda v: v.cast("double"))
     fine = F.forall("v", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & F.exists("v", lambda e: e != 0)
@@ -164,11 +232,7 @@ def near_duplicates(vectors: DataFrame, similar: float = SIMILAR, passes: int =
     nodes = Written(base.df.where("ok").groupBy("h1", "h2").agg(F.min("vec_id").alias("node"), F.count("*").alias("times")), "nodes")
     # a vec_id that stands for two vectors would be two nodes of one name: the hash keeps them apart
     named = Written(base.df.where("ok").join(small(nodes.df), ["h1", "h2"]).where("vec_id = node").select(F.col("h1").alias("node"), "label", "v").dropDuplicates(["node"]), "named")
-    coded = Written(named.df.mapInArrow(_codes(passes, bits), "turn int, code long, node long, label long, v array<double>"), "codes")
-    ordered = coded.df.repartitionByRange("turn", "label", F.size("v"), "code").sortWithinPartitions("turn", "label", F.size("v"), "code", "node")
-    pairs = Written(ordered.mapInArrow(_windows(similar, block), "a long, b long").where("a <> b").distinct(), "pairs")
-    coded.drop()
-    comps = Written(components(pairs.df), "components").df
+    comps = linked_components(named.df, similar, passes, bits, block)
     weights = nodes.df.select(F.col("h1").alias("node"), "times").dropDuplicates(["node"])
     linked = link_counts(named.df.join(comps, "node").join(weights, "node").select("component", "node", "times", "v"), similar).withColumnRenamed("node", "a")
     names = nodes.df.select("h1", "node")

@@ -91,3 +91,23 @@ def test_near_duplicates_of_none_and_repeats(spark):
     assert neardup.near_duplicates(frame(spark, [])).count() == 0
     got = neardup.near_duplicates(frame(spark, [(5, [1.0, 0.0], 1), (5, [1.0, 0.0], 1), (3, [0.0, 1.0], 1)])).collect()
     assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in got) == [(3, 0, 3, True), (5, 1, 5, True), (5, 1, 5, True)]
+
+
+def test_links_of_vectors_with_a_common_direction(spark):
+    r = np.random.default_rng(9)
+    u = r.normal(size=(6000, 64))
+    u = u / np.linalg.norm(u, axis=1)[:, None] * math.sqrt(0.1)
+    u[:, 0] += math.sqrt(0.9)
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    side = r.normal(size=(3000, 64))
+    side -= (side * u[:3000]).sum(axis=1)[:, None] * u[:3000]
+    u[3000:] = 0.981 * u[:3000] + math.sqrt(1 - 0.981**2) * side / np.linalg.norm(side, axis=1)[:, None]
+    u = u.astype(np.float32)
+    x = u.astype(float) / np.linalg.norm(u.astype(float), axis=1)[:, None]
+    links = x @ x.T >= 0.98
+    np.fill_diagonal(links, False)
+    label = np.arange(6000)
+    while (new := np.minimum(label, np.where(links, label[None, :], 6000).min(axis=1))).tolist() != label.tolist():
+        label = new
+    got = {r.vec_id: (r.n_links, r.component_id) for r in neardup.near_duplicates(frame(spark, [(i, v.tolist(), 1) for i, v in enumerate(u)]), block=16).collect()}
+    assert got == {i: (int(links[i].sum()), int(label[i])) for i in range(6000)}
