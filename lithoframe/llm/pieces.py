@@ -1,33 +1,34 @@
 """Piece encoding with a SentencePiece BPE vocabulary, seeded merge-dropout, and lossless decoding.
 
 A unit is a run of spaces with the word after it. No piece of the vocabulary crosses a unit's edge (checked when it is
-loaded), so units are encoded one by one. An agenda takes the best-ranked merge of two neighbouring pieces again and again;
-a candidate merge, known by its unit, variant and place, is skipped for good when its keyed hash falls below the dropout
-rate. Units take VARIANTS of key in turn, from a start that the document sets: a word comes out in several segmentations,
-and equal units of one variant are encoded once and remembered."""
+loaded), so units are encoded apart. An agenda takes the best-ranked merge of two neighbouring pieces again and again; a
+candidate merge, known by its document, unit and place, is skipped for good when its keyed hash falls below the dropout
+rate. Every occurrence of a word has a key of its own, so a word comes out in as many segmentations as chance gives it.
+
+All units of a chunk of texts go through their agendas together: a chunk is one array of symbols, and each step takes the
+next merge of every unit that still has one."""
 
 from __future__ import annotations
 
 import heapq
-import re
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .textkernels import mix
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-DROPOUT, SEED, VARIANTS = 0.1, 13, 4
-#: Units longer than this go through a heap; a list is faster below.
-SHORT = 48
-#: Units of all variants in new memories; a full one becomes the older one, which is looked up before encoding anew.
-REMEMBERED = 160_000
-CHUNK_BYTES = 1_000_000
+DROPOUT, SEED = 0.1, 13
+#: Units longer than this go through a heap one by one; the others step together.
+SHORT = 63
+#: Texts are taken together up to this many characters; a longer text is taken alone, whole.
+CHUNK_CHARS = 500_000
 SPACE = "▁"
-_UNIT = re.compile(r" *[^ \n]+| +|\n")
 _NEVER = float("inf")
+_LOW = np.uint64(0xFFFFFFFF)
 
 
 def read_model(path: str = MODEL) -> dict:
@@ -47,8 +48,9 @@ def read_model(path: str = MODEL) -> dict:
     return {"pieces": pieces, "rank": {p: -m.get_score(i) for p, i in pieces.items()}, "bytes": byte_ids, "size": size}
 
 
-def _key(unit: str, seed: int, variant: int) -> int:
-    return zlib.crc32(unit.encode("utf-8", "surrogatepass"), (seed * 31 + variant + 1) & 0xFFFFFFFF)
+def unit_keys(start: np.ndarray, index: np.ndarray) -> np.ndarray:
+    """32-bit keys of units by their document's key and their place in it."""
+    return mix((start.astype(np.uint64) << np.uint64(32)) + index.astype(np.uint64)) >> np.uint64(32)
 
 
 def skipped(key: int, start: int, middle: int, end: int, limit: int) -> bool:
@@ -107,33 +109,37 @@ def segment_long(chars: list[str], rank: dict, key: int, limit: int) -> list[str
 
 
 class PairTable:
-    """Merges by their two pieces, for arrays of pairs: an open-addressed table of key, rank and merged piece."""
+    """Merges by their two symbols, for arrays of pairs: an open-addressed table of key, rank and merged piece. Symbols below
+    size are pieces; a character that is no piece is the symbol size + code point, which never merges."""
 
-    BITS, NONE = 19, np.int64(2**31 - 1)
+    BITS, NONE = 19, np.int32(2**31 - 1)
+    SPAN = 1 << 21
 
     def __init__(self, model: dict):
-        pieces, rank = model["pieces"], model["rank"]
-        found = [(pieces[p[:j]] * model["size"] + pieces[p[j:]], int(rank[p]), i) for p, i in pieces.items() for j in range(1, len(p)) if p[:j] in pieces and p[j:] in pieces]
-        self.size = model["size"]
+        pieces, rank, self.size = model["pieces"], model["rank"], model["size"]
+        order = {r: k for k, r in enumerate(sorted(set(rank.values())))}
+        found = [(pieces[p[:j]] * self.SPAN + pieces[p[j:]], order[rank[p]], i) for p, i in pieces.items() for j in range(1, len(p)) if p[:j] in pieces and p[j:] in pieces]
+        if len(order) >= 1 << 24 or 2 * len(found) > 1 << self.BITS or self.size + 0x110000 > self.SPAN:
+            raise ValueError("this vocabulary is too large for the table of merges")
         self.keys = np.full(1 << self.BITS, -1, np.int64)
-        self.rank, self.merged = np.full(1 << self.BITS, self.NONE), np.zeros(1 << self.BITS, np.int64)
-        for key, r, i in found:
-            at = int(self._slot(np.array([key]))[0])
+        self.rank, self.merged = np.full(1 << self.BITS, self.NONE), np.zeros(1 << self.BITS, np.int32)
+        slots = self._slot(np.array([key for key, _, _ in found], np.int64)).tolist()
+        for at, (key, r, i) in zip(slots, found):
             while self.keys[at] >= 0:
                 at = (at + 1) & ((1 << self.BITS) - 1)
-            self.keys[at], self.rank[at], self.merged[at] = key, r, i
-        self.char = np.full(0x110000, -1, np.int64)
+            self.keys[at], self.rank[at], self.merged[at] = key, r << 6, i
+        self.char = np.arange(self.size, self.size + 0x110000, dtype=np.int32)
         for p, i in pieces.items():
             if len(p) == 1 and p != SPACE:
                 self.char[ord(p)] = i
         self.char[ord(" ")] = pieces[SPACE]
 
     def _slot(self, key: np.ndarray) -> np.ndarray:
-        return (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.BITS)).astype(np.int64)
+        return (key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.BITS)).view(np.int64)
 
     def find(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """Slots of the merges of pairs; the rank there is NONE where there is no merge."""
-        key = left * self.size + right
+        """Slots of the merges of pairs; the rank there (times 64) is NONE where there is no merge."""
+        key = left.astype(np.int64) * self.SPAN + right
         at = self._slot(key)
         seen = self.keys[at]
         wrong = np.flatnonzero((seen != key) & (seen >= 0))
@@ -144,199 +150,214 @@ class PairTable:
         return at
 
 
-def segment_batch(chars: np.ndarray, keys: np.ndarray, table: PairTable, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """(pieces [units, length], number of each): the agenda of many units of one length at once, each step taking one merge of
-    every unit; the same as segment_short."""
-    units, length = chars.shape
-    out, count = chars.copy(), np.full(units, length)
-    rows = np.arange(units)
-    ids, at = chars.copy(), np.tile(np.arange(length + 1), (units, 1))
-    slots = table.find(ids[:, :-1].ravel(), ids[:, 1:].ravel()).reshape(units, length - 1)
-    ranks = table.rank[slots]
-    keys = keys.astype(np.uint64)
-    columns = np.arange(length)
-    while ids.shape[1] > 1 and len(rows):
-        i = ranks.argmin(axis=1)
-        n = np.arange(len(rows))
-        live = ranks[n, i] < table.NONE
-        if not live.all():  # units that are done leave
-            gone = ~live
-            out[rows[gone], : ids.shape[1]] = ids[gone]
-            rows, ids, at, slots, ranks, keys, i = rows[live], ids[live], at[live], slots[live], ranks[live], keys[live], i[live]
-            n = n[: len(rows)]
-            if not len(rows):
+def segment_units(symbols: np.ndarray, length: np.ndarray, keys: np.ndarray, table: PairTable, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """(symbols, whether each still stands) after the agendas of many units of at most SHORT symbols, which follow one another
+    in symbols; each step takes one candidate merge of every unit. The same as segment_short on each."""
+    out, stands = symbols.copy(), np.ones(len(symbols), bool)
+    many = length > 1
+    own = np.repeat(many, length)
+    where, length, keys = np.flatnonzero(own), length[many], keys[many]
+    none = table.NONE
+    sym, here = symbols[where], stands[where]
+    first = np.cumsum(length) - length
+    place = (np.arange(len(sym)) - np.repeat(first, length)).astype(np.int32)  # of a symbol's first character in its unit
+    after, before = place + 1, place - 1  # places of the neighbours
+    slot = np.zeros(len(sym), np.int64)
+    rank = np.full(len(sym), none, np.int32)  # of the merge with the next symbol, times 64, plus place: the least goes first
+    if len(sym):
+        inner = np.flatnonzero(after != np.repeat(length, length))
+        slot[inner] = table.find(sym[inner], sym[inner + 1])
+        r = table.rank[slot[inner]]
+        rank[inner] = np.where(r < none, r + place[inner], none)
+    while len(first):
+        best = np.minimum.reduceat(rank, first)
+        live = best < none
+        n = int(live.sum())
+        if 2 * n < len(first):  # units that are done leave
+            stay = np.repeat(live, length)
+            out[where], stands[where] = sym, here
+            where, sym, here, place, after, before, slot, rank = (x[stay] for x in (where, sym, here, place, after, before, slot, rank))
+            length, keys, best = length[live], keys[live], best[live]
+            first = np.cumsum(length) - length
+            if not n:
                 break
+            f, own, stop = first, keys, length
+        else:
+            best, f, own, stop = best[live], first[live], keys[live], length[live]
+        i = f + (best & 63)
+        mid = after[i]
+        j = f + mid
+        end = after[j]
         if limit:
-            a, m, z = (at[n, i + k].astype(np.uint64) for k in range(3))
-            low = np.uint64(0xFFFFFFFF)
-            h = (keys ^ (a * np.uint64(73856093) + m * np.uint64(19349663) + z * np.uint64(83492791))) * np.uint64(2654435761) & low
-            drop = ((h ^ (h >> np.uint64(15))) * np.uint64(2246822519) & low) < np.uint64(limit)
-            ranks[n[drop], i[drop]] = table.NONE
+            h = (own ^ (place[i].astype(np.uint64) * np.uint64(73856093) + mid.astype(np.uint64) * np.uint64(19349663) + end.astype(np.uint64) * np.uint64(83492791))) * np.uint64(2654435761) & _LOW
+            drop = ((h ^ (h >> np.uint64(15))) * np.uint64(2246822519) & _LOW) < np.uint64(limit)
+            rank[i[drop]] = none
             do = ~drop
-        else:
-            do = np.ones(len(rows), bool)
-        r, k = n[do], i[do]
-        if not len(r):
-            continue
-        ids[r, k] = table.merged[slots[r, k]]
-        # what stands behind the merge moves up by one; the last column is stale and lies beyond each unit's count
-        count[rows[r]] -= 1
-        width = ids.shape[1]
-        move = columns[: width - 1] + (columns[: width - 1] > k[:, None])
-        ids[r, : width - 1] = np.take_along_axis(ids[r], move, 1)
-        ids[r, width - 1] = -1
-        edge = columns[:width] + (columns[:width] > k[:, None])
-        at[r, :width] = np.take_along_axis(at[r], edge, 1)
-        if width > 2:
-            step = columns[: width - 2] + (columns[: width - 2] >= k[:, None])
-            slots[r, : width - 2] = np.take_along_axis(slots[r], step, 1)
-            ranks[r, : width - 2] = np.take_along_axis(ranks[r], step, 1)
-        ranks[r, width - 2] = table.NONE
-        now = count[rows[r]]
-        for side in (k - 1, k):
-            ok = (side >= 0) & (side + 1 < now)
-            rr, kk = r[ok], side[ok]
-            found = table.find(ids[rr, kk], ids[rr, kk + 1])
-            slots[rr, kk], ranks[rr, kk] = found, table.rank[found]
-    if len(rows):
-        out[rows, : ids.shape[1]] = ids
-    return out, count
-
-
-class _Memory(dict):
-    """unit -> its ids as little-endian 32-bit integers, for one variant of the key."""
-
-    def __init__(self, model: dict, limit: int, seed: int, variant: int, most: int):
-        self.model, self.limit, self.seed, self.variant, self.most = model, limit, seed, variant, most
-        self.older: dict[str, bytes] = {}
-
-    def __missing__(self, unit: str) -> bytes:
-        out = self.older.get(unit) or self.ids_of(unit)
-        if len(unit) <= SHORT:
-            if len(self) >= self.most:
-                self.older = dict(self)
-                self.clear()
-            self[unit] = out
-        return out
-
-    def learn(self, units: list[str], table: PairTable) -> None:
-        """Remembers all of these units; those of plain characters and usual length are encoded together."""
-        fresh = []
-        distinct = set(units)
-        if len(self) + len(distinct) > self.most:
-            self.older = dict(self)
-            self.clear()
-        for u in distinct:
-            if u not in self:
-                known = self.older.get(u)
-                if known is None:
-                    fresh.append(u)
-                else:
-                    self[u] = known
-        fresh = [u for u in fresh if 1 < len(u) <= SHORT]
-        if not fresh:
-            return
-        lengths = np.array([len(u) for u in fresh])
-        chars = table.char[np.frombuffer("".join(fresh).encode("utf-32-le", "surrogatepass"), np.uint32)]
-        first = np.concatenate(([0], np.cumsum(lengths)))[:-1]
-        plain = np.minimum.reduceat(chars, first) >= 0
-        for n in np.unique(lengths[plain]).tolist():
-            own = np.flatnonzero(plain & (lengths == n))
-            keys = np.array([_key(fresh[i], self.seed, self.variant) for i in own], np.int64) if self.limit else np.zeros(len(own), np.int64)
-            ids, count = segment_batch(chars[first[own][:, None] + np.arange(n)], keys, table, self.limit)
-            flat, width = ids.astype("<i4").tobytes(), 4 * n
-            for j, (i, c) in enumerate(zip(own.tolist(), count.tolist())):
-                self[fresh[i]] = flat[j * width : j * width + 4 * c]
-
-    def ids_of(self, unit: str) -> bytes:
-        pieces, by_byte = self.model["pieces"], self.model["bytes"]
-        key = _key(unit, self.seed, self.variant) if self.limit else 0
-        if SPACE in unit:  # a literal U+2581 would come back as a space, so it goes by its bytes, marked by a NUL
-            chars = ["\0" + c if c == SPACE else SPACE if c == " " else c for c in unit]
-        else:
-            chars = list(unit.replace(" ", SPACE))
-        ids: list[int] = []
-        for p in (segment_short if len(chars) <= SHORT else segment_long)(chars, self.model["rank"], key, self.limit):
-            i = pieces.get(p)
-            if i is None:
-                ids.extend(by_byte[b] for b in p.removeprefix("\0" if len(p) > 1 else "").encode("utf-8", "surrogatepass"))
-            else:
-                ids.append(i)
-        return array("i", ids).tobytes()
+            i, j, end, f, stop = i[do], j[do], end[do], f[do], stop[do]
+        sym[i] = table.merged[slot[i]]
+        here[j] = False
+        rank[i], rank[j] = none, none
+        after[i] = end
+        more = end < stop
+        x, z = i[more], (f + end)[more]
+        before[z] = place[x]
+        got = table.find(sym[x], sym[z])
+        r = table.rank[got]
+        slot[x], rank[x] = got, np.where(r < none, r + place[x], none)
+        led = before[i] >= 0
+        x = i[led]
+        z = f[led] + before[x]
+        got = table.find(sym[z], sym[x])
+        r = table.rank[got]
+        slot[z], rank[z] = got, np.where(r < none, r + place[z], none)
+    if len(where):
+        out[where], stands[where] = sym, here
+    return out, stands
 
 
 class Coder:
-    def __init__(self, model: dict, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS):
-        self.model = model
-        self.memories = [_Memory(model, int(dropout * 2**32), seed, v, REMEMBERED // variants) for v in range(variants)]
-        self.table = PairTable(model)
-        self.surface = [b""] * model["size"]
+    def __init__(self, model: dict, dropout: float = DROPOUT, seed: int = SEED):
+        self.model, self.limit, self.seed, self.table = model, int(dropout * 2**32), seed, PairTable(model)
+        surface = [b""] * model["size"]
         for p, i in model["pieces"].items():
-            self.surface[i] = p.replace(SPACE, " ").encode("utf-8", "surrogatepass")
+            surface[i] = p.replace(SPACE, " ").encode("utf-8", "surrogatepass")
         for b, i in enumerate(model["bytes"]):
-            self.surface[i] = bytes([b])
+            surface[i] = bytes([b])
+        self.width = np.array([len(x) for x in surface])
+        self.at, self.pool = np.cumsum(self.width) - self.width, np.frombuffer(b"".join(surface), np.uint8)
+        self.bytes = np.array(model["bytes"], np.int32)
+        self.name = {i: p for p, i in model["pieces"].items() if len(p) == 1}
+
+    def start(self, name) -> int:
+        """The key of the document of this doc_id."""
+        return zlib.crc32(str(name).encode("utf-8", "surrogatepass"), self.seed & 0xFFFFFFFF)
 
     def encode(self, text: str | None, start: int = 0) -> np.ndarray:
-        """ids of the text; none for null or empty. start: the variant of the first unit."""
-        if not text:
-            return np.zeros(0, np.int32)
-        return self._ids(_UNIT.findall(" " + text), start)
-
-    def _ids(self, units: list[str], start: int) -> np.ndarray:
-        v = len(self.memories)
-        out: list[bytes] = [b""] * len(units)
-        for k in range(min(v, len(units))):
-            out[k::v] = map(self.memories[(k + start) % v].__getitem__, units[k::v])
-        return np.frombuffer(b"".join(out), "<i4")
-
-    def encode_many(self, texts: list[str | None], starts: list[int]) -> list[np.ndarray]:
-        """encode of each, with the units that are new learnt together."""
-        v = len(self.memories)
-        units = [_UNIT.findall(" " + t) if t else [] for t in texts]
-        for k, memory in enumerate(self.memories):
-            memory.learn([u for own, s in zip(units, starts) for u in own[(k - s) % v :: v]], self.table)
-        return [self._ids(own, s) for own, s in zip(units, starts)]
+        """ids of the text; none for null or empty."""
+        return self.encode_many([text], [start])[0]
+
+    def _alone(self, symbols: list[int], key: int) -> list[int]:
+        """Symbols of one unit of any length after its agenda."""
+        pieces, size, name = self.model["pieces"], self.model["size"], self.name
+        # a literal U+2581 is no space, so it must not merge like one
+        chars = [name[s] if s < size else "\0" + SPACE if s == size + ord(SPACE) else chr(s - size) for s in symbols]
+        return [pieces.get(p, size + ord(p[-1])) for p in segment_long(chars, self.model["rank"], key, self.limit)]
+
+    def encode_many(self, texts: list[str | None], starts: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, one after another; where each text's ids begin, and the end)."""
+        whole = "".join(" " + t for t in texts if t)
+        sizes = np.array([len(t) + 1 if t else 0 for t in texts], np.int64)
+        if not whole:
+            return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
+        chars = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
+        begins = np.cumsum(sizes) - sizes
+        line, space = chars == 10, chars == 32
+        edge = line | (space & ~np.concatenate(([False], space[:-1])))
+        edge[1:] |= line[:-1]
+        edge[begins[sizes > 0]] = True
+        first = np.flatnonzero(edge)
+        length = np.diff(np.append(first, len(chars)))
+        doc = np.searchsorted(begins + sizes, first, "right")
+        index = np.arange(len(first)) - np.searchsorted(first, begins)[doc]
+        keys = unit_keys(np.array(starts, np.uint64)[doc], index)
+        symbols = self.table.char[chars]
+        long = np.flatnonzero(length > SHORT)
+        if len(long):
+            # a long unit stands as one symbol while the others step, and then as what the heap makes of it
+            alone = np.ones(len(symbols), bool)
+            for u in long.tolist():
+                alone[first[u] + 1 : first[u] + length[u]] = False
+            parts = [self._alone(symbols[first[u] : first[u] + length[u]].tolist(), int(keys[u])) for u in long.tolist()]
+            short = symbols[alone]
+            shorter = np.where(length > SHORT, 1, length)
+            out, stands = segment_units(short, shorter, keys, self.table, self.limit)
+            at = (np.cumsum(shorter) - shorter)[long]
+            pieces_of, last = [], 0
+            for a, ids in zip(at.tolist(), parts):
+                pieces_of += [out[last:a][stands[last:a]], np.array(ids, np.int32)]
+                last = a + 1
+            pieces_of.append(out[last:][stands[last:]])
+            made = np.concatenate(pieces_of)
+            counts = np.add.reduceat(stands.astype(np.int64), np.cumsum(shorter) - shorter)
+            counts[long] = [len(x) for x in parts]
+        else:
+            out, stands = segment_units(symbols, length, keys, self.table, self.limit)
+            made = out[stands]
+            counts = np.add.reduceat(stands.astype(np.int64), first)
+        owner = np.repeat(doc, counts)
+        rare = made >= self.table.size
+        if rare.any():
+            made, owner = self._as_bytes(made, owner, rare)
+        return made, np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=len(texts)))))
+
+    def _as_bytes(self, made: np.ndarray, owner: np.ndarray, rare: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols that are no pieces as the pieces of their UTF-8 bytes."""
+        points = np.where(rare, made - self.table.size, 0)
+        times = 1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000)
+        times[~rare] = 1
+        out, k = np.repeat(made, times), np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+        is_rare, point, total = np.repeat(rare, times), np.repeat(points, times), np.repeat(times, times)
+        rest = point >> (6 * (total - 1 - k))
+        lead = np.array([0, 0, 0xC0, 0xE0, 0xF0])[total]
+        byte = np.where(k == 0, rest | lead, (rest & 0x3F) | 0x80)
+        out[is_rare] = self.bytes[byte[is_rare]]
+        return out, np.repeat(owner, times)
+
+    def surfaces(self, ids: np.ndarray) -> bytes:
+        """The bytes that ids stand for."""
+        width = self.width[ids]
+        shift = self.at[ids] - (np.cumsum(width) - width)
+        return self.pool[np.repeat(shift, width) + np.arange(int(width.sum()))].tobytes()
 
     def decode(self, ids: np.ndarray) -> str:
-        return b"".join(map(self.surface.__getitem__, ids.tolist()))[1:].decode("utf-8", "surrogatepass")
+        return self.surfaces(ids)[1:].decode("utf-8", "surrogatepass")
+
+    def lossless(self, texts: list[str | None], ids: np.ndarray, at: np.ndarray) -> list[bool]:
+        """Whether the ids of each text decode to it."""
+        if self.surfaces(ids) == "".join(" " + t for t in texts if t).encode("utf-8", "surrogatepass") and not any(at[i + 1] > at[i] for i, t in enumerate(texts) if not t):
+            whole = np.cumsum(np.concatenate(([0], self.width[ids])))[at]
+            want = np.cumsum([0] + [len(t.encode("utf-8", "surrogatepass")) + 1 if t else 0 for t in texts])
+            if (whole == want).all():
+                return [True] * len(texts)
+        return [self.decode(ids[a:b]) == (t or "") for t, a, b in zip(texts, at[:-1], at[1:])]
 
 
 _coders: dict[tuple, Coder] = {}
 
 
-def _coder(shared, dropout: float, seed: int, variants: int) -> Coder:
-    name = (shared.id if hasattr(shared, "id") else id(shared), dropout, seed, variants)
+def _coder(shared, dropout: float, seed: int) -> Coder:
+    name = (shared.id if hasattr(shared, "id") else id(shared), dropout, seed)
     if name not in _coders:
         _coders.clear()
-        _coders[name] = Coder(shared.value, dropout, seed, variants)
+        _coders[name] = Coder(shared.value, dropout, seed)
     return _coders[name]
 
 
-def encode(docs: DataFrame, model_path: str = MODEL, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS) -> DataFrame:
+def encode(docs: DataFrame, model_path: str = MODEL, dropout: float = DROPOUT, seed: int = SEED) -> DataFrame:
     """One row per row of docs: doc_id, n_tokens, ids, lossless (whether decoding the ids gave the text again).
 
     Equal seeds and rows give equal ids wherever they run; dropout 0 gives the model's own encoding. Null and empty texts
-    have no ids and are lossless. Repeated rows come out alike; other columns are ignored. Each text is encoded whole, in
-    its own task; the vocabulary is sent once, as a broadcast of its fixed size."""
+    have no ids and are lossless; an empty table gives no rows. Repeated rows come out alike, and merges of equal rank go
+    from the left; other columns are ignored, whatever their names. Each text is encoded whole, however long, in its own
+    task; the vocabulary is sent once, as a broadcast of its fixed size."""
     shared = docs.sparkSession.sparkContext.broadcast(read_model(model_path))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _coder(shared, dropout, seed, variants)
+        coder = _coder(shared, dropout, seed)
         for batch in batches:
             names, texts = batch.column(0), batch.column(1)
-            starts = [zlib.crc32(str(n).encode(), seed) for n in names.to_pylist()]
+            starts = [coder.start(n) for n in names.to_pylist()]
             first = 0
             while first < batch.num_rows:
                 held, size = [], 0
-                while first + len(held) < batch.num_rows and size <= CHUNK_BYTES:
+                while first + len(held) < batch.num_rows and (not held or size <= CHUNK_CHARS):
                     held.append(texts[first + len(held)].as_py())
                     size += len(held[-1] or "")
-                ids = coder.encode_many(held, starts[first : first + len(held)])
-                same = [coder.decode(x) == (t or "") for x, t in zip(ids, held)]
-                at = np.concatenate(([0], np.cumsum([len(x) for x in ids])))
+                ids, at = coder.encode_many(held, starts[first : first + len(held)])
+                same = coder.lossless(held, ids, at)
                 yield pa.RecordBatch.from_arrays(
-                    [names.slice(first, len(held)), pa.array(np.diff(at)), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(ids), pa.int32())), pa.array(same, pa.bool_())],
+                    [names.slice(first, len(held)), pa.array(np.diff(at)), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32())), pa.array(same, pa.bool_())],
                     names=["doc_id", "n_tokens", "ids", "lossless"],
                 )
                 first += len(held)
@@ -350,7 +371,7 @@ def decode(encoded: DataFrame, model_path: str = MODEL) -> DataFrame:
     kind = encoded.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _coder(shared, 0.0, 0, 1)
+        coder = _coder(shared, 0.0, 0)
         for batch in batches:
             texts = [None if x.as_py() is None else coder.decode(np.array(x.as_py(), np.int32)) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])

@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pytest
@@ -29,12 +30,12 @@ def test_without_dropout_it_is_the_model_itself(model):
 
 def test_dropout_is_lossless_varied_and_repeatable(model):
     plain, a, b, other = (pieces.Coder(model, p, s) for p, s in ((0.0, 1), (0.3, 1), (0.3, 1), (0.3, 2)))
-    text = "internationalisation of representative tokenisations " * 20
-    x = a.encode(text)
-    assert x.tolist() == b.encode(text).tolist() != other.encode(text).tolist()
+    text = "internationalisation of representative tokenisations " * 200
+    x = a.encode(text, a.start(7))
+    assert x.tolist() == b.encode(text, b.start(7)).tolist() != other.encode(text, other.start(7)).tolist() and x.tolist() != a.encode(text, a.start(8)).tolist()
     assert len(x) > len(plain.encode(text)) and a.decode(x) == text
-    units = [tuple(np.frombuffer(m[" representative"], "<i4")) for m in a.memories]
-    assert len(set(units)) > 1
+    split = "\0".join(a.surfaces(np.array([i])).decode() for i in x.tolist())
+    assert len({w for w in re.split("\0(?= )", split) if w.replace("\0", "") == " representative"}) > 8
 
 
 def test_list_and_heap_agree(model):
@@ -46,13 +47,35 @@ def test_list_and_heap_agree(model):
     assert pieces.segment_short(list("there"), model["rank"], 99, 2**32) == list("there")
 
 
-def test_batches_equal_single_texts(model):
+def plainly(model, text, start, limit):
+    """The ids of a text by one list for each unit."""
+    size, out = model["size"], []
+    for k, unit in enumerate(re.findall(r" *[^ \n]+| +|\n", " " + text)):
+        chars = ["\0" + c if c == pieces.SPACE else pieces.SPACE if c == " " else c for c in unit]
+        key = int(pieces.unit_keys(np.array([start]), np.array([k]))[0])
+        for p in pieces.segment_short(chars, model["rank"], key, limit):
+            i = model["pieces"].get(p)
+            out += [model["bytes"][b] for b in p.removeprefix("\0" if len(p) > 1 else "").encode("utf-8", "surrogatepass")] if i is None else [i]
+    assert size > max(out)
+    return out
+
+
+def test_arrays_equal_a_list_for_each_unit(model):
     r = random.Random(8)
     texts = [t for t in TEXTS if t] + ["".join(r.choice("theranoing \n.,éßAB12▁😀") for _ in range(r.randint(1, 400))) for _ in range(200)]
     for p in (0.0, 0.1, 0.5, 1.0):
-        starts = [r.randrange(9) for _ in texts]
-        many, one = pieces.Coder(model, p).encode_many(texts, starts), pieces.Coder(model, p)
-        assert [x.tolist() for x in many] == [one.encode(t, s).tolist() for t, s in zip(texts, starts)]
+        coder = pieces.Coder(model, p)
+        starts = [r.randrange(2**32) for _ in texts]
+        ids, at = coder.encode_many([None, *texts, ""], [0, *starts, 0])
+        assert [ids[a:b].tolist() for a, b in zip(at[1:-2], at[2:-1])] == [plainly(model, t, s, coder.limit) for t, s in zip(texts, starts)]
+        assert at[0] == at[1] and at[-1] == at[-2] == len(ids)
+        assert coder.lossless([None, *texts, ""], ids, at) == [True] * (len(texts) + 2)
+
+
+def test_what_does_not_come_back_is_told(model):
+    coder = pieces.Coder(model, 0.0)
+    ids, at = coder.encode_many(["ab cd", "ef"], [1, 2])
+    assert coder.lossless(["ab cd", "eg"], ids, at) == [True, False] and coder.lossless(["ab c", "d ef"], ids, at) == [False, False]
 
 
 def test_round_trip_of_a_table(docs_of):
