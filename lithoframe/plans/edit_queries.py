@@ -52,7 +52,7 @@ QUERIES = {
     ),
     "trend_linear": (
         _trend,
-        "WITH p AS (SELECT * FROM part ORDER BY p_partkey LIMIT 500) SELECT 'b0' AS name, round(regr_intercept(p_retailprice, p_size), 4) AS value FROM p UNION ALL SELECT 'b1', round(regr_slope(p_retailprice, p_size), 4) FROM p",
+        "SELECT 'b0' AS name, round(regr_intercept(p_retailprice, p_size), 4) AS value FROM part UNION ALL SELECT 'b1', round(regr_slope(p_retailprice, p_size), 4) FROM part",
     ),
     "trend_expression": (
         lambda s, d: points(s, d).select("id", F.round(trend.parse_expression("2*x^0.5 - log(y + 10)/3", {"x": F.col("x"), "y": F.col("y")}), 6).alias("t")),

@@ -80,7 +80,7 @@ def _lines(s, d):
     return o.select(F.col("o_custkey").alias("line_id"), n.alias("ord"), (n * 100.0).alias("x"), (F.col("o_orderkey") % 37 * 10.0).alias("y"), F.col("o_totalprice").alias("z"))
 
 
-LINES = """v AS (SELECT o_custkey AS line_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS ord, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) * 100.0::DOUBLE AS x, (o_orderkey % 37) * 10.0::DOUBLE AS y, o_totalprice AS z FROM orders WHERE o_custkey < 50),
+LINES = """v AS (SELECT o_custkey AS line_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS ord, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) * 100.0::DOUBLE AS x, (o_orderkey % 37) * 10.0::DOUBLE AS y, o_totalprice AS z FROM orders),
 s AS (SELECT *, lead(x) OVER w AS x2, lead(y) OVER w AS y2, lead(z) OVER w AS z2 FROM v WINDOW w AS (PARTITION BY line_id ORDER BY ord)),
 l AS (SELECT *, sqrt((x2-x)^2+(y2-y)^2) AS len FROM s WHERE x2 IS NOT NULL),
 c AS (SELECT *, coalesce(sum(len) OVER (PARTITION BY line_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s0 FROM l WHERE len > 0)"""
@@ -110,7 +110,7 @@ QUERIES = {
     "lineage_derived": (lambda s, d: R.derived_from(_lineage(s, d), 42).select("output", F.size("inputs").alias("n_inputs")), "SELECT l_orderkey AS output, count(DISTINCT l_partkey)::INTEGER AS n_inputs FROM lineitem GROUP BY 1 HAVING bool_or(l_partkey = 42)"),
     "lineage_depth": (
         lambda s, d: R.lineage_depth(table(s, d, "part").select(F.floor(F.col("p_partkey") / 3).cast("long").alias("input"), F.col("p_partkey").alias("output")).where("input <> output"), s.range(1)),
-        "WITH RECURSIVE e AS (SELECT p_partkey // 3 AS input, p_partkey AS output FROM part WHERE p_partkey // 3 <> p_partkey), r(id, depth) AS (SELECT 0::BIGINT, 0 UNION ALL SELECT output, depth + 1 FROM r JOIN e ON e.input = r.id WHERE depth < 8) SELECT id, min(depth) AS depth FROM r GROUP BY id",
+        "WITH RECURSIVE e AS (SELECT p_partkey // 3 AS input, p_partkey AS output FROM part WHERE p_partkey // 3 <> p_partkey), r(id, depth) AS (SELECT 0::BIGINT, 0 UNION ALL SELECT output, depth + 1 FROM r JOIN e ON e.input = r.id) SELECT id, min(depth) AS depth FROM r GROUP BY id",
     ),
     "rls_visible": (
         lambda s, d: R.visible(_objects(s, d), 3, _teams(s, d), _grants(s, d)).select("id"),
@@ -127,7 +127,8 @@ QUERIES = {
     ),
     "job_enqueue": (
         lambda s, d: R.enqueue(_jobs(s, d).where("NOT retry"), _jobs(s, d).where("retry"), 1e9, F.expr(NOW)).select("key", "id"),
-        "SELECT (event_id % 500)::VARCHAR AS key, min(event_id) AS id FROM events WHERE event_id >= 100 AND event_id < 900 AND event_id % 500 >= 200 GROUP BY 1",
+        """WITH j AS (SELECT event_id AS id, concat_ws('/', user_id::VARCHAR, ts::DATE::VARCHAR) AS key, coalesce(event_type = 'error', false) AS retry FROM events)
+        SELECT key, min(id) AS id FROM j WHERE retry AND NOT EXISTS (SELECT 1 FROM j o WHERE o.key = j.key AND NOT o.retry) GROUP BY 1""",
     ),
     "default_basemap_fallback": (
         lambda s, d: R.default_choice(

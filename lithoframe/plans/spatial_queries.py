@@ -130,8 +130,11 @@ QUERIES = {
     ),
     "box_union": (
         lambda s, d: S.union_layers(boxes(s, d), zones(s, d)).groupBy("part").agg(F.round(F.sum((F.col("xmax") - F.col("xmin")) * (F.col("ymax") - F.col("ymin"))), 2).alias("area")),
-        f"""WITH {BOX}, {Z}, z AS (SELECT * FROM zones WHERE zid = 12), i AS (SELECT sum(greatest(0, least(a.xmax, b.xmax)-greatest(a.xmin, b.xmin))*greatest(0, least(a.ymax, b.ymax)-greatest(a.ymin, b.ymin))) AS i FROM bx a, z b)
-        SELECT 'left' AS part, round((SELECT sum((xmax-xmin)*(ymax-ymin)) FROM bx) - i, 2) AS area FROM i UNION ALL SELECT 'right', round((SELECT sum((xmax-xmin)*(ymax-ymin)) FROM z), 2) UNION ALL SELECT 'both', round(i, 2) FROM i WHERE i > 0""",
+        # the boxes' edges stand on multiples of 1000 and 500, so cells of that size are covered whole or not at all; zones fill a square
+        f"""WITH {BOX}, {Z}, i AS (SELECT sum(greatest(0, least(a.xmax, b.xmax)-greatest(a.xmin, b.xmin))*greatest(0, least(a.ymax, b.ymax)-greatest(a.ymin, b.ymin))) AS i FROM bx a, zones b),
+        c AS (SELECT x, y FROM (SELECT unnest(range(110)) * 1000.0::DOUBLE AS x), (SELECT unnest(range(210)) * 500.0::DOUBLE AS y) WHERE EXISTS (SELECT 1 FROM bx WHERE xmin <= x AND xmax >= x + 1000 AND ymin <= y AND ymax >= y + 500)),
+        u AS (SELECT sum(greatest(0, least(x + 1000, e) - x) * greatest(0, least(y + 500, e) - y)) AS u FROM c, (SELECT max(xmax) AS e FROM zones))
+        SELECT * FROM (SELECT 'left' AS part, round((SELECT sum((xmax-xmin)*(ymax-ymin)) FROM bx) - i, 2) AS area FROM i UNION ALL SELECT 'right', round((SELECT sum((xmax-xmin)*(ymax-ymin)) FROM zones) - u, 2) FROM u UNION ALL SELECT 'both', round(i, 2) FROM i) WHERE area > 0""",
     ),
     "box_buffer": (
         lambda s, d: S.buffer_boxes(boxes(s, d), -1200.0).select("sid", *G.SIDES),

@@ -1,10 +1,11 @@
-"""Lineage cuts in the shared checkpoint folder."""
+"""Lineage cuts in the shared checkpoint folder, and files that only one writer can create."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -13,3 +14,28 @@ def cut(df: DataFrame) -> DataFrame:
     if not (sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()):
         sc.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='lithoframe-')}")
     return df.checkpoint()
+
+
+def create_once(spark: SparkSession, path: str, body: bytes) -> bool:
+    """Creates the file whole, unless it exists: whether this call did. Of several writers, one succeeds.
+
+    The body is written under another name first, so no reader sees a part of it. On a local file system the name is made by
+    a hard link, elsewhere by a rename; both fail where the name is taken."""
+    jvm = spark.sparkContext._jvm
+    final, draft = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.{uuid.uuid4().hex}.draft"))
+    fs = final.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = fs.create(draft, False)
+    out.write(bytearray(body))
+    out.close()
+    try:
+        if fs.getScheme() != "file":
+            return bool(fs.rename(draft, final))
+        made, source = (jvm.java.io.File(p.toUri().getPath()).toPath() for p in (final, draft))
+        jvm.java.nio.file.Files.createLink(made, source)
+        return True
+    except Exception:
+        if fs.exists(final):
+            return False
+        raise
+    finally:
+        fs.delete(draft, False)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from ..errors import require
 from ..functions.geometry import hilbert_index
 from ..operators.registry import apply_edits
+from ..scratch import create_once
 
 #: Bytes of a row group, and the length of shapefile names.
 GROUP_BYTES, SHAPE_NAME = 128 << 20, 10
@@ -21,7 +23,8 @@ class VersionConflict(RuntimeError):
 
 
 class LayerStore:
-    """<root>/v<N>/*.parquet and <root>/manifest-<N>.json; the highest manifest is the layer."""
+    """<root>/<folder>/*.parquet and <root>/manifest-<N>.json, which names its folder; the highest manifest is the layer. A
+    writer that dies leaves only a folder that no manifest names."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root
@@ -43,20 +46,28 @@ class LayerStore:
         b = layer.agg(F.count("*").alias("n"), *[f(f"bbox.{c}").alias(c) for c, f in (("xmin", F.min), ("ymin", F.min), ("xmax", F.max), ("ymax", F.max))]).first()
         require(b["n"] > 0, "the layer is empty; there is nothing to write")
         box = tuple(float(b[c]) for c in ("xmin", "ymin", "xmax", "ymax"))
+        folder = f"v{now + 1}-{uuid.uuid4().hex}"
         key = hilbert_index((F.col("bbox.xmin") + F.col("bbox.xmax")) / 2, (F.col("bbox.ymin") + F.col("bbox.ymax")) / 2, box)
         sorted_ = layer.withColumn("__h", key).repartitionByRange("__h", "id").sortWithinPartitions("__h", "id").drop("__h")
-        sorted_.write.option("compression", "zstd").option("parquet.block.size", GROUP_BYTES).parquet(f"{self.root}/v{now + 1}")
-        body = json.dumps({"version": now + 1, "rows": b["n"], "bbox": box, **(note or {})}).encode()
-        try:
-            out = self._fs.create(self._path(f"{self.root}/manifest-{now + 1}.json"), False)
-        except Exception as e:
-            raise VersionConflict(f"version {now + 1} was written by somebody else; reload the layer and edit again") from e
-        out.write(bytearray(body))
-        out.close()
+        sorted_.write.option("compression", "zstd").option("parquet.block.size", GROUP_BYTES).parquet(f"{self.root}/{folder}")
+        body = json.dumps({"version": now + 1, "folder": folder, "rows": b["n"], "bbox": box, **(note or {})}).encode()
+        if not create_once(self.spark, f"{self.root}/manifest-{now + 1}.json", body):
+            self._fs.delete(self._path(f"{self.root}/{folder}"), True)
+            raise VersionConflict(f"version {now + 1} was written by somebody else; reload the layer and edit again")
         return now + 1
 
+    def manifest(self, version: int | None = None) -> dict:
+        stream = self._fs.open(self._path(f"{self.root}/manifest-{version or self.version()}.json"))
+        try:
+            return json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def folder(self, version: int | None = None) -> str:
+        return f"{self.root}/{self.manifest(version)['folder']}"
+
     def read(self, version: int | None = None) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/v{version or self.version()}")
+        return self.spark.read.parquet(self.folder(version))
 
     def save_edits(self, edits: DataFrame, base_version: int) -> int:
         return self.write(apply_edits(self.read(base_version), edits), base_version, {"operation": "edit", "input": base_version})

@@ -111,7 +111,7 @@ def test_store_versions_pruning_and_conflicts(spark, sf_dir, tmp_path):
     assert now[1] == "x" and now[2] == "y" and 3 not in now and len(now) == layer.count() - 1 and s.read(1).count() == layer.count()
     with pytest.raises(LayerError):
         registry.apply_edits(layer, spark.createDataFrame([(-5, 1, True)], "id long, seq int, deleted boolean"))
-    bounds = store.row_group_bounds(f"file://{tmp_path}/layer/v1")
+    bounds = store.row_group_bounds(s.folder(1))
     assert bounds and all(b["xmin"] <= b["xmax"] for b in bounds)
     spark.conf.set("spark.sql.maxMetadataStringLength", 4000)
     plan = s.read().where(attributes.overlaps_box("bbox", (0.0, 0.0, 9.0, 9.0)))._jdf.queryExecution().executedPlan().toString()
