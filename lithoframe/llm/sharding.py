@@ -1,9 +1,10 @@
 """Size-tiered compaction of a document store: small immutable shards in, target-sized shards and a versioned manifest out.
 
 A store is a folder of Parquet shards and of manifests manifest-<version>.json. A manifest lists the shards that make up
-the store (path, rows, bytes, tier); the highest version is the store. A version is committed by creating its file, which
-fails where another writer has created it first; nothing that a manifest names is ever changed, and a job that dies before
-its commit leaves only files that no manifest names."""
+the store (path, rows, bytes, tier); the highest version is the store. A version is committed by creating its file whole,
+which fails where another writer has created it first; nothing that a manifest names is ever changed, and a job that dies
+before its commit leaves only files that no manifest names. Shards are deleted by vacuum alone, which leaves those of the
+versions that readers may still use."""
 
 from __future__ import annotations
 
@@ -16,12 +17,13 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import create_once
 from .common import scratch_path
 
 #: Bytes that a shard should have, shards of a tier that are merged at a time at least, and the ratio of tiers' sizes.
 TARGET_BYTES, FAN_IN, RATIO = 64 << 20, 4, 4
-#: Merges that run side by side.
-MERGES_AT_A_TIME = 16
+#: Merges that run side by side, arrivals that a load is dealt into, and versions that stay readable while it runs.
+MERGES_AT_A_TIME, ARRIVALS, READABLE = 16, 4, 2
 
 
 class Conflict(RuntimeError):
@@ -56,38 +58,45 @@ class Store:
             stream.close()
 
     def commit(self, base: int, shards: list[dict]) -> dict:
-        """Makes version base + 1 of these shards; raises Conflict where it exists already.
-
-        The manifest is written whole under another name and renamed: a rename onto an existing file fails, so a reader
-        sees the whole of a version or nothing of it."""
+        """Makes version base + 1 of these shards; raises Conflict where it exists already."""
         made = {"version": base + 1, "shards": sorted(shards, key=lambda s: s["path"])}
-        final = self._path(f"{self.path}/manifest-{base + 1:08d}.json")
-        draft = self._path(f"{scratch_name(self.path)}.draft")
-        out = self._fs.create(draft, False)
-        out.write(bytearray(json.dumps(made).encode()))
-        out.close()
-        try:
-            if self._fs.exists(final) or not self._fs.rename(draft, final):
-                raise Conflict(f"version {base + 1} of {self.path} was committed by another writer; read it and try again")
-        finally:
-            self._fs.delete(draft, False)
+        if not create_once(self.spark, f"{self.path}/manifest-{base + 1:08d}.json", json.dumps(made).encode()):
+            raise Conflict(f"version {base + 1} of {self.path} was committed by another writer; read it and try again")
         return made
 
-    def _written(self, folder: str, tier_of) -> list[dict]:
-        files = [s for s in self._fs.listStatus(self._path(folder)) if s.getPath().getName().endswith(".parquet")]
-        return [{"path": f"{folder}/{s.getPath().getName()}", "bytes": s.getLen(), "tier": tier_of(s.getLen())} for s in files]
+    def _written(self, folders: list[str]) -> list[dict]:
+        """The shards in folders: paths and bytes from the file system, rows by one count over their footers."""
+        found = [(folder, s) for folder in folders for s in self._fs.listStatus(self._path(folder)) if s.getPath().getName().endswith(".parquet")]
+        if not found:
+            return []
+        name = F.regexp_extract("_metadata.file_path", "[^/]+/[^/]+$", 0)
+        counted = self.spark.read.schema("__lf_none int").parquet(*[f"{folder}/{s.getPath().getName()}" for folder, s in found]).groupBy(name.alias("name")).count()
+        rows = {r["name"]: r["count"] for r in counted.collect()}
+        out = []
+        for folder, s in found:
+            path = f"{folder}/{s.getPath().getName()}"
+            out.append({"path": path, "rows": rows.get("/".join(path.split("/")[-2:]), 0), "bytes": s.getLen(), "tier": self.tier(s.getLen())})
+        return out
 
     def tier(self, size: int) -> int:
         """0 for the target and above; each tier below is RATIO times smaller."""
         return 0 if size >= self.target * 3 // 4 else math.floor(math.log(self.target / max(1, size), RATIO)) + 1
 
-    def append(self, arrivals: DataFrame) -> dict:
-        """Commits the rows as small shards, one for each task's output: nothing is shuffled or sorted."""
-        base = self.manifest()
+    def write(self, arrivals: DataFrame) -> list[dict]:
+        """The rows as small immutable shards, one for each task's output, which no version names yet: nothing is shuffled or
+        sorted."""
         folder = f"{self.path}/{fresh('arrival')}"
         arrivals.write.parquet(folder)
-        new = [s for s in self._written(folder, self.tier)]
-        return self.commit(base["version"], base["shards"] + new)
+        return self._written([folder])
+
+    def append(self, arrivals: DataFrame) -> dict:
+        """Commits the rows as small shards."""
+        return self.add(self.write(arrivals))
+
+    def add(self, shards: list[dict]) -> dict:
+        """Commits written shards after those of the newest version."""
+        base = self.manifest()
+        return self.commit(base["version"], base["shards"] + shards)
 
     def plan(self, shards: Iterable[dict], final: bool = False) -> list[list[dict]]:
         """Groups of shards to merge: from the smallest tier on, fan_in or more of a tier, packed up to the target. With
@@ -116,14 +125,14 @@ class Store:
             return base
         schema = schema or self.schema(base)
 
-        def merge(group: list[dict]) -> list[dict]:
+        def merge(group: list[dict]) -> str:
             # a job of its own for each merge: a union of single-partition reads may come out as one partition
             folder = f"{self.path}/{fresh('merged')}"
             self.spark.read.schema(schema).parquet(*[s["path"] for s in group]).coalesce(1).write.parquet(folder)
-            return self._written(folder, self.tier)
+            return folder
 
         with ThreadPoolExecutor(MERGES_AT_A_TIME) as pool:
-            new = [s for made in pool.map(merge, groups) for s in made]
+            new = self._written(list(pool.map(merge, groups)))
         gone = {s["path"] for g in groups for s in g}
         return self.commit(base["version"], [s for s in base["shards"] if s["path"] not in gone] + new)
 
@@ -152,36 +161,41 @@ def fresh(label: str) -> str:
     return f"{label}-{uuid.uuid4().hex}"
 
 
-def scratch_name(path: str) -> str:
-    return f"{path}/{fresh('draft')}"
-
+def shard_documents(docs: DataFrame, path: str | None = None, target_bytes: int = TARGET_BYTES, arrivals: int = ARRIVALS) -> tuple[Store, dict]:
+    """A store of all rows of docs, and its manifest. The shards that one pass over docs writes arrive in `arrivals` commits,
+    one after another; after each, tiers that hold enough shards are merged until none does, and shards that only versions
+    before the last READABLE ones name are deleted.
 
-def shard_documents(docs: DataFrame, path: str | None = None, target_bytes: int = TARGET_BYTES) -> tuple[Store, dict]:
-    """A store of all rows of docs: appended, compacted tier by tier until nothing merges, the rest packed, old shards
-    deleted; and its manifest. Rows keep every column, nulls, repeats and texts of any length."""
+    Rows keep every column, nulls, empty texts, repeats and texts of any length. Shards of equal size merge in the order of
+    their paths. An empty table gives a store without rows."""
     store = Store(docs.sparkSession, path or scratch_path(docs.sparkSession, "store"), target_bytes)
-    now = store.append(docs)
-    while True:
-        nxt = store.compact(schema=docs.schema)
-        if nxt["version"] == now["version"]:
-            break
-        now = nxt
-        store.vacuum(now["version"])
-    now = store.compact(final=True, schema=docs.schema)
-    store.vacuum(now["version"])
+    written = store.write(docs)
+    step = max(1, -(-len(written) // arrivals))
+    now = store.manifest()
+    for first in range(0, len(written), step):
+        now = store.add(written[first : first + step])
+        while True:
+            nxt = store.compact(schema=docs.schema)
+            if nxt["version"] == now["version"]:
+                break
+            now = nxt
+            store.vacuum(now["version"] + 1 - READABLE)
     return store, now
 
 
 def shard_digest(docs: DataFrame, target_bytes: int = TARGET_BYTES) -> DataFrame:
-    """doc_id, shard, shard_bytes, version, text_sha256 of every row of the compacted store, read back from its shards."""
+    """doc_id, shard, shard_rows, shard_bytes, version, text_sha256 of every row of the compacted store, read back from its
+    shards; no row for an empty table. Columns other than doc_id and text are kept in the shards, whatever their names, and not
+    read back."""
     store, now = shard_documents(docs, target_bytes=target_bytes)
-    rows = store.read(docs.schema)
+    spark, schema = docs.sparkSession, docs.select("doc_id", "text").schema
+    rows = store.read(schema)
     if not now["shards"]:
-        return rows.select("doc_id", F.lit("").alias("shard"), F.lit(0).cast("long").alias("shard_bytes"), F.lit(now["version"]).cast("long").alias("version"), F.sha2("text", 256).alias("text_sha256"))
+        none = rows.select("doc_id", F.lit("").alias("shard"), F.lit(0).cast("long").alias("shard_rows"), F.lit(0).cast("long").alias("shard_bytes"))
+        return none.select("*", F.lit(now["version"]).cast("long").alias("version"), F.lit("").alias("text_sha256"))
+    # a row for each shard of the store: the manifest, which the driver holds anyway
+    listed = spark.createDataFrame([(s["path"].split("/")[-1], s["rows"]) for s in now["shards"]], "shard string, shard_rows long")
     return rows.select(
-        rows["doc_id"], F.col("_metadata.file_name").alias("shard"), F.col("_metadata.file_size").alias("shard_bytes"),
-        F.lit(now["version"]).cast("long").alias("version"), F.sha2(rows["text"], 256).alias("text_sha256"),
-    )
-
-
-
+        "doc_id", F.col("_metadata.file_name").alias("shard"), F.col("_metadata.file_size").alias("shard_bytes"),
+        F.lit(now["version"]).cast("long").alias("version"), F.sha2("text", 256).alias("text_sha256"),
+    ).join(listed, "shard", "left").select("doc_id", "shard", "shard_rows", "shard_bytes", "version", "text_sha256")

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import threading
 
 import pytest
@@ -14,6 +15,44 @@ def test_rows_survive_and_shards_reach_the_target(docs_of):
     assert sorted(((r.doc_id, r.text_sha256) for r in got), key=str) == want
     sizes = {r.shard: r.shard_bytes for r in got}
     assert 2 < len(sizes) < 24 and max(sizes.values()) <= 16_000
+    assert all(sum(r.shard == s for r in got) == n for s, n in {(r.shard, r.shard_rows) for r in got})
+
+
+def test_names_that_clash_and_long_texts_stay(spark, tmp_path):
+    rows = [(1, "x" * 300_000, {"file_name": "a"}, 5), (None, "", None, None)]
+    df = spark.createDataFrame([(i, t, (m or {}).get("file_name"), z) for i, t, m, z in rows], "doc_id long, text string, _metadata string, __lf_none int")
+    store, now = sharding.shard_documents(df, f"file://{tmp_path}/c")
+    assert sorted(map(tuple, store.read(df.schema).collect()), key=str) == sorted([(1, "x" * 300_000, "a", 5), (None, "", None, None)], key=str)
+    assert sum(s["rows"] for s in now["shards"]) == 2 and sharding.shard_digest(df).count() == 2
+
+
+def plan_by_tiers(sizes, target, fan_in, ratio):
+    """Sizes of the groups that merge, plainly: from the smallest tier on, shards by size are packed up to 5/4 of the target."""
+    tiers = {}
+    for n in sorted(sizes):
+        t = 0 if n >= target * 3 // 4 else next(k for k in range(1, 99) if n * ratio**k > target)
+        tiers.setdefault(t, []).append(n)
+    tiers.pop(0, None)
+    out = []
+    for t in sorted(tiers, reverse=True):
+        runs = [[]]
+        for n in tiers[t]:
+            if runs[-1] and sum(runs[-1]) + n > target * 5 // 4:
+                runs.append([])
+            runs[-1].append(n)
+        out += [r for r in runs if len(r) >= fan_in or (len(r) > 1 and sum(r) >= target * 3 // 4)]
+    return out
+
+
+def test_plans_equal_the_plain_rule(spark, tmp_path):
+    r = random.Random(1)
+    store = sharding.Store(spark, f"file://{tmp_path}/p", target_bytes=1000, fan_in=3)
+    for _ in range(200):
+        sizes = [r.choice([3, 17, 40, 90, 260, 400, 700, 751, 900, 2000]) + r.randrange(9) for _ in range(r.randrange(40))]
+        shards = [{"path": f"{i:03d}", "bytes": n, "rows": 1, "tier": store.tier(n)} for i, n in enumerate(sizes)]
+        assert [[s["bytes"] for s in g] for g in store.plan(shards)] == plan_by_tiers(sizes, 1000, 3, sharding.RATIO)
+        sealed = store.plan(shards, final=True)
+        assert all(len(g) > 1 and all(s["tier"] > 0 for s in g) for g in sealed)
 
 
 def test_versions_appends_and_conflicts(spark, docs_of, tmp_path):
@@ -34,19 +73,21 @@ def test_versions_appends_and_conflicts(spark, docs_of, tmp_path):
 
 
 def test_one_of_several_writers_wins(spark, tmp_path):
-    store = sharding.Store(spark, f"file://{tmp_path}/r")
-    won = []
-
-    def write(k):
-        try:
-            store.commit(0, [{"path": str(k), "bytes": 1, "tier": 1}])
-            won.append(k)
-        except sharding.Conflict:
-            pass
-
-    ts = [threading.Thread(target=write, args=(k,)) for k in range(4)]
-    [t.start() for t in ts], [t.join() for t in ts]
-    assert len(won) >= 1 and store.versions() == [1]
+    for race in range(40):
+        store = sharding.Store(spark, f"file://{tmp_path}/r{race}")
+        won, gate = [], threading.Barrier(4)
+
+        def write(k, store=store, won=won, gate=gate):
+            gate.wait()
+            try:
+                store.commit(0, [{"path": str(k), "rows": 1, "bytes": 1, "tier": 1}])
+                won.append(k)
+            except sharding.Conflict:
+                pass
+
+        ts = [threading.Thread(target=write, args=(k,)) for k in range(4)]
+        [t.start() for t in ts], [t.join() for t in ts]
+        assert len(won) == 1 and store.versions() == [1] and store.manifest()["shards"][0]["path"] == str(won[0])
 
 
 def test_empty(docs_of):
