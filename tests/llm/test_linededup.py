@@ -33,13 +33,22 @@ def test_digest_equals_brute_force(docs_of):
     assert sorted(((r.doc_id, r.n_lines, r.n_dropped, r.kept_sha256) for r in got), key=str) == brute(ROWS)
 
 
-def test_bitmaps_are_runs_of_kept_and_lost_lines(docs_of):
-    for r in linededup.keep_bitmaps(docs_of(ROWS)).collect():
-        at, lost = 0, []
-        for kept, gone in zip(r.keep_runs[0::2], r.keep_runs[1::2]):
-            lost += range(at + kept, at + kept + gone)
-            at += kept + gone
-        assert lost == list(r.drops)
+def test_bitmaps_hold_what_stays(docs_of):
+    for few in (0, 10**6):
+        found = linededup.keep_bitmaps(docs_of(ROWS), broadcast_rows=few).collect()
+        want = {r[:2] + r[3:]: r[2] for r in brute(ROWS) if r[2]}
+        texts = {}
+        for r in found:
+            assert r.keep_runs[0].start == 0 and [x.stop is None for x in r.keep_runs] == [False] * (len(r.keep_runs) - 1) + [True]
+            assert all(a.stop < b.start for a, b in zip(r.keep_runs, r.keep_runs[1:]))
+            for i, t in ROWS:
+                if i == r.doc_id and t:
+                    lines = t.split("\n")
+                    kept = [s for x in r.keep_runs for s in lines[x.start : len(lines) if x.stop is None else x.stop]]
+                    key = (i, len(lines), hashlib.sha256("\n".join(kept).encode()).hexdigest())
+                    if want.get(key) == len(lines) - len(kept):
+                        texts[key] = want[key]
+        assert texts == want and len(found) == len(want)
 
 
 def test_columns_stay_and_empty(docs_of):
