@@ -21,47 +21,55 @@ K, EVERY, SCALE, BLOCK = 5, 50, 256, 16
 #: Queries and candidates of one block; a task holds one block of each.
 QUERY_BLOCK, CANDIDATE_BLOCK = 512, 8192
 #: Sums below this are exact in double precision.
-EXACT = 2.0**53
+EXACT, LONG = 2.0**53, 2.0**63
 
 
 def _search(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query index, candidate index, score) of each query's k best of the candidates, ties to the smaller id; c and q hold
-    integers, one row for each dimension. Candidates with the query's own id don't count."""
+    integers, one row for each dimension. Candidates with the query's own id don't count.
+
+    Partial scores are doubles. Their bounds hold the most that rounding can have taken, which is nothing while sums stay
+    below 2^53; beyond, the survivors' scores are summed again as integers and held to what a long holds."""
     dims = q.shape[0]
-    wide = dims and float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * dims >= EXACT
+    wide = dims and float(np.abs(q.astype(float)).max(initial=0)) * float(np.abs(c.astype(float)).max(initial=0)) * dims >= EXACT
     order = np.argsort(-(c.astype(float) ** 2).sum(axis=1), kind="stable")  # heavy dimensions first, so bounds close early
-    q, c = q[order], c[order]
-    if wide:  # beyond double precision: exact integers, without bounds
-        scores = np.clip(c.astype(object).T @ q.astype(object), -(2**63), 2**63 - 1)
-        out = [(i, j, int(scores[j, i])) for i in range(q.shape[1]) for j in sorted((j for j in range(len(c_ids)) if c_ids[j] != q_ids[i]), key=lambda j: (-scores[j, i], c_ids[j]))[:k]]
-        return tuple(np.array([r[x] for r in out], np.int64) for x in range(3))
-    q, c = q.astype(float), c.astype(float)
+    whole_q, whole_c = q[order], c[order]
+    q, c = whole_q.astype(float), whole_c.astype(float)
     cuts = list(range(0, dims, block)) + [dims]
     rest = lambda m: [np.sqrt((m[a:] ** 2).sum(axis=0)) for a in cuts]
     q_rest, c_rest = rest(q), rest(c)
     first = q[: cuts[1]].T @ c[: cuts[1]] if dims else np.zeros((q.shape[1], c.shape[1]))
+    lost = (dims + 2) * 2.0**-50 if wide else 0.0
     qi, ci, sc = [], [], []
     for i in range(q.shape[1]):
-        partial = first[i]
         live = np.flatnonzero(c_ids != q_ids[i])
-        partial = partial[live]
+        partial = first[i][live]
         if dims and len(live) > k:
+            slack = lost * q_rest[0][i] * c_rest[0]
             # the k best so far, by their whole scores, give the first bar
             lead = live[np.argpartition(-partial, k - 1)[:k]]
-            bar = np.sort(q[:, i] @ c[:, lead])[0]
-            for b in range(1, len(cuts) - 1):
-                most = partial + q_rest[b][i] * c_rest[b][live] * (1 + 1e-9) + 1e-6
-                stay = most >= bar
+            bar = min(float((q[:, i] @ c[:, lead] - slack[lead]).min()), LONG)
+            for b in range(1, len(cuts)):
+                most = partial + q_rest[b][i] * c_rest[b][live] * (1 + 1e-9) + slack[live] + 1e-6
+                stay = np.maximum(most, -LONG) >= bar
                 if not stay.all():
                     live, partial = live[stay], partial[stay]
-                partial = partial + q[cuts[b] : cuts[b + 1], i] @ c[cuts[b] : cuts[b + 1]][:, live]
-                if len(live) > k:
-                    done = partial - q_rest[b + 1][i] * c_rest[b + 1][live] * (1 + 1e-9) - 1e-6
-                    bar = max(bar, np.partition(done, len(done) - k)[len(done) - k])
-        best = np.lexsort((c_ids[live], -partial))[:k]
+                if b + 1 < len(cuts):
+                    partial = partial + q[cuts[b] : cuts[b + 1], i] @ c[cuts[b] : cuts[b + 1]][:, live]
+                    if len(live) > k:
+                        done = partial - q_rest[b + 1][i] * c_rest[b + 1][live] * (1 + 1e-9) - slack[live] - 1e-6
+                        bar = max(bar, min(float(np.partition(done, len(done) - k)[len(done) - k]), LONG))
+        if wide:
+            own = [int(x) for x in whole_q[:, i]]
+            exact = [max(-(2**63), min(2**63 - 1, sum(a * int(b) for a, b in zip(own, whole_c[:, j])))) for j in live.tolist()]
+            partial = np.array(exact, np.int64)
+            best = np.lexsort((c_ids[live], ~partial))[:k]  # ~x falls as x rises and holds every long
+        else:
+            best = np.lexsort((c_ids[live], -partial))[:k]
+            partial = np.rint(partial).astype(np.int64)
         qi.append(np.full(len(best), i)), ci.append(live[best]), sc.append(partial[best])
-    cat = lambda x: np.concatenate(x) if x else np.zeros(0)
-    return cat(qi).astype(np.int64), cat(ci).astype(np.int64), np.rint(cat(sc)).astype(np.int64)
+    cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
+    return cat(qi).astype(np.int64), cat(ci).astype(np.int64), cat(sc).astype(np.int64)
 
 
 def _pack(block: int):
@@ -123,14 +131,15 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
     a query of its own vec_id.
 
     Both sides are cut into blocks of bounded size, each query block meets each candidate block once, and every meeting
-    sends on k rows for a query. Rows that repeat a vec_id stand once, the one of greatest components. An empty vector
-    scores 0 with all; scores that a long can't hold are held to its ends; other columns are ignored."""
+    sends on k rows for a query. Rows that repeat a vec_id are candidates each; where a query's vec_id repeats, equal rows ask
+    once, and the k best of its different rows' scores count. An empty vector scores 0 with all, and what a shorter vector lacks counts as 0; scores that a
+    long can't hold are held to its ends; an empty table gives no rows; other columns are ignored, whatever their names."""
     spark = vectors.sparkSession
-    base = Written(quantised(vectors).groupBy("vec_id").agg(F.max("v").alias("v")), "vectors")
+    base = Written(quantised(vectors), "vectors")
     packed = "part long, ids binary, dims long, m binary"
     own = F.spark_partition_id().cast("long")
     c = Written(base.df.select(own.alias("part"), "vec_id", "v").mapInArrow(_pack(CANDIDATE_BLOCK), packed), "candidates")
-    queries = base.df.where(F.col("vec_id") % every == 0)
+    queries = base.df.where(F.col("vec_id") % every == 0).distinct()
     n = -(-queries.count() // QUERY_BLOCK)
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")

@@ -44,7 +44,7 @@ def test_top_k_equals_brute_force(spark, rows):
 
 def test_branch_and_bound_alone_with_ties_and_wide_numbers():
     r = np.random.default_rng(6)
-    for scale in (3, 300, 2**28, 2**40):
+    for scale in (3, 300, 2**24, 2**28, 2**40, 2**62):
         c = r.integers(-scale, scale + 1, (40, 500))
         q = np.concatenate((c[:, :7], r.integers(-scale, scale + 1, (40, 3))), axis=1)
         qi, ci, sc = topk._search(np.array([*range(7), 900, 901, 902]), q, np.arange(500), c, 5)
@@ -53,8 +53,18 @@ def test_branch_and_bound_alone_with_ties_and_wide_numbers():
             exact[:, i] = np.clip(exact[:, i], -(2**63), 2**63 - 1)
             want = sorted((j for j in range(500) if j != i or i >= 7), key=lambda j: (-exact[j, i], j))[:5]
             assert sorted(ci[qi == i].tolist(), key=lambda j: (-exact[j, i], j)) == want
-            if scale < 2**40:
-                assert sorted(sc[qi == i].tolist(), reverse=True) == [exact[j, i] for j in want]
+            assert sorted(sc[qi == i].tolist(), reverse=True) == [exact[j, i] for j in want]
+
+
+def test_top_k_of_repeated_empty_and_ragged_vectors(spark):
+    rows = [(0, [1.0, 2.0], 1), (0, [0.5], 1), (50, [], 1), (1, [3.0, 1.0], 1), (1, [3.0, 1.0], 1), (1, [0.0, 9.0], 1), (2, [1.0, 1.0, 7.0], 1), (3, [], 1)]
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(frame(spark, rows)).collect())
+    q = [(i, [math.floor(256 * x) for x in v]) for i, v, _ in rows]
+    want = []
+    for i in (0, 50):
+        best = sorted((-sum(a * b for a, b in zip(v, w)), j) for n, v in q if n == i for j, w in q if j != i)[:5]
+        want += [(i, n + 1, j, -s) for n, (s, j) in enumerate(best)]
+    assert got == want
 
 
 def test_top_k_of_few_and_none(spark):
