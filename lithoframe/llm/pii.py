@@ -20,14 +20,19 @@ BASE = {
 GATES = {"email": r"@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]++\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){11}", "phone": r"\+[0-9]"}
 PART = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{0,2})"
 IP_VALID = rf"^{PART}\.{PART}\.{PART}\.{PART}$"
-#: High-recall proposals by kind, in bounded repeats.
-PROPOSED = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?(?:\(at\)|\[at\]|\{at\})\x20?[A-Za-z0-9-]{1,63}+(?:\x20?(?:\.|\(dot\)|\[dot\]|\{dot\})\x20?[A-Za-z0-9-]{1,63}+){0,8}",
-    "ip": r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])",
-    "card": r"(?<![0-9])[0-9]{4}[.\x20/_-]{1,2}[0-9]{4,6}[.\x20/_-]{1,2}[0-9]{4,5}(?:[.\x20/_-]{1,2}[0-9]{1,4})?(?![0-9])",
-    "phone": r"(?<![0-9+.-])(?:\([0-9]{2,4}\)|[0-9]{2,4})[\x20.-]?[0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9])",
-}
-PROPOSED_GATES = {"email": r"[(\[{]at[)\]}]", "ip": r":[0-9A-Fa-f]{1,4}:", "card": r"[0-9]{4}[.\x20/_-]", "phone": r"[0-9)][\x20.-]?[0-9]{3,4}[\x20.-][0-9]{3}"}
+#: High-recall proposals by kind: pairs of a pattern and a cheap test that every text with a match passes. Repeats end where
+#: the formats do: 64 characters of a mailbox, 63 of a label, 127 labels of a host, 19 digits of a card, 15 of a phone number.
+_LABEL = r"[A-Za-z0-9-]{1,63}+"
+PROPOSED = (
+    ("email", rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}+\x20?(?:\(at\)|\[at\]|\{{at\}})\x20?{_LABEL}(?:\x20?(?:\.|\(dot\)|\[dot\]|\{{dot\}})\x20?{_LABEL}){{0,126}}", r"[(\[{]at[)\]}]"),
+    ("email", rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}+\x20at\x20{_LABEL}(?:\x20dot\x20{_LABEL}){{1,126}}", r"\x20at\x20[A-Za-z0-9-]{1,63}+\x20dot\x20"),
+    ("ip", r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])", r":[0-9A-Fa-f]{1,4}:"),
+    ("ip", r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}(?![0-9A-Za-z:])", r"[0-9A-Fa-f]::[0-9A-Fa-f]"),
+    ("card", r"(?<![0-9])[0-9]{4}[.\x20/_-]{1,3}[0-9]{4,6}[.\x20/_-]{1,3}[0-9]{4,5}(?:[.\x20/_-]{1,3}[0-9]{1,4})?(?![0-9])", r"[0-9]{4}[.\x20/_-]"),
+    ("phone", r"(?<![0-9+.-])(?:\([0-9]{2,4}\)|[0-9]{2,4})[\x20.-]?[0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9])", r"[0-9)][\x20.-]?[0-9]{3,4}[\x20.-][0-9]{3}"),
+    ("phone", r"(?<![0-9A-Za-z+.-])[0-9]{9,12}(?![0-9A-Za-z]|[.-][0-9])", r"[0-9]{9}"),
+    ("secret", r"(?<=(?i:token|secret|password|passwd|api[_-]key|apikey|access[_-]key)\x20{0,2}[:=]\x20{0,2}[\"']{0,1})[A-Za-z0-9+/_.=-]{16,}+", r"(?i)(?:token|secret|password|passwd|key)\x20{0,2}[:=]"),
+)
 SPAN = "array<struct<start:int,kind:int,end:int,hit:string>>"
 
 
@@ -54,7 +59,7 @@ def _found(df: DataFrame, name: str, kind: str, pattern: str, gate: str) -> Data
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.char_length(x["gap"])
         end = start + F.char_length(x["hit"])
-        one = F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("kind"), end.alias("end"), x["hit"].alias("hit"))
+        one = F.struct(start.alias("start"), F.lit(model.PROPOSED_KINDS.index(kind)).alias("kind"), end.alias("end"), x["hit"].alias("hit"))
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
     placed = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out")), step, lambda acc: acc["out"])
@@ -85,6 +90,7 @@ def features(text: Column, span: Column) -> list[Column]:
         F.when(before.rlike(model.FOR), 1.0).when(before.rlike(model.AGAINST), -1.0).otherwise(0.0),
         flag(hit.rlike(model.DATED)), _count(hit, "[^.]").cast("double"),
         flag(before.rlike("[0-9A-Za-z]$") | after.rlike("^[0-9A-Za-z]")),
+        F.size(F.regexp_extract_all(hit, F.lit(model.DOT), F.lit(0))).cast("double"), _count(hit, "[^A-Za-z]").cast("double"), flag(hit.rlike(model.OPENS)), _count(hit, "[^A-Z]").cast("double"),
     ]
 
 
@@ -102,52 +108,58 @@ def _overlap(a: Column, b: Column) -> Column:
 
 
 def find_spans(docs: DataFrame) -> DataFrame:
-    """docs' doc_id and text (null: empty) with arrays base and spans of struct (start, kind, end, hit), by start, then kind.
+    """docs' doc_id and text (null: empty) with arrays base, spans and secrets of struct (start, kind, end, hit), by start, then
+    kind; no rows for an empty table, and texts of any length are searched whole.
 
     base: matches of the base patterns that pass their tests; a failing match is dropped and not retried. Proposals of
     the wider patterns are scored by boosted trees on format and context; one is added where its score reaches its
-    kind's calibrated threshold and it overlaps neither a base span nor a proposal of higher score. Repeated rows are
+    kind's calibrated threshold and it overlaps neither a base span nor a proposal of higher score (of equal scores, the one of
+    the kind named first, then the first, then the longest stays). spans: base and what is added; secrets apart. Repeated rows are
     judged one by one; other columns are ignored. One pass over the text in its own task: nothing is shuffled."""
     df = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     for k in KINDS:
         df = _found(df, f"_base_{k}", k, BASE[k], GATES[k])
         df = df.withColumn(f"_base_{k}", F.filter(f"_base_{k}", _test(k)))
-    for k in KINDS:
-        df = _found(df, f"_more_{k}", k, PROPOSED[k], PROPOSED_GATES[k])
+    for i, (k, pattern, gate) in enumerate(PROPOSED):
+        df = _found(df, f"_more_{i}", k, pattern, gate)
     df = df.withColumn("base", F.array_sort(F.concat(*[F.col(f"_base_{k}") for k in KINDS])))
-    df = df.withColumn("_more", F.concat(*[F.col(f"_more_{k}") for k in KINDS]))
+    df = df.withColumn("_more", F.concat(*[F.col(f"_more_{i}") for i in range(len(PROPOSED))]))
     fit = model.fitted()
     limits = F.array(*[F.lit(t) for t in fit["thresholds"]])
     df = df.withColumn("_more", F.filter("_more", lambda s: ~F.exists("base", lambda b: _overlap(s, b))))
     df = df.withColumn("_more", F.transform("_more", lambda s: F.struct(s.alias("span"), F.array(*features(F.col("text"), s)).alias("x"))))
     df = df.withColumn("_more", F.transform("_more", lambda s: F.struct(_score(s["x"], fit["trees"]).alias("score"), s["span"].alias("span"))))
     df = df.withColumn("_more", F.filter("_more", lambda s: s["score"] >= F.get(limits, s["span"]["kind"])))
-    better = lambda a, b: (a["score"] > b["score"]) | ((a["score"] == b["score"]) & (a["span"]["kind"] < b["span"]["kind"]))
+    place = lambda s: F.struct(-s["score"], s["span"]["kind"], s["span"]["start"], -s["span"]["end"])
+    better = lambda a, b: place(a) < place(b)
     kept = F.filter("_more", lambda s: ~F.exists("_more", lambda o: _overlap(o["span"], s["span"]) & better(o, s)))
-    return df.select("doc_id", "text", "base", F.array_sort(F.concat("base", F.transform(kept, lambda s: s["span"]))).alias("spans"))
+    df = df.withColumn("_kept", F.transform(kept, lambda s: s["span"]))
+    secret = model.PROPOSED_KINDS.index("secret")
+    spans = F.array_sort(F.concat("base", F.filter("_kept", lambda s: s["kind"] != secret)))
+    return df.select("doc_id", "text", "base", spans.alias("spans"), F.array_sort(F.filter("_kept", lambda s: s["kind"] == secret)).alias("secrets"))
 
 
 def _listed(spans: str) -> Column:
-    names = F.array(*map(F.lit, KINDS))
+    names = F.array(*map(F.lit, model.PROPOSED_KINDS))
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
 def pii_digest(docs: DataFrame) -> DataFrame:
-    """doc_id, n_<kind> (base spans), base_sha256, spans."""
+    """doc_id, n_<kind> (base spans), base_sha256, spans, secrets (listed likewise), n_found (of spans and secrets)."""
     out = find_spans(docs)
     of = lambda i: lambda s: s["kind"] == i
     counts = [F.size(F.filter("base", of(i))).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
-    return out.select("doc_id", *counts, F.sha2(_listed("base"), 256).alias("base_sha256"), _listed("spans").alias("spans"))
+    return out.select("doc_id", *counts, F.sha2(_listed("base"), 256).alias("base_sha256"), _listed("spans").alias("spans"), _listed("secrets").alias("secrets"), (F.size("spans") + F.size("secrets")).cast("long").alias("n_found"))
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """doc_id and text with every span replaced by its kind in brackets; overlapping spans become one, of the first's kind."""
-    names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
+    """doc_id and text with every span and secret replaced by its kind in brackets; overlapping spans become one, of the first's kind."""
+    names = F.array(*[F.lit(f"[{k.upper()}]") for k in model.PROPOSED_KINDS])
 
     def step(acc: Column, s: Column) -> Column:
         fresh = s["start"] >= acc["at"]
         gap = F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"])
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], gap, F.get(names, s["kind"]))).otherwise(acc["out"]).alias("out"))
 
-    whole = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.char_length("text"))))
+    whole = F.aggregate(F.array_sort(F.concat("spans", "secrets")), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.char_length("text"))))
     return find_spans(docs).select("doc_id", whole.alias("text"))

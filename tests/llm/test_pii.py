@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import numpy as np
@@ -54,14 +55,30 @@ def test_method_adds_unusual_formats_and_leaves_lookalikes(docs_of):
     assert got[15] == "" and got[2] == "" and got[0] == ""
 
 
+def test_every_made_up_format_is_proposed_and_most_are_found(docs_of):
+    r = random.Random(77)
+    good, _ = pii_model.templates(r)
+    rows, want = [], {}
+    for kind, makers in enumerate(good):
+        for make in makers:
+            for _ in range(12):
+                span, i = make(), len(rows)
+                lead = f"so {r.choice(pii_model.HINTS[kind])}"
+                rows.append((i, f"{lead}{span} and more"))
+                want[i] = (kind, f"{pii_model.PROPOSED_KINDS[kind]}:{len(lead)}:{len(lead) + len(span)}")
+    got = {x.doc_id: set(f"{x.spans},{x.secrets}".split(",")) for x in pii.pii_digest(docs_of(rows)).collect()}
+    found = {k: np.mean([w in got[i] for i, (kind, w) in want.items() if kind == k]) for k in range(len(good))}
+    assert min(found.values()) >= 0.9, found
+
+
 def test_redaction(docs_of):
-    got = {r.doc_id: r.text for r in pii.redact(docs_of([(0, "Mail me@x.org, call +1 (434) 555-2368."), (1, None), (2, "none")])).collect()}
-    assert got == {0: "Mail [EMAIL], call [PHONE].", 1: "", 2: "none"}
+    got = {r.doc_id: r.text for r in pii.redact(docs_of([(0, "Mail me@x.org, call +1 (434) 555-2368."), (1, None), (2, "none"), (3, 'token = "0123456789abcdef0123456789abcdef01234567".')])).collect()}
+    assert got == {0: "Mail [EMAIL], call [PHONE].", 1: "", 2: "none", 3: 'token = "[SECRET]".'}
 
 
 def test_held_out_accuracy_and_columns_equal_the_python_features(docs_of):
     fit = pii_model.fitted()
-    assert fit["precision"] >= 0.98 and fit["recall"] >= 0.8
+    assert fit["precision"] >= 0.98 and min(fit["recall"].values()) >= 0.9, fit["recall"]
     from pyspark.sql import functions as F
 
     text = "call me at (212) 555-1234, order 4207.0512.7910.8084!"
