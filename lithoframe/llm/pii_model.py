@@ -22,7 +22,7 @@ FOR = r"(?i)(?:phone|tel\b|tel[.:]|telef|call|mobile|fax|e-?mail|mail|contact|ca
 AGAINST = r"(?i)(?:version|\bv\.?$|release|isbn|issn|rfc|section|article|figure|table|order|invoice|serial|date|since|page|chapter|model|doi|total|score|build)"
 DATED = r"^(?:(?:19|20)[0-9]{2}[-./ ][0-9]{1,2}[-./ ][0-9]{1,2}|[0-9]{1,2}[-./ ][0-9]{1,2}[-./ ](?:19|20)[0-9]{2})"
 CONTEXT = 30
-TREES, RATE, TRAIN_ROWS, PRECISION = 40, 0.3, 6000, 0.97
+TREES, RATE, TRAIN_ROWS, PRECISION = 40, 0.3, 6000, 0.98
 
 
 def luhn(digits: str) -> bool:
