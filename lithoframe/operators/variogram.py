@@ -6,6 +6,7 @@ import math
 from dataclasses import dataclass, replace
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +14,8 @@ from ..errors import require
 
 #: Points of a pair sample, lags, least points, least pairs of a lag, and the practical-range factor.
 SAMPLE, LAGS, POINTS_MIN, PAIRS_MIN, PRACTICAL = 20_000, 20, 10, 30, 3.0
+#: Points of a block.
+BLOCK = 1024
 MODELS = ("spherical", "exponential", "gaussian", "power", "matern", "stable")
 
 
@@ -26,29 +29,60 @@ def experimental(points: DataFrame, *, lags: int = LAGS, max_lag: float | None =
     """(lag_bin, lag, gamma, n_pairs) over pairs of points (id, x, y, v) by equal bins from 0 to max_lag, half the greatest
     distance of the bounds' corners by default. azimuth: degrees from north, modulo 180.
 
-    Pairs come from an equi-join of grid cells max_lag wide with their neighbours, so only pairs that may count are made;
-    the points are a bounded sample, and pairs are summed by bin before they leave their task."""
-    p = sample(points, most)
-    b = p.agg(F.count("*").alias("n"), F.min("x").alias("a"), F.max("x").alias("b"), F.min("y").alias("c"), F.max("y").alias("d")).first()
-    require(b["n"] >= POINTS_MIN, f"a variogram needs {POINTS_MIN} points, not {b['n']}; add control")
-    top = float(max_lag or math.hypot(b["b"] - b["a"], b["d"] - b["c"]) / 2)
-    require(top > 0, "all points lie at one place; a variogram needs distances")
-    cell = lambda c: F.floor(F.col(c) / top).cast("long")
+    The points are a bounded sample of `most`, sent to every task. Blocks of them that lie near enough meet in pairs, each pair of
+    blocks as arrays in one task, which sends on the sums of its bins alone: no pair of points is ever a row."""
+    p = sample(points, most).where("x IS NOT NULL AND y IS NOT NULL AND v IS NOT NULL")
     w = F.col(weight) if weight else F.lit(1.0)
-    left = p.select(F.col("id").alias("i"), F.col("x").alias("x1"), F.col("y").alias("y1"), F.col("v").alias("v1"), w.alias("w1"), cell("x").alias("cx"), cell("y").alias("cy"))
-    near = F.sequence(F.lit(-1), F.lit(1))
-    right = p.select(F.col("id").alias("j"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("v").alias("v2"), w.alias("w2"), F.explode(F.transform(near, lambda o: cell("x") + o)).alias("cx"), cell("y").alias("_y"))
-    right = right.withColumn("cy", F.explode(F.transform(near, lambda o: F.col("_y") + o))).drop("_y")
-    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
-    pairs = left.join(right, ["cx", "cy"]).where("i < j").withColumn("h", F.sqrt(dx * dx + dy * dy)).where(F.col("h") < top)
+    rows = p.select(*[c.cast("double").alias(n) for n, c in (("x", F.col("x")), ("y", F.col("y")), ("v", F.col("v")), ("w", w))]).toArrow()
+    x, y, v, ww = (rows[c].to_numpy() for c in ("x", "y", "v", "w"))
+    require(len(x) >= POINTS_MIN, f"a variogram needs {POINTS_MIN} points, not {len(x)}; add control")
+    top = float(max_lag or math.hypot(np.ptp(x), np.ptp(y)) / 2)
+    require(top > 0, "all points lie at one place; a variogram needs distances")
+    # strips as wide as a block would be if square, each from south to north: a block covers little ground
+    side = max(np.ptp(x), np.ptp(y), 1e-9) / max(1.0, math.sqrt(len(x) / BLOCK))
+    order = np.lexsort((v, x, y, np.floor((x - x.min()) / side)))
+    spark = points.sparkSession
+    shared = spark.sparkContext.broadcast([a[order] for a in (x, y, v, ww)])
+    blocks = -(-len(x) // BLOCK)
+
+    def run(batches):
+        x, y, v, w = shared.value
+        for batch in batches:
+            sums = np.zeros((4, lags + 1))
+            for pair in batch.column(0).to_numpy().tolist():
+                a = (math.isqrt(8 * pair + 1) - 1) // 2
+                b = pair - a * (a + 1) // 2
+                sums += _block_sums(*((c[a * BLOCK : (a + 1) * BLOCK], c[b * BLOCK : (b + 1) * BLOCK]) for c in (x, y, v, w)), a == b, top, lags, azimuth, tolerance)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(lags + 1), pa.int32()), *map(pa.array, sums)], names=["lag_bin", "n", "w", "wh", "wd"])
+
+    pairs = blocks * (blocks + 1) // 2
+    met = spark.range(0, pairs, 1, min(pairs, 4 * spark.sparkContext.defaultParallelism)).mapInArrow(run, "lag_bin int, n double, w double, wh double, wd double")
+    total = F.sum("w")
+    bins = met.groupBy("lag_bin").agg((F.sum("wh") / total).alias("lag"), (F.sum("wd") / (2 * total)).alias("gamma"), F.sum("n").cast("long").alias("n_pairs"))
+    return bins.where((F.col("n_pairs") >= pairs_min) & (F.col("n_pairs") > 0))
+
+
+def _block_sums(x, y, v, w, same: bool, top: float, lags: int, azimuth: float | None, tolerance: float) -> np.ndarray:
+    """[pairs, weights, weights x distance, weights x squared difference] by bin over the pairs of two blocks."""
+    out = np.zeros((4, lags + 1))
+    apart = [max(a.min() - b.max(), b.min() - a.max(), 0.0) for a, b in (x, y)]
+    if math.hypot(*apart) >= top:
+        return out
+    dx, dy = (np.subtract.outer(a, b) for a, b in (x, y))
+    h = np.sqrt(dx * dx + dy * dy)
+    keep = h < top
+    if same:
+        keep &= np.tri(*h.shape, -1, dtype=bool)
     if azimuth is not None:
-        turn = F.pmod(F.degrees(F.atan2(dx, dy)) - azimuth, F.lit(180.0))
-        pairs = pairs.where(F.least(turn, 180.0 - turn) <= tolerance)
-    ww, dv = F.col("w1") * F.col("w2"), F.col("v1") - F.col("v2")
-    bins = pairs.groupBy(F.floor(F.col("h") / (top / lags)).cast("int").alias("lag_bin")).agg(
-        (F.sum(ww * F.col("h")) / F.sum(ww)).alias("lag"), (F.sum(ww * dv * dv) / (2 * F.sum(ww))).alias("gamma"), F.count("*").alias("n_pairs")
-    )
-    return bins.where(F.col("n_pairs") >= pairs_min)
+        turn = np.mod(np.degrees(np.arctan2(dx, dy)) - azimuth, 180.0)
+        keep &= np.minimum(turn, 180.0 - turn) <= tolerance
+    i, j = np.nonzero(keep)
+    h, ww = h[keep], w[0][i] * w[1][j]
+    d = v[0][i] - v[1][j]
+    at = np.floor(h / (top / lags)).astype(np.int64)
+    for row, part in enumerate((None, ww, ww * h, ww * d * d)):
+        out[row] = np.bincount(at, part, lags + 1)
+    return out
 
 
 @dataclass(frozen=True)
