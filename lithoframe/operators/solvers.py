@@ -19,6 +19,8 @@ from .variogram import Model
 
 #: Control points that may be broadcast, neighbours of kriging and splines, and cells of a block.
 CONTROL_MAX, NEIGHBOURS, BLOCK = 2_000_000, 48, 512
+#: Nodes a side of the coarsest grid of minimum curvature.
+COARSEST = 16
 
 
 def _control(control: DataFrame):
@@ -194,7 +196,8 @@ def cross_validate(control: DataFrame, model: Model, *, k: int = NEIGHBOURS, mos
             out = []
             for x, y, v in zip(b["x"], b["y"], b["value"]):
                 at, d = tree.near(np.array([x, y]))
-                at = at[d > 0]
+                own = np.flatnonzero((d == 0) & (z[at] == v))  # only the control left out goes, not others at its place
+                at = np.delete(at, own[:1])
                 if len(at) > 1:
                     out.append((solve_kriging(xy[at], z[at], np.array([x, y]), model)[0] - v,))
             yield pd.DataFrame(out, columns=["e"])
@@ -203,9 +206,18 @@ def cross_validate(control: DataFrame, model: Model, *, k: int = NEIGHBOURS, mos
     return e.agg(F.count("e").alias("n"), F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rmse"), F.avg("e").alias("mean_error"), F.avg(F.abs("e")).alias("mae"), F.stddev_pop("e").alias("std"))
 
 
-def minimum_curvature_array(nx: int, ny: int, cells: np.ndarray, z: np.ndarray, *, tension: float = 0.0, blocked: set | None = None, iterations: int = 5000, tolerance: float = 1e-6) -> tuple[np.ndarray, int]:
+def minimum_curvature_array(nx: int, ny: int, cells: np.ndarray, z: np.ndarray, *, tension: float = 0.0, blocked: set | None = None, iterations: int = 20_000, tolerance: float = 1e-7) -> tuple[np.ndarray, int]:
     """(surface [ny, nx], iterations): least squares of second differences (and first, by the tension) that pass near the data at
-    fractional cells (col, row), by conjugate gradients without a matrix. blocked: links (row, col, way) no difference spans."""
+    fractional cells (col, row), by conjugate gradients without a matrix. blocked: links (row, col, way) no difference spans.
+
+    A grid starts from the surface, without blocked links, of one half as fine, and so on down to COARSEST nodes a side. A
+    surface that doesn't reach the tolerance (the residual's share of the right-hand side) within the iterations is an error."""
+    v0 = None
+    if min(nx, ny) > 2 * COARSEST:
+        cx, cy = (nx + 1) // 2, (ny + 1) // 2
+        scale = np.array([(cx - 1) / (nx - 1), (cy - 1) / (ny - 1)])
+        rough, _ = minimum_curvature_array(cx, cy, cells * scale, z, tension=tension, iterations=iterations, tolerance=tolerance)
+        v0 = _stretched(rough, nx, ny).ravel()
     open_e, open_s = np.ones((ny, nx - 1), bool), np.ones((ny - 1, nx), bool)
     for r, c, way in blocked or ():
         (open_e if way == "e" else open_s)[r, c] = False
@@ -239,7 +251,7 @@ def minimum_curvature_array(nx: int, ny: int, cells: np.ndarray, z: np.ndarray,
 
     rhs = np.zeros(nx * ny)
     np.add.at(rhs, at, wt * (data * z))
-    v = np.full(nx * ny, float(z.mean()))
+    v = v0 if v0 is not None else np.full(nx * ny, float(z.mean()))
     r = rhs - normal(v)
     p, rs, stop, n = r.copy(), float(r @ r), tolerance * tolerance * float(rhs @ rhs), 0
     while rs > stop and n < iterations:
@@ -250,9 +262,24 @@ def minimum_curvature_array(nx: int, ny: int, cells: np.ndarray, z: np.ndarray,
         rs, old = float(r @ r), rs
         p = r + rs / old * p
         n += 1
+    share = float(np.sqrt(rs / max(float(rhs @ rhs), 1e-300)))
+    require(rs <= stop, f"minimum curvature stopped after {n} iterations at a residual of {share:.2g}, above {tolerance:.2g}; take a coarser grid, more iterations or a wider tolerance")
     return v.reshape(ny, nx), n
 
 
+def _stretched(s: np.ndarray, nx: int, ny: int) -> np.ndarray:
+    """s on a finer grid with the same corners, by lines between its nodes."""
+
+    def at(n: int, m: int) -> tuple[np.ndarray, np.ndarray]:
+        p = np.linspace(0, m - 1, n)
+        lo = np.minimum(p.astype(int), m - 2)
+        return lo, p - lo
+
+    (r, fr), (c, fc) = at(ny, s.shape[0]), at(nx, s.shape[1])
+    rows = s[r] * (1 - fr)[:, None] + s[r + 1] * fr[:, None]
+    return rows[:, c] * (1 - fc) + rows[:, c + 1] * fc
+
+
 def minimum_curvature(spark, grid, control: DataFrame, *, tension: float = 0.0, blocked: DataFrame | None = None) -> DataFrame:
     """(cell_id, row, col, value): one global system over a capped number of cells, solved in one task."""
     xy, z = _control(control)

@@ -106,10 +106,11 @@ def erase(source: DataFrame, mask: tuple[float, float, float, float] | None) ->
 difference = erase
 
 
-def erase_points(points: DataFrame, masks: DataFrame) -> DataFrame:
-    """Points that lie in none of the mask boxes: an anti-join."""
-    return points.join(F.broadcast(masks.select(*[F.col(s).alias(f"m_{s}") for s in SIDES])) if masks.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else masks.select(*[F.col(s).alias(f"m_{s}") for s in SIDES]),
-                       (F.col("x") >= F.col("m_xmin")) & (F.col("x") <= F.col("m_xmax")) & (F.col("y") >= F.col("m_ymin")) & (F.col("y") <= F.col("m_ymax")), "left_anti")
+def erase_points(points: DataFrame, masks: DataFrame, *, cell: float | None = None) -> DataFrame:
+    """Points (id, x, y) that lie in none of the mask boxes: an anti-join by id on the blocked pairs."""
+    masks = masks.select(*SIDES)
+    hit = pairs(as_boxes(points.select("id", "x", "y")), masks, "intersects", cell=cell).select("id").distinct()
+    return points.join(hit, "id", "left_anti")
 
 
 def _without(pieces: Column, mask: Column) -> Column:

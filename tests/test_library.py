@@ -319,3 +319,44 @@ def test_every_event_is_a_job(spark, sf_dir):
     want = e[(e.event_type == "error") & ~e.key.isin(known)].groupby("key").event_id.min().to_dict()
     got = {r.key: r.id for r in catalog.queries()["job_enqueue"](spark, sf_dir).collect()}
     assert got == want and max(got.values()) > 900
+
+
+def test_minimum_curvature_reaches_its_tolerance_or_says_so():
+    r = np.random.default_rng(3)
+    at = r.uniform(0, 79, (60, 2))
+    z = 3.0 + 0.5 * at[:, 0] - 0.25 * at[:, 1]
+    s, _ = solvers.minimum_curvature_array(80, 80, at, z)
+    plane = 3.0 + 0.5 * np.arange(80)[None, :] - 0.25 * np.arange(80)[:, None]
+    assert np.abs(s - plane).max() < 0.05
+    wall = {(row, 39, "e") for row in range(80)}
+    own = at[(at[:, 0] < 39) | (at[:, 0] > 40)]  # a control between two nodes that a wall parts would draw on both
+    cut, _ = solvers.minimum_curvature_array(80, 80, own, np.where(own[:, 0] < 39.5, 0.0, 10.0), blocked=wall)
+    assert np.abs(cut[:, :40]).max() < 0.1 and np.abs(cut[:, 40:] - 10).max() < 0.1
+    with pytest.raises(LayerError):
+        solvers.minimum_curvature_array(80, 80, at, np.sin(at[:, 0]), iterations=2)
+
+
+def test_points_in_many_masks_go_by_cells(spark):
+    from lithoframe.operators import spatial
+
+    pts = spark.createDataFrame([(i, float(i % 30), float(i // 30)) for i in range(900)], "id long, x double, y double")
+    boxes = spark.createDataFrame([(float(3 * i), 4.0, 3.0 * i + 1, 9.0) for i in range(10)], "xmin double, ymin double, xmax double, ymax double")
+    want = sorted(i for i in range(900) if not (i % 3 <= 1 and 4 <= i // 30 <= 9))
+    for cell in (None, 2.0):
+        assert sorted(r.id for r in spatial.erase_points(pts, boxes, cell=cell).collect()) == want
+
+
+def test_variogram_sums_equal_all_pairs(spark):
+    from lithoframe.operators import variogram
+
+    r = np.random.default_rng(9)
+    x, y, v = r.uniform(0, 100, 2300), r.uniform(0, 60, 2300), r.normal(size=2300)
+    df = spark.createDataFrame([(i, float(a), float(b), float(c)) for i, (a, b, c) in enumerate(zip(x, y, v))], "id long, x double, y double, v double")
+    i, j = np.triu_indices(2300, 1)
+    h, d = np.hypot(x[i] - x[j], y[i] - y[j]), (v[i] - v[j]) ** 2
+    turn = np.mod(np.degrees(np.arctan2(x[i] - x[j], y[i] - y[j])) - 30, 180)
+    for azimuth, near in ((None, h < 25), (30.0, (h < 25) & (np.minimum(turn, 180 - turn) <= 22.5))):
+        got = {g.lag_bin: g for g in variogram.experimental(df, lags=5, max_lag=25.0, azimuth=azimuth).collect()}
+        for b in range(5):
+            own = near & (np.floor(h / 5) == b)
+            assert got[b].n_pairs == own.sum() and abs(got[b].lag - h[own].mean()) < 1e-9 and abs(got[b].gamma - d[own].mean() / 2) < 1e-9
