@@ -330,7 +330,7 @@ def test_minimum_curvature_reaches_its_tolerance_or_says_so():
     assert np.abs(s - plane).max() < 0.05
     wall = {(row, 39, "e") for row in range(80)}
     own = at[(at[:, 0] < 39) | (at[:, 0] > 40)]  # a control between two nodes that a wall parts would draw on both
-    cut, _ = solvers.minimum_curvature_array(80, 80, own, np.where(own[:, 0] < 39.5, 0.0, 10.0), blocked=wall)
+    cut, _ = solvers.minimum_curvature_array(80, 80, own, np.where(own[:, 0] < 39.5, 0.0, 10.0), blocked=wall, tolerance=1e-8)
     assert np.abs(cut[:, :40]).max() < 0.1 and np.abs(cut[:, 40:] - 10).max() < 0.1
     with pytest.raises(LayerError):
         solvers.minimum_curvature_array(80, 80, at, np.sin(at[:, 0]), iterations=2)
