@@ -1,5 +1,7 @@
 import re
 
+import xxhash
+
 from lithoframe.llm import mixing
 
 
@@ -69,3 +71,47 @@ def test_mixed_rows_and_empty(spark):
 def test_one_source_is_taken_once(spark):
     rows = [(i, "only", "w " * i) for i in range(1, 50)]
     assert all(r.taken == r["size"] for r in mixing.mix(table(spark, rows)).collect())
+
+
+def plain_order(doc_id, text, seed=mixing.SEED):
+    """The seeded hash order of a document: XXH64 over seed, id and the text's own hash, nulls left out, as a signed number."""
+    h = lambda data, at: xxhash.xxh64_intdigest(data, seed=at)
+    own = 42 if text is None else h(text.encode(), 42)
+    at = h(seed.to_bytes(4, "little"), 42)
+    at = at if doc_id is None else h(doc_id.to_bytes(8, "little", signed=True), at)
+    at = h(own.to_bytes(8, "little"), at)
+    return at - (1 << 64) if at >> 63 else at
+
+
+def brute_mix(rows):
+    """[(doc_id, size, taken, position)]: each source's reel played word by word count, positions found by bisection."""
+    words = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    reels = {}
+    for i, s, t in rows:
+        reels.setdefault(s, []).append((plain_order(i, t), -1 if i is None else i, i, words(t)))
+    target = brute_targets({s: sum(r[3] for r in reel) for s, reel in reels.items()})
+    names = sorted(s for s in reels if s is not None) + ([None] if None in reels else [])
+    out = []
+    for rank, s in enumerate(names):
+        total, goal, at, slope = sum(r[3] for r in reels[s]), target[s], 0, mixing.SLOPES[rank % 3]
+        for _, _, i, n in sorted(reels[s]):
+            # pass after pass, this document lies at [at + pass * total, + n) of the endless reel
+            taken = sum(max(0, min(n, int(goal + 0.5) - at - p * total)) for p in range(4)) if total else 0
+            lo, hi = 0.0, 1.0
+            for _ in range(60):
+                mid = (lo + hi) / 2
+                lo, hi = (mid, hi) if (1 + slope) * mid - slope * mid * mid < at / max(goal, 1e-9) else (lo, mid)
+            out.append((i, n, taken, hi if taken else None))
+            at += n
+    return out
+
+
+def test_every_document_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKET_DOCS", 40)  # several buckets a source
+    documents = [(r.doc_id, r.source, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    for rows in (ROWS, documents):
+        key = lambda r: (str(r[0]), r[1], r[2], -1.0 if r[3] is None else r[3])
+        got = sorted(((r.doc_id, r["size"], r.taken, r.position) for r in mixing.mix(table(spark, rows)).collect()), key=key)
+        want = sorted(brute_mix(rows), key=key)
+        assert [r[:3] for r in got] == [r[:3] for r in want]
+        assert all((a[3] is None) == (b[3] is None) and (a[3] is None or abs(a[3] - b[3]) < 1e-9) for a, b in zip(got, want))
