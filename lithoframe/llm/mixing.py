@@ -62,7 +62,9 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST, seed: int =
     is the training time of its first word. Documents without words, and those that the partial pass doesn't reach, have
     taken 0 and null position. A source's reel is cut into hash buckets whose totals are added up first, so the
     order within a hot source is never one task's. Null text has size 0; a null source is a source of its own; repeated
-    rows each count. Other columns are ignored."""
+    rows each count, in an order among themselves that no result shows. Texts of any length are counted whole; rows of equal
+    hash go by doc_id, and rows of equal position are sorted by doc_id; an empty table gives no rows. Other columns are
+    ignored, whatever their names."""
     last = F.col("position").asc_nulls_last()
     return _placed(docs, weights, most, seed).drop("order").repartitionByRange(last, "doc_id").sortWithinPartitions(last, "doc_id")
 

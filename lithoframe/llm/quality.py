@@ -191,8 +191,9 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> dict:
 
 def classify(docs: DataFrame, model: dict | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """docs with column `__lf_quality`, struct (score, keep): the scorer's probability that the text is good, and whether it
-    reaches the threshold. Null and blank texts score 0 and are rejected. Every column passes through, whatever its name;
-    repeated rows score alike; an empty table stays empty."""
+    reaches the threshold. Null and blank texts score 0 and are rejected; texts of any length are scored whole; a score equal
+    to the threshold is kept. Every column passes through, whatever its name; repeated rows score alike; an empty table
+    stays empty."""
     model = model or fit(docs)
     weights, bias = model["weights"].astype(np.float32), model["bias"]
     at = docs.columns.index("text")
@@ -219,10 +220,10 @@ def classify(docs: DataFrame, model: dict | None = None, threshold: float = THRE
 
 
 def quality_digest(docs: DataFrame) -> DataFrame:
-    """doc_id, score, keep for every row."""
+    """doc_id, score, keep for every row, by `classify`; no row for an empty table."""
     return classify(docs.select("doc_id", "text")).select("doc_id", F.col("__lf_quality.score").alias("score"), F.col("__lf_quality.keep").alias("keep"))
 
 
 def good_documents(docs: DataFrame) -> DataFrame:
-    """The rows of docs that are kept, with their columns."""
+    """The rows of docs that `classify` keeps, with their columns; null and blank texts go, and an empty table stays empty."""
     return classify(docs).where("__lf_quality.keep").drop("__lf_quality")

@@ -19,6 +19,7 @@ def host_of(url: Column) -> Column:
 
 
 def path_of(url: Column) -> Column:
+    """After the host up to ?, # or the end; empty for null or no ://."""
     return F.coalesce(F.regexp_extract(url, r"^(?s:.*?)://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
@@ -60,7 +61,9 @@ def judge(pages: DataFrame, rules: tuple = RULES, damping: float = DAMPING, roun
     along the links of its pages, distrust against them. A page that no rule fits is blocked where its host's distrust
     leads its trust by threshold * (1 - damping) or more, and allowed otherwise, as are pages with an empty host.
     Links are absolute http(s) references in html to other hosts, one row per pair of hosts however often they repeat.
-    Null html has no links; repeated page_ids are judged one by one; other columns are ignored."""
+    Null html has no links; repeated page_ids are judged one by one; other columns are ignored. Of rules of equal length
+    the one whose verdict, then host, then path is first by code point wins; a tie of trust and distrust allows. Urls and
+    html of any length are searched whole; an empty table gives no rows."""
     own = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     own = own.withColumn("_fit", rule_of(F.col("host"), F.col("path"), rules))
     hosts = Written(

@@ -38,3 +38,30 @@ def test_stages_equal_brute_force(spark, tmp_path):
     assert all(coder.decode(__import__("numpy").array(r.ids, "int32")) == single[r.doc_id] for r in out)
     whole = corpus_pipeline.run(spark, D).collect()
     assert sorted((r.doc_id, tuple(r.ids)) for r in whole) == sorted((r.doc_id, tuple(r.ids)) for r in out)
+
+
+def test_odd_rows_and_an_empty_table(spark, tmp_path):
+    prose = "The cat sat on the mat, and it was good. {} is a fine day for all of us, and so the sun was out at {}."
+    rows = [(i, prose.format(i, 7 * i) + f" Then she saw that there were {i} of them.", f"s{i % 3}") for i in range(60)]
+    rows += [(70, rows[5][1], "s1"), (5, rows[5][1], "s2"), (71, None, "s0"), (72, "", None), (73, " \n\t", "s0"), (None, rows[9][1] + " No id.", None)]
+    rows += [(74, " ".join(prose.format(k, k) for k in range(20_000)), "s0")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, size string, taken long, component long, ids string"
+    for name, data in (("odd", rows), ("none", [])):
+        made = spark.createDataFrame([(i, t, None, s, None, "x", 1, 2, None) for i, t, s in data], schema)
+        made.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        docs, kept = made, []
+        for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            stage(spark, docs, f"{tmp_path}/{name}").write.parquet(f"{tmp_path}/{name}/{i}")
+            docs = spark.read.parquet(f"{tmp_path}/{name}/{i}")
+            assert i == 4 or docs.columns == made.columns
+            kept.append(docs.collect())
+        out = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        assert sorted((str(r.doc_id), list(r.ids)) for r in out) == sorted((str(r.doc_id), list(r.ids)) for r in kept[4]) and all(r.lossless for r in out)
+        if not data:
+            assert not out and not any(kept)
+            continue
+        assert all((r.text or "").strip() for r in kept[0]) and {r.doc_id for r in kept[0]} == {i for i, t, _ in rows if (t or "").strip()}
+        texts = {r.doc_id: r.text for r in kept[1]}
+        single = [r.doc_id for r in kept[2]]
+        assert single.count(5) == 1 and 70 not in single and None in single and 74 in single
+        assert all(r.text == texts[r.doc_id] and (r.size, r.taken, r.component) == ("x", 1, 2) for r in kept[2])
