@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..layers import points, table, zones
+from ..functions.projections import reproject
+from ..layers import in_frame, points, table, zones
 from ..operators import aggregate as A
 from ..operators import spatial as S
 
@@ -56,6 +57,26 @@ def _tile_points(spark, d):
 TILE = "t AS (SELECT id, radians(x / 100060 * 300 - 150) * 6378137.0::DOUBLE AS mx, ln(tan(radians(y / 100080 * 140 - 70) / 2 + pi() / 4)) * 6378137.0::DOUBLE AS my FROM pts)"
 
 
+def _lon_lat(spark, d):
+    return in_frame(points(spark, d).select("id", (F.col("x") / 100060 * 3 - 102).alias("x"), (F.col("y") / 100080 * 3 + 29.5).alias("y")), 4326)
+
+
+def _conic_sql() -> str:
+    """Lambert's conic of the Texas Central zone in its classical form, by powers and tangents."""
+    t = lambda v: f"(tan(pi() / 4 - ({v}) / 2) / pow((1 - e * sin({v})) / (1 + e * sin({v})), e / 2))"
+    w = lambda v: f"(cos({v}) / sqrt(1 - e * e * sin({v}) * sin({v})))"
+    one, two, origin = (f"radians({d}::DOUBLE + {m}::DOUBLE / 60)" for d, m in ((31, 53), (30, 7), (29, 40)))
+    return f"""WITH {PTS}, p AS (SELECT id, radians(x / 100060 * 3 - 102) AS lon, radians(y / 100080 * 3 + 29.5::DOUBLE) AS lat FROM pts),
+k AS (SELECT sqrt((2 - 1 / 298.257222101::DOUBLE) / 298.257222101::DOUBLE) AS e),
+c AS (SELECT e, ln({w(one)} / {w(two)}) / ln({t(one)} / {t(two)}) AS n FROM k),
+q AS (SELECT e, n, 6378137 * {w(one)} / (n * pow({t(one)}, n)) AS f FROM c),
+r AS (SELECT id, f * pow({t('lat')}, n) AS r, f * pow({t(origin)}, n) AS r0, n * (lon + radians(100 + 20::DOUBLE / 60)) AS turn FROM p, q)
+SELECT id, round((700000 + r * sin(turn)) * 3937 / 1200, 3) AS x, round((3000000 + r0 - r * cos(turn)) * 3937 / 1200, 3) AS y FROM r"""
+
+
+STATE_PLANE_SQL = _conic_sql()
+
+
 def _hilbert(spark, d, order=8):
     return points(spark, d).select("id", G.hilbert_index(F.col("x"), F.col("y"), (0.0, 0.0, 100060.0, 100080.0), order).alias("h"))
 
@@ -174,6 +195,14 @@ QUERIES = {
         lambda s, d: _tile_points(s, d).select("id", F.round("mx", 2).alias("mx"), F.round("my", 2).alias("my"), F.round(G.from_mercator(F.col("mx"), F.col("my"))[1], 6).alias("lat")),
         f"WITH {PTS}, {TILE} SELECT id, round(mx, 2) AS mx, round(my, 2) AS my, round(y / 100080 * 140 - 70, 6) AS lat FROM t JOIN pts USING (id)",
     ),
+    "reproject_state_plane": (
+        lambda s, d: reproject(_lon_lat(s, d), 2277).select("id", F.round("x", 3).alias("x"), F.round("y", 3).alias("y")),
+        STATE_PLANE_SQL,
+    ),
+    "reproject_round_trip": (
+        lambda s, d: reproject(reproject(_lon_lat(s, d), 32614), 4326).select("id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y")),
+        f"WITH {PTS} SELECT id, round(x / 100060 * 3 - 102, 6) AS x, round(y / 100080 * 3 + 29.5::DOUBLE, 6) AS y FROM pts",
+    ),
     "rollup_region_nation": (
         lambda s, d: points(s, d).join(F.broadcast(table(s, d, "nation")), F.col("nk") == F.col("n_nationkey")).rollup("n_regionkey", "n_nationkey").agg(F.count("*").alias("n"), F.round(F.sum("v"), 2).alias("v")),
         f"WITH {PTS} SELECT n_regionkey, n_nationkey, count(*) AS n, round(sum(v), 2) AS v FROM pts JOIN nation ON nk = n_nationkey GROUP BY ROLLUP (n_regionkey, n_nationkey)",
