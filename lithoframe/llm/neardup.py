@@ -219,7 +219,7 @@ def near_duplicates(vectors: DataFrame, similar: float = SIMILAR, passes: int =
     linked directly. component_id: the smallest vec_id reachable by links, itself included; kept where it is vec_id. Rows
     that repeat a vec_id are rows of their own that share its component. Links found are verified; a link whose two vectors
     are far apart in every pass's order is missed, with odds that fall with the number of passes, which follow the label's size
-and what they find; `passes` is a round of them. Vectors of equal code go by the smallest vec_id of each; vectors of any length are compared
+and what they find; `passes` is a round of them. Equal codes go by a hash of the vector; vectors of any length are compared
     whole; an empty table gives no rows; other columns are ignored, whatever their names."""
     x = F.transform("embedding", lambda v: v.cast("double"))
     fine = F.forall("v", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & F.exists("v", lambda e: e != 0)
