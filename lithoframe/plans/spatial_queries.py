@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..functions import wkb
 from ..functions.projections import reproject
 from ..layers import in_frame, points, table, zones
 from ..operators import aggregate as A
+from ..operators import overlay as O
 from ..operators import spatial as S
 
 PTS = "pts AS (SELECT c_custkey AS id, ((c_custkey*7919)%10007)*10.0::DOUBLE AS x, ((c_custkey*104729)%10009)*10.0::DOUBLE AS y, c_acctbal AS v, c_nationkey AS nk, c_mktsegment AS seg FROM customer)"
@@ -57,6 +59,28 @@ def _tile_points(spark, d):
 TILE = "t AS (SELECT id, radians(x / 100060 * 300 - 150) * 6378137.0::DOUBLE AS mx, ln(tan(radians(y / 100080 * 140 - 70) / 2 + pi() / 4)) * 6378137.0::DOUBLE AS my FROM pts)"
 
 
+def _diamonds(boxes, *names):
+    """Boxes turned by 45 degrees, with half their area, as polygons: corners (u, v) at ((u + v) / 2, (u - v) / 2)."""
+    corners = [("xmin", "ymin"), ("xmin", "ymax"), ("xmax", "ymax"), ("xmax", "ymin"), ("xmin", "ymin")]
+    flat = F.array(*[e for u, v in corners for e in ((F.col(u) + F.col(v)) / 2, (F.col(u) - F.col(v)) / 2)])
+
+    @F.pandas_udf("binary")
+    def shape(xy):
+        return xy.map(lambda a: wkb.encode("Polygon", [a.reshape(5, 2)]))
+
+    return boxes.select(*names, shape(flat).alias("geometry"))
+
+
+def _area(layer):
+    from ..operators.polygons import area
+
+    @F.pandas_udf("double")
+    def measured(g):
+        return g.map(lambda b: float(sum(area(r) for r in O.rings_of(*wkb.decode(b)))))
+
+    return layer.withColumn("area", F.round(measured("geometry"), 2))
+
+
 def _lon_lat(spark, d):
     return in_frame(points(spark, d).select("id", (F.col("x") / 100060 * 3 - 102).alias("x"), (F.col("y") / 100080 * 3 + 29.5).alias("y")), 4326)
 
@@ -137,6 +161,22 @@ QUERIES = {
         lambda s, d: S.intersect(boxes(s, d), zones(s, d)).select("sid", "zid", "rk", "bal", *G.SIDES),
         f"WITH {BOX}, {Z} SELECT sid, zid, rk, bal, greatest(a.xmin, b.xmin) AS xmin, greatest(a.ymin, b.ymin) AS ymin, least(a.xmax, b.xmax) AS xmax, least(a.ymax, b.ymax) AS ymax FROM bx a JOIN zones b ON {INNER}",
     ),
+    "polygon_intersect": (
+        lambda s, d: _area(O.intersect_polygons(_diamonds(boxes(s, d), "sid"), _diamonds(zones(s, d), "zid", "rk"))).select("sid", F.col("right_zid").alias("zid"), F.col("right_rk").alias("rk"), "area"),
+        f"WITH {BOX}, {Z} SELECT sid, zid, rk, round((least(a.xmax, b.xmax) - greatest(a.xmin, b.xmin)) * (least(a.ymax, b.ymax) - greatest(a.ymin, b.ymin)) / 2, 2) AS area FROM bx a JOIN zones b ON {INNER}",
+    ),
+    "polygon_erase": (
+        lambda s, d: _area(O.erase_polygons(_diamonds(boxes(s, d), "sid"), _diamonds(zones(s, d).where("zid % 2 = 0"), "zid"), "sid")).select("sid", "area"),
+        # zones do not overlap, so what they take adds up
+        f"""WITH {BOX}, {Z}, t AS (SELECT sid, any_value((a.xmax-a.xmin)*(a.ymax-a.ymin)) - sum(greatest(0, least(a.xmax, b.xmax)-greatest(a.xmin, b.xmin))*greatest(0, least(a.ymax, b.ymax)-greatest(a.ymin, b.ymin))) AS left_over
+        FROM bx a, zones b WHERE zid % 2 = 0 GROUP BY sid) SELECT sid, round(left_over / 2, 2) AS area FROM t WHERE left_over > 0.001""",
+    ),
+    "polygon_dissolve": (
+        lambda s, d: _area(O.dissolve_polygons(_diamonds(boxes(s, d), "sid").withColumn("g", F.col("sid") % 6), "g")).select("g", "area"),
+        # the boxes' edges stand on multiples of 1000 and 500, so cells of that size are covered whole or not at all
+        f"""WITH {BOX}, c AS (SELECT x, y FROM (SELECT unnest(range(110)) * 1000.0::DOUBLE AS x), (SELECT unnest(range(210)) * 500.0::DOUBLE AS y))
+        SELECT sid % 6 AS g, count(DISTINCT x * 1000 + y / 500)::DOUBLE * 250000 AS area FROM bx JOIN c ON xmin <= x AND xmax >= x + 1000 AND ymin <= y AND ymax >= y + 500 GROUP BY 1""",
+    ),
     "box_clip": (
         lambda s, d: S.clip(boxes(s, d), MASK).select("sid", *G.SIDES),
         f"WITH {BOX} SELECT sid, greatest(xmin, 15000) AS xmin, greatest(ymin, 25000) AS ymin, least(xmax, 61000) AS xmax, least(ymax, 70000) AS ymax FROM bx WHERE xmin < 61000 AND xmax > 15000 AND ymin < 70000 AND ymax > 25000",
