@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bytebpe, linededup, mixing, neardup, ngram_join, pieces, pii, quality, runs, sharding, topk, urlfilter
+from . import bytebpe, collocation, linededup, mixing, neardup, ngram_join, pieces, pii, quality, runs, sharding, topk, urlfilter
 from .common import table
 
 
@@ -54,13 +54,17 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.run_digest(table(spark, sf_dir, "documents"))
 
 
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocation.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytebpe.bpe_digest(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_url_filters, op3_ngram_jaccard_join, op4_sentencepiece_encoding, op5_exact_top_k_search, op6_embedding_near_dedup, op7_quality_classifier, op8_line_dedup, op9_sharding, op10_mixing, op11_periodic_runs, op13_bpe_encoding)}
+    return {f.__name__: f for f in (op1_pii, op2_url_filters, op3_ngram_jaccard_join, op4_sentencepiece_encoding, op5_exact_top_k_search, op6_embedding_near_dedup, op7_quality_classifier, op8_line_dedup, op9_sharding, op10_mixing, op11_periodic_runs, op12_phrase_collocations, op13_bpe_encoding)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_ngram_jaccard_join": ngram_join.SQL, "op5_exact_top_k_search": topk.SQL, "op6_embedding_near_dedup": neardup.SQL, "op8_line_dedup": linededup.SQL}
+    return {"op3_ngram_jaccard_join": ngram_join.SQL, "op5_exact_top_k_search": topk.SQL, "op6_embedding_near_dedup": neardup.SQL, "op8_line_dedup": linededup.SQL, "op12_phrase_collocations": collocation.SQL}
