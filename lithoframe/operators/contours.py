@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 
 from ..errors import require
 from ..functions import wkb
+from . import tracing
 from .grids import NICE
 from .polygons import area, chaikin
 
-INDEX_EVERY, LEVELS = 5, 12
+#: Lines from one index line to the next, levels of a default set, and the most that corners may be cut.
+INDEX_EVERY, LEVELS, SMOOTHING_MAX = 5, 12, 0.5
 
 
 def auto_levels(lo: float, hi: float, target: int = LEVELS) -> list[float]:
@@ -31,121 +33,65 @@ def interval_of(levels: list[float]) -> float:
     return float(np.median(np.diff(sorted(levels)))) if len(levels) > 1 else 0.0
 
 
-def _squares(surface: DataFrame) -> DataFrame:
-    """Each cell with its right, lower and lower right neighbours' values, by equi-joins on whole indexes."""
-    s = surface.select("row", "col", "x", "y", "value")
-    shift = lambda dr, dc, n: s.select((F.col("row") - dr).alias("row"), (F.col("col") - dc).alias("col"), F.col("value").alias(n), *([F.col("x").alias("x1"), F.col("y").alias("y1")] if (dr, dc) == (1, 1) else []))
-    out = s.join(shift(0, 1, "vr"), ["row", "col"]).join(shift(1, 0, "vd"), ["row", "col"]).join(shift(1, 1, "vx"), ["row", "col"])
-    return out.where(" AND ".join(f"{c} IS NOT NULL AND NOT isnan({c})" for c in ("value", "vr", "vd", "vx")))
-
-
-def segments(surface: DataFrame, levels: list[float]) -> DataFrame:
-    """(level, xa, ya, xb, yb): marching squares as Column arithmetic; saddles are parted by the mean of their corners."""
-    level = F.explode(F.array(*[F.lit(float(v)) for v in levels]))
-    q = _squares(surface).withColumn("level", level)
-    a, b, c, d, t = (F.col(n) for n in ("value", "vr", "vx", "vd", "level"))  # clockwise from the upper left
-    up = lambda v: F.when(v >= t, 1).otherwise(0)
-    q = q.withColumn("case", up(a) * 8 + up(b) * 4 + up(c) * 2 + up(d)).where("case > 0 AND case < 15")
-    x0, y0, x1, y1 = F.col("x"), F.col("y"), F.col("x1"), F.col("y1")
-    cut = lambda u, v: (t - u) / F.nullif(v - u, F.lit(0.0))
-    p = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
-    n, e, s, w = p(x0 + cut(a, b) * (x1 - x0), y0), p(x1, y0 + cut(b, c) * (y1 - y0)), p(x0 + cut(d, c) * (x1 - x0), y1), p(x0, y0 + cut(a, d) * (y1 - y0))
-    seg = lambda u, v: F.array(F.struct(u.alias("u"), v.alias("v")))
-    two = lambda u, v, u2, v2: F.array(F.struct(u.alias("u"), v.alias("v")), F.struct(u2.alias("u"), v2.alias("v")))
-    k, high = F.col("case"), (a + b + c + d) / 4 >= t
-    pick = (
-        F.when(k.isin(1, 14), seg(w, s)).when(k.isin(2, 13), seg(s, e)).when(k.isin(3, 12), seg(w, e)).when(k.isin(4, 11), seg(n, e)).when(k.isin(6, 9), seg(n, s)).when(k.isin(7, 8), seg(w, n))
-        .when(k == 5, F.when(high, two(w, n, s, e)).otherwise(two(w, s, n, e))).otherwise(F.when(high, two(w, s, n, e)).otherwise(two(w, n, s, e)))
-    )
-    out = q.select("level", F.explode(pick).alias("g")).select("level", F.col("g.u.x").alias("xa"), F.col("g.u.y").alias("ya"), F.col("g.v.x").alias("xb"), F.col("g.v.y").alias("yb"))
-    return out.where("xa <> xb OR ya <> yb")
-
-
-def stitch(rows: np.ndarray) -> list[np.ndarray]:
-    """Lines from segments [n, 4] whose ends meet."""
-    key = lambda x, y: (round(x, 6), round(y, 6))
-    ends: dict = {}
-    for i, (xa, ya, xb, yb) in enumerate(rows):
-        ends.setdefault(key(xa, ya), []).append(i)
-        ends.setdefault(key(xb, yb), []).append(i)
-    used, out = np.zeros(len(rows), bool), []
-    starts = [i for v in ends.values() if len(v) == 1 for i in v] + list(range(len(rows)))
-    for i in starts:
-        if used[i]:
-            continue
-        xa, ya, xb, yb = rows[i]
-        first = (xa, ya) if len(ends[key(xa, ya)]) == 1 else (xb, yb) if len(ends[key(xb, yb)]) == 1 else (xa, ya)
-        line, at = [first], first
-        j = i
-        while j is not None:
-            used[j] = True
-            xa, ya, xb, yb = rows[j]
-            at = (xb, yb) if key(xa, ya) == key(*at) else (xa, ya)
-            line.append(at)
-            j = next((m for m in ends[key(*at)] if not used[m]), None)
-        out.append(np.array(line))
-    return out
+def lines(surface: DataFrame, levels: list[float], *, smoothing: float = 0.0, min_length: float = 0.0, index_every: int = INDEX_EVERY, **tiles: int) -> DataFrame:
+    """(value, is_index, length, geometry): marching squares, saddles parted by the mean of their corners, traced by tiles; every
+    fifth level by position is an index. Lines of no length, where the surface just touches a level, are left out."""
+    ordered = sorted(float(v) for v in levels)
 
+    def run(batches):
+        for b in batches:
+            out = []
+            for g, closed, xs, ys in b[["g", "closed", "xs", "ys"]].itertuples(index=False):
+                line = chaikin(_distinct(xs, ys), smoothing, closed)
+                n = float(np.hypot(*np.diff(line, axis=0).T).sum())
+                if n > 0 and n >= min_length:
+                    out.append((ordered[g], g % index_every == 0, n, wkb.encode("LineString", line)))
+            yield pd.DataFrame(out, columns=["value", "is_index", "length", "geometry"])
 
-def lines(surface: DataFrame, levels: list[float], *, smoothing: float = 0.0, min_length: float = 0.0, index_every: int = INDEX_EVERY) -> DataFrame:
-    """(value, is_index, length, geometry): a level's segments are stitched where they lie, level by level; every fifth level by
-    position is an index."""
-    ordered = sorted(levels)
-    index = {v for i, v in enumerate(ordered) if i % index_every == 0}
+    return tracing.level_lines(surface, ordered, **tiles).mapInPandas(run, "value double, is_index boolean, length double, geometry binary")
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for line in stitch(pdf[["xa", "ya", "xb", "yb"]].to_numpy()):
-            closed = bool(np.allclose(line[0], line[-1])) and len(line) > 3
-            line = chaikin(line, smoothing, closed)
-            n = float(np.hypot(*np.diff(line, axis=0).T).sum())
-            if n >= min_length:
-                out.append((float(key[0]), key[0] in index, n, wkb.encode("LineString", line)))
-        return pd.DataFrame(out, columns=["value", "is_index", "length", "geometry"])
 
-    return segments(surface, ordered).groupBy("level").applyInPandas(run, "value double, is_index boolean, length double, geometry binary")
+def _distinct(xs, ys) -> np.ndarray:
+    """The points of a line without those that repeat the one before."""
+    p = np.column_stack((xs, ys))
+    return p[np.concatenate(([True], (np.diff(p, axis=0) != 0).any(axis=1)))]
 
 
 def index_levels(contours: DataFrame) -> DataFrame:
     return contours.where("is_index").select("value").distinct().orderBy("value")
 
 
-def bands(surface: DataFrame, levels: list[float]) -> DataFrame:
-    """(band, lower, upper, area): each square's two triangles are cut at the levels; areas add up without gathering a band's
-    polygons. Values below the first level and at the last or above are bands of their own with open ends."""
-    edges = [-math.inf, *sorted(levels), math.inf]
+def bands(surface: DataFrame, levels: list[float], *, smoothing: float = 0.0, min_area: float | None = None, **tiles: int) -> DataFrame:
+    """(band, lower, upper, is_open_ended, part, area, geometry): the polygons between neighbouring levels, one row for each
+    connected part, holes with it.
+
+    The first and last band run to the surface's own extremes and are open ended; levels outside the surface give no band. The
+    edges are those that lines() draws. Cells without a value are outside. Parts and holes smaller than min_area, by default one cell,
+    are left out and filled."""
+    require(0 <= smoothing <= SMOOTHING_MAX, f"smoothing {smoothing} is not between 0 and {SMOOTHING_MAX}; beyond that an edge leaves its level")
+    seen = surface.where("value IS NOT NULL AND NOT isnan(value) AND abs(value) < double('Infinity')")
+    r = seen.agg(*[f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("value", "x", "y", "row", "col")]).first()
+    require(r["min_value"] is not None, "the surface has no value in any cell, so there is nothing to fill")
+    cell = (r["max_x"] - r["min_x"]) / max(1, r["max_col"] - r["min_col"]) * (r["max_y"] - r["min_y"]) / max(1, r["max_row"] - r["min_row"])
+    tiny = 1e-9 * cell
+    least = max(tiny, cell if min_area is None else min_area)
+    inner = [float(v) for v in sorted(levels) if r["min_value"] < v < r["max_value"]]
+    ends = [r["min_value"], *inner, r["max_value"]]
 
     def run(batches):
         for b in batches:
-            total = np.zeros(len(edges) - 1)
-            for x0, y0, x1, y1, a, bb, c, d in b[["x", "y", "x1", "y1", "value", "vr", "vx", "vd"]].itertuples(index=False):
-                for tri in (((x0, y0, a), (x1, y0, bb), (x1, y1, c)), ((x0, y0, a), (x1, y1, c), (x0, y1, d))):
-                    lo, hi = min(p[2] for p in tri), max(p[2] for p in tri)
-                    for i in range(len(edges) - 1):
-                        if hi >= edges[i] and lo < edges[i + 1] or (lo == hi == edges[i]):
-                            p = _between(np.array(tri), edges[i], edges[i + 1])
-                            if len(p) > 2:
-                                total[i] += abs(area(np.concatenate((p[:, :2], p[:1, :2]))))
-            yield pd.DataFrame({"band": np.arange(len(total)), "area": total})
-
-    sums = _squares(surface).mapInPandas(run, "band int, area double").groupBy("band").agg(F.sum("area").alias("area"))
-    at = lambda shift: F.element_at(F.array(*[F.lit(float(e)) for e in edges]), F.col("band") + 1 + shift)
-    return sums.where("area > 0").select("band", at(0).alias("lower"), at(1).alias("upper"), "area")
-
-
-def _between(p: np.ndarray, lo: float, hi: float) -> np.ndarray:
-    for sign, limit in ((1, lo), (-1, hi)):
-        if math.isinf(limit) or not len(p):
-            continue
-        s, out = sign * (p[:, 2] - limit), []
-        for i in range(len(p)):
-            j = (i + 1) % len(p)
-            if s[i] >= 0:
-                out.append(p[i])
-            if s[i] * s[j] < 0:
-                out.append(p[i] + s[i] / (s[i] - s[j]) * (p[j] - p[i]))
-        p = np.array(out)
-    return p
+            out = []
+            for g, part, rings in b[["g", "outer", "rings"]].itertuples(index=False):
+                shell, *holes = (chaikin(_distinct(x["xs"], x["ys"]), smoothing, True) for x in sorted(rings, key=lambda x: not x["is_outer"]))
+                if len(shell) > 3 and abs(area(shell)) >= least:
+                    kept = [shell, *(h for h in holes if len(h) > 3 and abs(area(h)) >= least)]
+                    size = abs(area(shell)) - sum(abs(area(h)) for h in kept[1:])
+                    out.append((g, ends[g], ends[g + 1], g in (0, len(inner)), part, size, wkb.encode("Polygon", kept)))
+            yield pd.DataFrame(out, columns=["band", "lower", "upper", "is_open_ended", "part", "area", "geometry"])
+
+    rings = tracing.band_rings(surface, [-math.inf, *inner, math.inf], tiny, **tiles)
+    held = rings.groupBy("g", "outer").agg(F.collect_list(F.struct((F.col("ring") == F.col("outer")).alias("is_outer"), "xs", "ys")).alias("rings"))
+    return held.mapInPandas(run, "band int, lower double, upper double, is_open_ended boolean, part bigint, area double, geometry binary")
 
 
 def anchor_distances(length: Column, gap: float, spacing: float) -> Column:
