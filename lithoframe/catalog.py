@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import attribute_queries, edit_queries, point_queries, registry_queries, solver_queries, spatial_queries
+from .plans import attribute_queries, edit_queries, point_queries, registry_queries, solver_queries, spatial_queries, surface_queries
 
-MODULES: tuple = (attribute_queries, spatial_queries, point_queries, registry_queries, solver_queries, edit_queries)
+MODULES: tuple = (attribute_queries, spatial_queries, point_queries, registry_queries, solver_queries, edit_queries, surface_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from decimal import ROUND_FLOOR, Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -158,22 +159,29 @@ def stddev_breaks(df: DataFrame, value: str, n: int) -> list[float]:
     return _rising([r["m"] + (j - n / 2) * r["s"] for j in range(1, n)], n)
 
 
+def multiples(lo: float, hi: float, m: float, e: int, most: int) -> list[float]:
+    """The first multiples of m * 10^e strictly between lo and hi, most at the most, each worked out once from its whole number."""
+    step = Decimal(str(m)).scaleb(e)
+    k, out = int((Decimal(lo) / step).to_integral_value(ROUND_FLOOR)) + 1, []
+    while len(out) < most and (v := float(k * step)) < hi:
+        if v > lo and (not out or v > out[-1]):
+            out.append(v)
+        k += 1
+    return out
+
+
 def pretty_breaks(lo: float, hi: float, n: int) -> list[float]:
-    """n - 1 multiples of a round step strictly inside the range, of the steps that give so many the largest."""
+    """n - 1 multiples of a round step strictly inside the range, of the steps that give so many the largest. Where none gives just
+    so many, those of the largest step that gives more, thinned evenly."""
     from .grids import NICE
 
     require(n >= 2 and hi > lo, f"{n} classes of the range {lo} to {hi} have no breaks; choose 2 classes or more of a wider range")
-    for e in range(math.ceil(math.log10(hi - lo)) + 1, math.floor(math.log10((hi - lo) / n)) - 3, -1):
-        for m in reversed(NICE[:-1]):
-            step = m * 10.0**e
-            first = math.floor(lo / step) + 1
-            inside = [k * step for k in range(first, first + n + 1) if lo < k * step < hi]
-            if len(inside) == n - 1:
-                return inside
-    # no step gives the number: the first n - 1 multiples, thinned evenly from the finest that gives more
-    step = next(m * 10.0**e for e in range(math.ceil(math.log10(hi - lo)) + 1, -320, -1) for m in reversed(NICE[:-1]) if sum(1 for k in range(math.floor(lo / (m * 10.0**e)) + 1, math.floor(lo / (m * 10.0**e)) + 4 * n) if lo < k * m * 10.0**e < hi) >= n - 1)
-    inside = [k * step for k in range(math.floor(lo / step) + 1, math.floor(hi / step) + 1) if lo < k * step < hi]
-    return [inside[round(i * (len(inside) - 1) / max(1, n - 2))] for i in range(n - 1)]
+    top = math.ceil(math.log10(hi - lo)) + 1
+    steps = [(m, e) for e in range(top, top - 8 - math.ceil(math.log10(n)), -1) for m in reversed(NICE[:-1])]
+    sets = [multiples(lo, hi, m, e, 8 * n) for m, e in steps]
+    more = next((b for b in sets if len(b) >= n - 1), None)
+    require(more is not None, f"the range {lo} to {hi} is too narrow for {n} classes")
+    return next((b for b in sets if len(b) == n - 1), [more[round(i * (len(more) - 1) / max(1, n - 2))] for i in range(n - 1)])
 
 
 def jenks_breaks(df: DataFrame, value: str, n: int, sample: int = JENKS_SAMPLE) -> list[float]:

@@ -87,10 +87,6 @@ QUERIES = {
     ),
     "variogram_iso": (lambda s, d: _variogram(s, d), f"{PAIRS} {LAGGED.format('')}"),
     "variogram_azimuth": (lambda s, d: _variogram(s, d, azimuth=45.0), f"{PAIRS} {LAGGED.format('WHERE least(((degrees(atan2(dx, dy)) - 45) % 180 + 180) % 180, 180 - ((degrees(atan2(dx, dy)) - 45) % 180 + 180) % 180) <= 22.5')}"),
-    "variogram_model_eval": (
-        lambda s, d: s.range(30).select(F.col("id").alias("i"), F.round(MODEL.gamma_column(F.col("id") * 400.0), 8).alias("gamma")),
-        "SELECT range AS i, round(CASE WHEN range = 0 THEN 0 WHEN range * 400.0::DOUBLE / 9000 < 1 THEN 0.2 + 1.3 * (1.5 * (range*400.0::DOUBLE/9000) - 0.5 * (range*400.0::DOUBLE/9000)^3) ELSE 1.5 END, 8)::DOUBLE AS gamma FROM range(30)",
-    ),
     "log_transform": (lambda s, d: points(s, d).select("id", F.round(ST.log_transform(F.col("v"), 1001.0), 8).alias("t")), f"WITH {PTS} SELECT id, round(ln(v + 1001), 8) AS t FROM pts"),
     "boxcox_transform": (lambda s, d: points(s, d).select("id", F.round(ST.boxcox_transform(F.col("v"), 0.3, 1001.0), 6).alias("t")), f"WITH {PTS} SELECT id, round(((v + 1001)^0.3::DOUBLE - 1) / 0.3::DOUBLE, 6) AS t FROM pts"),
     "covariate_correlation": (
@@ -109,20 +105,7 @@ QUERIES = {
     "equal_interval_breaks": (lambda s, d: _breaks(s, ST.classify(points(s, d), "v", "equal_interval", 5)), f"WITH {PTS}, m AS (SELECT min(v) AS a, max(v) AS b FROM pts) SELECT (range - 1)::INTEGER AS i, round(a + (b - a) * range / 5, 4) AS b FROM m, range(1, 5)"),
     "quantile_breaks": (lambda s, d: _breaks(s, ST.classify(points(s, d), "v", "quantile", 4)), f"WITH {PTS} SELECT unnest([0, 1, 2]) AS i, round(unnest(quantile_cont(v, [0.25::DOUBLE, 0.5, 0.75])), 4) AS b FROM pts"),
     "stddev_breaks": (lambda s, d: _breaks(s, ST.classify(points(s, d), "v", "standard_deviation", 6)), f"WITH {PTS}, m AS (SELECT avg(v) AS m, stddev_pop(v) AS s FROM pts) SELECT (range - 1)::INTEGER AS i, round(m + (range - 3) * s, 4) AS b FROM m, range(1, 6)"),
-    "pretty_breaks": (lambda s, d: _breaks(s, ST.pretty_breaks(-1000.0, 10000.0, 6)), "SELECT (range - 1)::INTEGER AS i, ((range - 1) * 2000)::DOUBLE AS b FROM range(1, 6)"),
     "jenks_breaks": (lambda s, d: _breaks(s, ST.classify(points(s, d), "v", "natural_breaks", 4)), None),
     "class_assign": (lambda s, d: points(s, d).select(ST.class_of(F.col("v"), [0.0, 2500.0, 5000.0]).alias("class")).groupBy("class").agg(F.count("*").alias("n")), f"WITH {PTS} SELECT (v >= 0)::INTEGER + (v >= 2500)::INTEGER + (v >= 5000)::INTEGER AS class, count(*) AS n FROM pts GROUP BY 1"),
     "nscore_transform": (lambda s, d: ST.nscore(points(s, d), "v"), None),
-    "clip_grid_box": (
-        lambda s, d: grids.clip_to_box(cells(s, d).withColumn("value", F.col("x") + F.col("y")), (8000.0, 8000.0, 40000.0, 60000.0)).select("cell_id", "value"),
-        f"WITH {CELLS} SELECT cell_id, CASE WHEN x >= 8000 AND x <= 40000 AND y >= 8000 AND y <= 60000 THEN x + y END AS value FROM cells",
-    ),
-    "grid_cells": (
-        lambda s, d: grids.Grid.covering((0.0, 0.0, 100.0, 60.0), 20.0).cells(s),
-        "SELECT range AS cell_id, (range // 6)::INTEGER AS row, (range % 6)::INTEGER AS col, -10 + (range % 6 + 0.5) * 20.0::DOUBLE AS x, 70 - (range // 6 + 0.5) * 20.0::DOUBLE AS y FROM range(24)",
-    ),
-    "nice_cell_size": (
-        lambda s, d: s.createDataFrame([(v, grids.nice_cell_size(v)) for v in (0.3, 1.0, 1.7, 2.2, 3.0, 7.0, 480.0, 1001.0)], "v double, size double"),
-        "SELECT unnest([0.3, 1.0, 1.7, 2.2, 3.0, 7.0, 480.0, 1001.0])::DOUBLE AS v, unnest([0.5, 1.0, 2.0, 2.5, 5.0, 10.0, 500.0, 2000.0])::DOUBLE AS size",
-    ),
 }

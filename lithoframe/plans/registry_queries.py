@@ -167,10 +167,6 @@ QUERIES = {
         lambda s, d: faults.shared_vertices(_segments(s, d).select("id", F.col("x1").alias("x"), F.col("y1").alias("y")), _segments(s, d).select(F.col("x2").alias("x"), F.col("y2").alias("y"))).select("id"),
         f"WITH {SEG} SELECT id FROM g WHERE EXISTS (SELECT 1 FROM g h WHERE h.x2 = g.x1 AND h.y2 = g.y1)",
     ),
-    "color_ramp": (
-        lambda s, d: s.range(11).select("id", style.colour_column(STOPS, F.col("id") / 10.0).alias("colour")),
-        "SELECT range AS id, '#' || list_aggregate(list_transform([greatest(0, range/5.0-1)*255, CASE WHEN range <= 5 THEN range/5.0*255 ELSE (2-range/5.0)*255 END, CASE WHEN range <= 5 THEN 128*(1-range/5.0) ELSE 0 END], lambda c: lpad(lower(to_hex(floor(c + 0.5)::INTEGER)), 2, '0')), 'string_agg', '') AS colour FROM range(11)",
-    ),
     "category_match": (
         lambda s, d: table(s, d, "customer").select(style.category_match(F.col("c_mktsegment"), {"BUILDING": "#aa0000", "MACHINERY": "#00aa00"}, "#999999").alias("colour")).groupBy("colour").agg(F.count("*").alias("n")),
         "SELECT CASE c_mktsegment WHEN 'BUILDING' THEN '#aa0000' WHEN 'MACHINERY' THEN '#00aa00' ELSE '#999999' END AS colour, count(*) AS n FROM customer GROUP BY 1",
@@ -179,9 +175,4 @@ QUERIES = {
         lambda s, d: table(s, d, "customer").select(style.graduated(F.col("c_acctbal"), [0.0, 5000.0], ["#a", "#b", "#c"]).alias("colour")).groupBy("colour").agg(F.count("*").alias("n")),
         "SELECT CASE WHEN c_acctbal < 0 THEN '#a' WHEN c_acctbal < 5000 THEN '#b' ELSE '#c' END AS colour, count(*) AS n FROM customer GROUP BY 1",
     ),
-    "scale_bar": (
-        lambda s, d: s.range(19).select("id", G.scale_bar(F.lit(31.0), F.col("id").cast("double"), 120.0).alias("b")).select("id", "b.distance", F.round("b.width_px", 4).alias("width_px")),
-        """WITH m AS (SELECT range AS id, 2*pi()*6378137.0::DOUBLE*cos(radians(31.0))/(512*2.0::DOUBLE^range) AS per FROM range(19)), p AS (SELECT *, 10.0::DOUBLE^floor(log10(per*120)) AS p FROM m), q AS (SELECT *, p * CASE WHEN per*120/p >= 5 THEN 5 WHEN per*120/p >= 2 THEN 2 ELSE 1 END AS distance FROM p)
-        SELECT id, distance, round(distance/per, 4) AS width_px FROM q""",
-    ),
 }

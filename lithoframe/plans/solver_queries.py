@@ -77,16 +77,6 @@ QUERIES = {
     ),
     "min_curvature": (lambda s, d: S.minimum_curvature(s, GRID, control(s, d)), None),
     "variogram_fit": (lambda s, d: s.createDataFrame([(m.kind, m.nugget, m.sill, m.range) for m in [fit_auto(points(s, d), max_lag=20000.0)]], "kind string, nugget double, sill double, range double"), None),
-    "contour_lines": (
-        lambda s, d: C.lines(_surface(s, d), [50000.0, 101000.0, 153000.0]).groupBy("value", "is_index").agg(F.round(F.sum("length"), 2).alias("length")),
-        "SELECT unnest([50000.0, 101000.0, 153000.0])::DOUBLE AS value, unnest([true, false, false]) AS is_index, round(unnest([25000 * sqrt(5), 96000 * sqrt(1.25), 96000 * sqrt(1.25)])::DOUBLE, 2) AS length",
-    ),
-    "contour_bands": (
-        lambda s, d: C.bands(_surface(s, d), [96000.0, 192000.0]).select("band", F.round("area", 2).alias("area")),
-        "SELECT unnest([0, 1, 2]) AS band, round(unnest([96000.0*48000/2, 96000.0*96000 - 96000.0*48000, 96000.0*48000/2])::DOUBLE, 2) AS area",
-    ),
-    "contour_auto_levels": (lambda s, d: s.createDataFrame([(v,) for v in C.auto_levels(0.0, 288000.0)], "level double"), "SELECT range * 25000.0::DOUBLE AS level FROM range(1, 12)"),
-    "contour_labels": (lambda s, d: C.label(C.lines(_cone(s, d), [100.0, 200.0, 300.0]), 40.0, 500.0).select("value", "kind", F.round("x", 3).alias("x"), F.round("y", 3).alias("y")), None),
     "compartments": (lambda s, d: _faults(s, d), "SELECT (range // 25)::INTEGER AS row, (range % 25)::INTEGER AS col, CASE WHEN range % 25 <= 10 THEN 0 ELSE 11 END AS compartment FROM range(625)"),
     "convex_hull": (lambda s, d: _area(P.convex_hull(_pts(s, d))), None),
     "concave_hull": (lambda s, d: _area(P.concave_hull(_pts(s, d), 0.3)), None),
