@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from importlib import import_module
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -145,21 +146,31 @@ def attribute_preview(source: DataFrame, by: str, field: str, area: Column) -> D
     )
 
 
-def _polygons(name: str):
-    def run(source: DataFrame, **params) -> DataFrame:
-        from . import polygons
+def _of(module: str, name: str):
+    def run(*layers, **params) -> DataFrame:
+        return getattr(import_module(f"lithoframe.operators.{module}"), name)(*layers, **params)
 
-        return getattr(polygons, name)(source, **params)
+    return run
+
+
+def _by_shape(boxes, shapes):
+    """The operation for polygons where a layer has a geometry, else the one for boxes."""
+
+    def run(*layers, **params) -> DataFrame:
+        return (shapes if any("geometry" in layer.columns for layer in layers if isinstance(layer, DataFrame)) else boxes)(*layers, **params)
 
     return run
 
 
-#: name: (function, number of layers).
+#: name: (function, numbers of layers it takes). Layers of boxes (xmin to ymax) and of polygons (geometry) have the same operations;
+#: for boxes, the mask of a clip or an erase is a box given as an argument.
 CATALOGUE = {
-    "buffer": (_polygons("buffer"), 1), "centroid": (centroids, 1), "convex_hull": (_polygons("convex_hull"), 1), "concave_hull": (_polygons("concave_hull"), 1),
-    "clip": (spatial.clip, 1), "erase": (spatial.erase, 1), "difference": (spatial.erase, 1), "intersect": (spatial.intersect, 2), "union": (spatial.union_layers, 2),
-    "dissolve": (dissolve_boxes, 1), "spatial_join": (spatial.spatial_join, 2), "summarize_within": (summarize_within, 2),
-    "aggregate_points": (aggregate_points, 1), "hexbin": (hexbin, 1), "voronoi": (_polygons("voronoi"), 1),
+    "buffer": (_of("polygons", "buffer"), (1,)), "centroid": (centroids, (1,)), "convex_hull": (_of("polygons", "convex_hull"), (1,)), "concave_hull": (_of("polygons", "concave_hull"), (1,)),
+    "clip": (_by_shape(spatial.clip, _of("overlay", "clip_layer")), (1, 2)), "erase": (_by_shape(spatial.erase, _of("overlay", "erase_polygons")), (1, 2)),
+    "difference": (_by_shape(spatial.erase, _of("overlay", "erase_polygons")), (1, 2)), "intersect": (_by_shape(spatial.intersect, _of("overlay", "intersect_polygons")), (2,)),
+    "union": (_by_shape(spatial.union_layers, _of("overlay", "union_polygons")), (2,)), "dissolve": (_by_shape(dissolve_boxes, _of("overlay", "dissolve_polygons")), (1,)),
+    "spatial_join": (_by_shape(spatial.spatial_join, _of("relations", "spatial_join_shapes")), (2,)), "summarize_within": (_by_shape(summarize_within, _of("relations", "summarize_within_shapes")), (2,)),
+    "aggregate_points": (aggregate_points, (1,)), "hexbin": (hexbin, (1,)), "voronoi": (_of("polygons", "voronoi"), (1,)),
 }
 
 
@@ -171,5 +182,5 @@ def aggregate(op: str, layers: list[DataFrame], *args, **params) -> DataFrame:
     """An operation of the catalogue by its name."""
     require(op in CATALOGUE, f"operation {op!r} is not one of {', '.join(operations())}")
     f, n = CATALOGUE[op]
-    require(len(layers) == n, f"{op} takes {n} layer{'s' * (n > 1)}, not {len(layers)}")
+    require(len(layers) in n, f"{op} takes {' or '.join(map(str, n))} layer{'s' * (n != (1,))}, not {len(layers)}")
     return f(*layers, *args, **params)

@@ -17,13 +17,16 @@ from pyspark.sql import functions as F
 from ..errors import require
 from ..functions import wkb
 from ..functions.geometry import SIDES
-from .polygons import area
+from ..scratch import cut
+from .polygons import area, clip_convex
 from .spatial import pairs
 
 #: Heights and places closer than this share of the extent are one.
 SNAP = 1e-12
 #: Edges of one overlay at most: their crossings are looked for pair by pair.
 EDGES_MAX = 20_000
+#: Edges of the polygons that one polygon is cut by at a time; polygons of a strip of a dissolve, and unions that are united at a time.
+BATCH_EDGES, STRIP, FAN = 4_000, 64, 8
 
 
 def rings_of(kind: str, coords) -> list[np.ndarray]:
@@ -187,11 +190,67 @@ first_only = lambda m: m[:, 0] & ~m[:, 1:].any(axis=1)
 any_of = lambda m: m.any(axis=1)
 
 
+inside_mask = lambda m: m[:, 0] & m[:, 1:].any(axis=1)
+
+
 def _over(geometries: list, keep: Callable) -> bytes | None:
     made = overlay([rings_of(*wkb.decode(bytes(g))) for g in geometries], keep)
     return None if made is None else wkb.encode(*made)
 
 
+def _convex(rings: list[np.ndarray]) -> np.ndarray | None:
+    """The one ring of a convex polygon, counter-clockwise; None for other polygons."""
+    if len(rings) != 1 or len(rings[0]) < 4:
+        return None
+    r = rings[0] if area(rings[0]) > 0 else rings[0][::-1]
+    d = np.diff(r, axis=0)
+    n = np.roll(d, -1, axis=0)
+    turns = d[:, 0] * n[:, 1] - d[:, 1] * n[:, 0]
+    # all turns to the left, and once around in all
+    return r if (turns > 0).all() and abs(np.arctan2(turns, (d * n).sum(axis=1)).sum() - 2 * math.pi) < 1e-6 else None
+
+
+def _common(a: bytes, b: bytes) -> bytes | None:
+    """The common part of two polygons; convex ones are clipped edge by edge, others go through the kernel."""
+    one, two = (rings_of(*wkb.decode(bytes(g))) for g in (a, b))
+    p, q = _convex(one), _convex(two)
+    if p is None or q is None:
+        made = overlay([one, two], both)
+        return None if made is None else wkb.encode(*made)
+    extent = max(np.ptp(p), np.ptp(q), max(np.abs(p).max(), np.abs(q).max()) * 1e-3)
+    part = clip_convex(p, q)
+    part = part[np.concatenate(([True], np.hypot(*np.diff(part, axis=0).T) > SNAP * extent))] if len(part) else part
+    part = np.concatenate((part, part[:1])) if len(part) and (part[0] != part[-1]).any() else part
+    return wkb.encode("Polygon", [part]) if len(part) > 3 and area(part) > SNAP * extent * extent else None
+
+
+def _against(first: bytes, others: list, keep: Callable) -> bytes | None:
+    """keep over first and many others, a batch of BATCH_EDGES edges at a time: what is cut away by one is gone for the next, and
+    what lies inside several batches is united."""
+    rings = [rings_of(*wkb.decode(bytes(g))) for g in others]
+    now, batch, size, found = rings_of(*wkb.decode(bytes(first))), [], 0, []
+
+    def done() -> list:
+        made = overlay([now, *batch], keep)
+        return [] if made is None else rings_of(*made)
+
+    for k, r in enumerate(rings):
+        batch.append(r)
+        size += sum(map(len, r))
+        if size >= BATCH_EDGES or k + 1 == len(rings):
+            if keep is first_only:
+                now = done()
+                if not now:
+                    return None
+            else:
+                found.append(done())
+            batch, size = [], 0
+    if keep is first_only:
+        return wkb.encode(*overlay([now], any_of))
+    made = overlay([f for f in found if f], any_of) if any(found) else None
+    return None if made is None else wkb.encode(*made)
+
+
 def with_boxes(layer: DataFrame) -> DataFrame:
     """layer with the box of each geometry; null geometries go."""
 
@@ -218,7 +277,7 @@ def intersect_polygons(left: DataFrame, right: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            b["geometry"] = [_over([x, y], both) for x, y in zip(b["__lg"], b["__rg"])]
+            b["geometry"] = [_common(x, y) for x, y in zip(b["__lg"], b["__rg"])]
             yield b.drop(columns=["__lg", "__rg"])
 
     schema = ", ".join(f"`{c}` {met.schema[c].dataType.simpleString()}" for c in names) + ", geometry binary"
@@ -236,35 +295,60 @@ def clip_polygons(layer: DataFrame, mask: bytes, invert: bool = False) -> DataFr
     return layer.where("geometry IS NOT NULL").mapInPandas(run, layer.schema).where("geometry IS NOT NULL")
 
 
-def erase_polygons(left: DataFrame, right: DataFrame, key: str = "id") -> DataFrame:
-    """left without what any polygon of right covers; what vanishes goes. key names left's rows one by one.
+def _each_against(left: DataFrame, right: DataFrame, keep: Callable, alone: bool) -> DataFrame:
+    """left, each row's polygon against all of right that its box meets, with a row number for the group, as left's own columns
+    may repeat or be null; alone: whether rows that meet none stay."""
+    rows = cut(left.where("geometry IS NOT NULL").withColumn("__row", F.monotonically_increasing_id()))
+    masks = right.where("geometry IS NOT NULL").select(F.col("geometry").alias("geometry"))
+    met = _met(rows.select("__row", "geometry"), masks).select("__row", "__lg", "__rg")
 
-    The polygons of right that meet one of left form a group; a group of more edges than EDGES_MAX is an error."""
-    met = _met(left, right)
-    kind = left.schema[key].dataType.simpleString()
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"__row": pdf["__row"].iloc[:1], "__cut": [_against(pdf["__lg"].iloc[0], list(pdf["__rg"]), keep)]})
+
+    done = met.groupBy("__row").applyInPandas(work, "__row bigint, __cut binary").withColumn("__met", F.lit(True))
+    out = rows.join(done, "__row", "left" if alone else "inner").where("__cut IS NOT NULL OR __met IS NULL")
+    return out.select(*[F.coalesce("__cut", "geometry").alias(c) if c == "geometry" else F.col(c) for c in left.columns])
+
+
+def erase_polygons(left: DataFrame, right: DataFrame) -> DataFrame:
+    """left without what any polygon of right covers; what vanishes goes, and so do rows without a geometry. Each row is cut by
+    itself, whatever its columns hold."""
+    return _each_against(left, right, first_only, True)
+
+
+def clip_layer(left: DataFrame, right: DataFrame) -> DataFrame:
+    """left cut to what the polygons of right cover together; what vanishes goes."""
+    return _each_against(left, right, inside_mask, False)
 
-    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({key: pdf[key].iloc[:1], "geometry": [_over([pdf["__lg"].iloc[0], *pdf["__rg"]], first_only)]})
 
-    done = met.select(key, "__lg", "__rg").groupBy(key).applyInPandas(cut, f"`{key}` {kind}, geometry binary")
-    done = done.select(F.col(key).alias("__key"), F.col("geometry").alias("__cut"))
-    joined = left.join(done, left[key] == done["__key"], "left").where("geometry IS NOT NULL AND (__key IS NULL OR __cut IS NOT NULL)")
-    return joined.select(*[F.coalesce("__cut", left[c]).alias(c) if c == "geometry" else left[c] for c in left.columns])
+def union_polygons(left: DataFrame, right: DataFrame) -> DataFrame:
+    """The common parts of both layers with the columns of both (right's under right_), then what only one of them covers, with
+    nulls for the other's columns."""
+    named = right.withColumnsRenamed({c: f"right_{c}" for c in right.columns if c != "geometry"})
+    out = intersect_polygons(left, right)
+    return out.unionByName(erase_polygons(left, right), allowMissingColumns=True).unionByName(erase_polygons(named, left), allowMissingColumns=True)
 
 
 def dissolve_polygons(layer: DataFrame, by: str) -> DataFrame:
-    """(by, geometry): the union of the polygons of each value.
+    """(by, geometry): the union of the polygons of each value; null is a value.
 
-    A value's extent is cut into strips from west to east, of 64 polygons on average; strips are united first, each in a task,
-    and then the unions of a value. A union of more edges than EDGES_MAX is an error."""
+    A value's extent is cut into strips from west to east, of STRIP polygons on average. Strips are united first, each in a task, then
+    FAN neighbouring unions at a time, until one is left: a kernel sees just the outlines of what was united before."""
     kind = layer.schema[by].dataType.simpleString()
 
     def joined(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({by: pdf[by].iloc[:1], "geometry": [_over(list(pdf["geometry"]), any_of)]})
+        return pd.DataFrame({by: pdf[by].iloc[:1], "__strip": pdf["__strip"].iloc[:1], "geometry": [_over(list(pdf["geometry"]), any_of)]})
 
+    schema = f"`{by}` {kind}, __strip bigint, geometry binary"
     boxed = with_boxes(layer.select(by, "geometry"))
     span = boxed.groupBy(by).agg(F.min("xmin").alias("__lo"), F.max("xmin").alias("__hi"), F.count("*").alias("__n"))
-    strip = F.floor((F.col("xmin") - F.col("__lo")) / F.greatest(F.col("__hi") - F.col("__lo"), F.lit(1e-300)) * F.ceil(F.col("__n") / 64))
-    dealt = boxed.join(span, by).select(by, "geometry", strip.alias("__strip"))
-    partial = dealt.groupBy(by, "__strip").applyInPandas(lambda key, pdf: joined(pdf), f"`{by}` {kind}, geometry binary")
-    return partial.groupBy(by).applyInPandas(joined, f"`{by}` {kind}, geometry binary").where("geometry IS NOT NULL")
+    strip = F.floor((F.col("xmin") - F.col("__lo")) / F.greatest(F.col("__hi") - F.col("__lo"), F.lit(1e-300)) * F.ceil(F.col("__n") / STRIP))
+    span = span.withColumnRenamed(by, "__by")
+    same = boxed[by].eqNullSafe(span["__by"])
+    dealt = boxed.join(span, same).select(by, "geometry", strip.cast("bigint").alias("__strip"))
+    strips = ((span.agg(F.max("__n")).first()[0] or 0) + STRIP - 1) // STRIP + 1
+    now = dealt.groupBy(by, "__strip").applyInPandas(joined, schema)
+    while strips > 1:
+        strips = -(-strips // FAN)
+        now = now.withColumn("__strip", F.floor(F.col("__strip") / FAN).cast("bigint")).where("geometry IS NOT NULL").groupBy(by, "__strip").applyInPandas(joined, schema)
+    return now.select(by, "geometry").where("geometry IS NOT NULL")
