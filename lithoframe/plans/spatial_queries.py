@@ -10,6 +10,7 @@ from ..functions.projections import reproject
 from ..layers import in_frame, points, table, zones
 from ..operators import aggregate as A
 from ..operators import overlay as O
+from ..operators import relations as Q
 from ..operators import spatial as S
 
 PTS = "pts AS (SELECT c_custkey AS id, ((c_custkey*7919)%10007)*10.0::DOUBLE AS x, ((c_custkey*104729)%10009)*10.0::DOUBLE AS y, c_acctbal AS v, c_nationkey AS nk, c_mktsegment AS seg FROM customer)"
@@ -71,6 +72,15 @@ def _diamonds(boxes, *names):
     return boxes.select(*names, shape(flat).alias("geometry"))
 
 
+def _turned(pts):
+    """Points turned as _diamonds turns boxes."""
+    return pts.withColumns({"x": (F.col("x") + F.col("y")) / 2, "y": (F.col("x") - F.col("y")) / 2})
+
+
+def _shape_pairs(predicate, s, d):
+    return Q.spatial_join_shapes(_diamonds(boxes(s, d), "sid"), _diamonds(zones(s, d, 20000.0), "zid"), predicate).select("sid", "zid")
+
+
 def _area(layer):
     from ..operators.polygons import area
 
@@ -166,7 +176,7 @@ QUERIES = {
         f"WITH {BOX}, {Z} SELECT sid, zid, rk, round((least(a.xmax, b.xmax) - greatest(a.xmin, b.xmin)) * (least(a.ymax, b.ymax) - greatest(a.ymin, b.ymin)) / 2, 2) AS area FROM bx a JOIN zones b ON {INNER}",
     ),
     "polygon_erase": (
-        lambda s, d: _area(O.erase_polygons(_diamonds(boxes(s, d), "sid"), _diamonds(zones(s, d).where("zid % 2 = 0"), "zid"), "sid")).select("sid", "area"),
+        lambda s, d: _area(O.erase_polygons(_diamonds(boxes(s, d), "sid"), _diamonds(zones(s, d).where("zid % 2 = 0"), "zid"))).select("sid", "area"),
         # zones do not overlap, so what they take adds up
         f"""WITH {BOX}, {Z}, t AS (SELECT sid, any_value((a.xmax-a.xmin)*(a.ymax-a.ymin)) - sum(greatest(0, least(a.xmax, b.xmax)-greatest(a.xmin, b.xmin))*greatest(0, least(a.ymax, b.ymax)-greatest(a.ymin, b.ymin))) AS left_over
         FROM bx a, zones b WHERE zid % 2 = 0 GROUP BY sid) SELECT sid, round(left_over / 2, 2) AS area FROM t WHERE left_over > 0.001""",
@@ -177,6 +187,29 @@ QUERIES = {
         f"""WITH {BOX}, c AS (SELECT x, y FROM (SELECT unnest(range(110)) * 1000.0::DOUBLE AS x), (SELECT unnest(range(210)) * 500.0::DOUBLE AS y))
         SELECT sid % 6 AS g, count(DISTINCT x * 1000 + y / 500)::DOUBLE * 250000 AS area FROM bx JOIN c ON xmin <= x AND xmax >= x + 1000 AND ymin <= y AND ymax >= y + 500 GROUP BY 1""",
     ),
+    "polygon_union": (
+        lambda s, d: _area(O.union_polygons(_diamonds(boxes(s, d).where("sid % 4 = 0"), "sid"), _diamonds(zones(s, d).where("zid % 2 = 0"), "zid"))).groupBy("sid").agg(F.round(F.sum("area"), 1).alias("area")).where("sid IS NOT NULL"),
+        # whatever meets it, a supplier's box is all there: what it shares with zones, which do not overlap, and the rest
+        f"WITH {BOX} SELECT sid, round((xmax - xmin) * (ymax - ymin) / 2, 1) AS area FROM bx WHERE sid % 4 = 0",
+    ),
+    "polygon_join_points": (
+        lambda s, d: Q.spatial_join_shapes(_turned(points(s, d)), _diamonds(zones(s, d), "zid", "rk"), "intersects").select("id", "zid", "rk"),
+        f"WITH {PTS}, {Z} SELECT id, zid, rk FROM pts JOIN zones ON x >= xmin AND x <= xmax AND y >= ymin AND y <= ymax",
+    ),
+    "polygon_join_within": (
+        lambda s, d: Q.spatial_join_shapes(_turned(points(s, d)), _diamonds(zones(s, d, 20020.0).where("zid % 3 = 0"), "zid"), "within", how="left").select("id", "zid"),
+        f"WITH {PTS}, {zones_sql('20020.0')} SELECT id, zid FROM pts LEFT JOIN zones ON zid % 3 = 0 AND x > xmin AND x < xmax AND y > ymin AND y < ymax",
+    ),
+    "polygon_join_overlaps": (lambda s, d: _shape_pairs("overlaps", s, d), _sql_pairs(f"{INNER} AND NOT ({HOLDS}) AND NOT ({HELD})")),
+    "polygon_join_touches": (lambda s, d: _shape_pairs("touches", s, d), _sql_pairs(f"{MEET} AND NOT ({INNER})")),
+    "polygon_join_contains": (
+        lambda s, d: Q.spatial_join_shapes(_diamonds(zones(s, d, 20000.0), "zid"), _diamonds(boxes(s, d), "sid"), "contains").select("sid", "zid"),
+        _sql_pairs(f"{HELD} AND {INNER}"),
+    ),
+    "polygon_summary": (
+        lambda s, d: _r(A.aggregate("summarize_within", [_diamonds(zones(s, d, 20020.0), "zid"), _turned(points(s, d))], STATS[:2]), "v_mean").select("zid", "n", "v_mean"),
+        f"WITH {PTS}, {zones_sql('20020.0')} SELECT zid, count(id) AS n, round(avg(v), 4) AS v_mean FROM zones LEFT JOIN pts ON x >= xmin AND x <= xmax AND y >= ymin AND y <= ymax GROUP BY zid",
+    ),
     "box_clip": (
         lambda s, d: S.clip(boxes(s, d), MASK).select("sid", *G.SIDES),
         f"WITH {BOX} SELECT sid, greatest(xmin, 15000) AS xmin, greatest(ymin, 25000) AS ymin, least(xmax, 61000) AS xmax, least(ymax, 70000) AS ymax FROM bx WHERE xmin < 61000 AND xmax > 15000 AND ymin < 70000 AND ymax > 25000",
