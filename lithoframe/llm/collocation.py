@@ -1,14 +1,16 @@
 """Phrases whose words keep together, from depth-limited count tries of each shard that are merged by ranges of their prefixes.
 
-A phrase found a hundred times has no part that is rarer, so words and pairs of words are counted first, and a shard's trie holds
-just the stretches of words all of whose neighbours may be frequent. What may be frequent is sent as two bitmaps of a fixed size, by
-hashes: a rare word or pair that shares a bit with a frequent one costs a few nodes, which the exact counts then drop."""
+A phrase found a hundred times has no part that is rarer. So words are counted first, then by hashes the windows of two words and
+more whose parts may be frequent, and a shard's trie holds just the nodes that may be frequent. What may be is sent as a bitmap of a
+fixed size: a rare window that shares a bit with a frequent one costs a node, which the exact counts then drop."""
 
 from __future__ import annotations
 
+import heapq
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
-from itertools import islice
+from itertools import groupby, islice
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +25,10 @@ from .textkernels import mix
 DEPTH, LEAST, TOP = 5, 100, 2000
 #: Bits of a bitmap, as a power of two (16 MB); bits of one of its rows.
 FILTER_BITS, ROW_BITS = 27, 1 << 15
-#: Words that are taken together (bytes of text), words or phrases that a shard holds, and pairs that it holds, before it is serialised.
-PART_BYTES, HELD, HELD_PAIRS = 2_000_000, 400_000, 4_000_000
-#: Pairs that a range of pair hashes has on average, and ranges there are at least.
-RANGE_PAIRS, RANGES = 1 << 21, 128
+#: Words that are taken together (bytes of text), words or phrases that a shard holds, and windows that it holds, before it is serialised.
+PART_BYTES, HELD, HELD_WINDOWS = 2_000_000, 400_000, 4_000_000
+#: Words of the input for each range of window hashes, and ranges there are at least.
+RANGE_WINDOWS, RANGES = 1 << 21, 128
 #: Parts of a language that are ranked by themselves before their first rows meet.
 RANK_PARTS = 16
 
@@ -114,10 +116,16 @@ class Vocabulary:
             self.maybe = np.concatenate((self.maybe, has(self.frequent, h)))
         return out
 
-    def pairs(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(hash of each word and its next, whether both may be frequent and stand in one piece)."""
-        a, b = ids[:-1], ids[1:]
-        return mix(self.hashes[a] * ODD + self.hashes[b]), self.maybe[a] & self.maybe[b]
+    def windows(self, ids: np.ndarray, levels: int, known: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For 2 to levels words: hashes of the windows that start at each place, and whether the window stands in one piece
+        and its parts may be frequent; below the level known, whether it may be itself, too."""
+        own = self.hashes[ids]
+        h, alive = own, self.maybe[ids]
+        for k in range(2, levels + 1):
+            h, alive = mix(h[:-1] * ODD + own[k - 1 :]), alive[:-1] & alive[1:]
+            if k < known:
+                alive[alive] = has(self.frequent, h[alive])
+            yield h, alive
 
 
 def has(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -126,13 +134,14 @@ def has(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bitmap[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-class Pairs:
-    """Counts of pair hashes, serialised sorted, one row for each range of hashes: the 32 bits after the range's, and counts."""
+class Windows:
+    """Counts of the hashes of windows of level words, serialised sorted, one row for each range of hashes: the 32 bits after the
+    range's, and counts."""
 
     schema = "range int, hashes binary, counts binary"
 
-    def __init__(self, frequent: np.ndarray, range_bits: int):
-        self.frequent, self.bits = frequent, range_bits
+    def __init__(self, frequent: np.ndarray, level: int, range_bits: int):
+        self.frequent, self.level, self.bits = frequent, level, range_bits
         self.known: dict[str, Vocabulary] = {}
         self.held: list[tuple[np.ndarray, np.ndarray]] = []
         self.size = 0
@@ -140,17 +149,18 @@ class Pairs:
     def add(self, lang: str, part: bytes) -> None:
         if lang not in self.known:
             self.known[lang] = Vocabulary(lang, self.frequent)
-        h, ok = self.known[lang].pairs(self.known[lang].read(part))
-        self.held.append(np.unique(h[ok] >> np.uint64(32 - self.bits), return_counts=True))
+        words = self.known[lang]
+        *_, (h, alive) = words.windows(words.read(part), self.level, self.level)
+        self.held.append(np.unique(h[alive] >> np.uint64(32 - self.bits), return_counts=True))
         self.size += len(self.held[-1][0])
         if sum(len(v.words) for v in self.known.values()) >= HELD:
             self.known.clear()
-        if self.size >= HELD_PAIRS:
+        if self.size >= HELD_WINDOWS:
             self.held = [summed(self.held)]
             self.size = len(self.held[0][0])
 
     def full(self) -> bool:
-        return self.size >= HELD_PAIRS // 2
+        return self.size >= HELD_WINDOWS // 2 and len(self.held) == 1
 
     def rows(self) -> Iterator[pa.RecordBatch]:
         if self.held:
@@ -175,37 +185,32 @@ def summed(runs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nd
 
 
 class Tries:
-    """Count tries of each language's stretches of words whose neighbours may be frequent, built level by level and serialised
-    sorted, one row a node."""
+    """Count tries of each language's windows that may be frequent, built level by level and serialised sorted: a row for each
+    range of prefixes, by the hash of a node's first two words, with the nodes as lines and their counts."""
 
-    schema = "lang string, phrase string, n bigint"
+    schema = "range int, lang string, nodes binary, counts binary"
 
-    def __init__(self, frequent: np.ndarray, frequent_pairs: np.ndarray, depth: int):
-        self.frequent, self.frequent_pairs, self.depth = frequent, frequent_pairs, depth
+    def __init__(self, frequent: np.ndarray, depth: int, range_bits: int):
+        self.frequent, self.depth, self.bits = frequent, depth, range_bits
         self.known: dict[str, Vocabulary] = {}
         self.counts: dict[str, dict[bytes, int]] = defaultdict(lambda: defaultdict(int))
 
     def add(self, lang: str, part: bytes) -> None:
         if lang not in self.known:
             self.known[lang] = Vocabulary(lang, self.frequent)
-        vocabulary, own = self.known[lang], self.counts[lang]
-        ids = vocabulary.read(part)
-        h, ok = vocabulary.pairs(ids)
-        ok[ok] = has(self.frequent_pairs, h[ok])
-        at = np.flatnonzero(vocabulary.maybe[ids])
+        words, own = self.known[lang], self.counts[lang]
+        ids = words.read(part)
+        at = np.flatnonzero(words.maybe[ids])
         names, node, n = np.unique(ids[at], return_inverse=True, return_counts=True)
-        spelled = [vocabulary.words[i] for i in names.tolist()]
-        size = len(vocabulary.words)
-        for level in range(1, self.depth + 1):
-            for phrase, k in zip(spelled, n.tolist()):
-                own[phrase] += k
-            go = (at + level <= len(ok)) & ok[np.minimum(at + level - 1, len(ok) - 1)] if len(ok) else np.zeros(len(at), bool)
+        spelled = [words.words[i] for i in names.tolist()]
+        count(own, spelled, n)
+        for level, (_, alive) in enumerate(words.windows(ids, self.depth, self.depth), 1):
+            go = np.append(alive, np.zeros(level, bool))[at]
             at, node = at[go], node[go]
-            if not len(at):
-                break
-            names, node, n = np.unique(node * size + ids[at + level], return_inverse=True, return_counts=True)
-            parent, last = np.divmod(names, size)
-            spelled = [spelled[p] + b" " + vocabulary.words[i] for p, i in zip(parent.tolist(), last.tolist())]
+            names, node, n = np.unique(node * len(words.words) + ids[at + level], return_inverse=True, return_counts=True)
+            parent, last = np.divmod(names, len(words.words))
+            spelled = [spelled[p] + b" " + words.words[i] for p, i in zip(parent.tolist(), last.tolist())]
+            count(own, spelled, n)
         if sum(len(v.words) for v in self.known.values()) >= HELD:
             self.known.clear()
 
@@ -213,15 +218,22 @@ class Tries:
         return sum(map(len, self.counts.values())) >= HELD
 
     def rows(self) -> Iterator[pa.RecordBatch]:
-        for lang in sorted(self.counts):
-            own = self.counts[lang]
-            phrases = sorted(own)
-            for k in range(0, len(phrases), 50_000):
-                some = phrases[k : k + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some)), pa.array([p.decode() for p in some], pa.string()), pa.array([own[p] for p in some], pa.int64())], names=["lang", "phrase", "n"])
+        for lang, own in self.counts.items():
+            dealt: dict[int, list[bytes]] = defaultdict(list)
+            seed = xxhash.xxh64_intdigest(lang.encode(), 42)
+            for phrase in sorted(own):
+                dealt[xxhash.xxh64_intdigest(b" ".join(phrase.split(b" ", 2)[:2]), seed) >> (64 - self.bits)].append(phrase)
+            held = list(dealt.values())
+            columns = [pa.array(list(dealt), pa.int32()), pa.array([lang] * len(held), pa.string()), pa.array([b"\n".join(x) for x in held], pa.binary()), pa.array([np.array([own[p] for p in x], "<i8").tobytes() for x in held], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["range", "lang", "nodes", "counts"])
         self.counts.clear()
 
 
+def count(counts: dict[bytes, int], phrases: list[bytes], n: np.ndarray) -> None:
+    for phrase, k in zip(phrases, n.tolist()):
+        counts[phrase] += k
+
+
 def over_shards(docs: DataFrame, make: Callable, schema: str) -> DataFrame:
     """What the shards of each task serialise: a shard ends with the task or when it is full."""
 
@@ -246,8 +258,8 @@ def bitmap(hashes: DataFrame) -> np.ndarray:
     return out
 
 
-def frequent_pairs(pairs: DataFrame, least: int, range_bits: int) -> DataFrame:
-    """h, a hash with the first bits of each pair that may be frequent: the shards' sorted runs meet by range."""
+def frequent_windows(windows: DataFrame, least: int, range_bits: int) -> DataFrame:
+    """h, a hash with the first bits of each window that may be frequent: the shards' sorted runs meet by range."""
 
     def merge(table: pa.Table) -> pa.Table:
         runs = [(np.frombuffer(h.as_py(), "<u4"), np.frombuffer(c.as_py(), "<u4").astype(np.int64)) for h, c in zip(table["hashes"], table["counts"])]
@@ -255,7 +267,26 @@ def frequent_pairs(pairs: DataFrame, least: int, range_bits: int) -> DataFrame:
         h = h[c >= least].astype(np.uint64) | np.uint64(table["range"][0].as_py() << 32)
         return pa.table({"h": (h << np.uint64(32 - range_bits)).view(np.int64)})
 
-    return pairs.groupBy("range").applyInArrow(merge, "h bigint")
+    return windows.groupBy("range").applyInArrow(merge, "h bigint")
+
+
+def merged(shards: DataFrame, least: int) -> DataFrame:
+    """lang, phrase and f of the nodes of all shards: in each range the shards' sorted runs are merged, equal nodes added up."""
+
+    def merge(table: pa.Table) -> pa.Table:
+        runs = defaultdict(list)
+        for lang, nodes, counts in zip(table["lang"].to_pylist(), table["nodes"], table["counts"]):
+            runs[lang].append(zip(nodes.as_py().split(b"\n"), np.frombuffer(counts.as_py(), "<i8").tolist()))
+        out: tuple[list, list, list] = ([], [], [])
+        for lang, own in runs.items():
+            for phrase, same in groupby(heapq.merge(*own), itemgetter(0)):
+                f = sum(n for _, n in same)
+                if f >= least:
+                    for column, value in zip(out, (lang, phrase.decode(), f)):
+                        column.append(value)
+        return pa.table({"lang": pa.array(out[0], pa.string()), "phrase": pa.array(out[1], pa.string()), "f": pa.array(out[2], pa.int64())})
+
+    return shards.groupBy("range").applyInArrow(merge, "lang string, phrase string, f bigint")
 
 
 def merged_trie(docs: DataFrame, least: int = LEAST, depth: int = DEPTH) -> tuple[Written, Written]:
@@ -265,19 +296,18 @@ def merged_trie(docs: DataFrame, least: int = LEAST, depth: int = DEPTH) -> tupl
     words = over_shards(docs, Words, Words.schema).groupBy("lang", "word").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | (F.col("word") == ""))
     words = Written(words, "words")
     totals = Written(words.df.where("word = ''").select("lang", "n"), "totals")
-    frequent = spark.sparkContext.broadcast(bitmap(words.df.where("word <> ''").select(F.xxhash64("lang", "word").alias("h"))))
+    bits = bitmap(words.df.where("word <> ''").select(F.xxhash64("lang", "word").alias("h")))
     whole = totals.df.agg(F.sum("n")).first()[0] or 0
     words.drop()
 
-    bits = max(RANGES, whole // RANGE_PAIRS).bit_length()
-    pairs = over_shards(docs, lambda: Pairs(frequent.value, bits), Pairs.schema)
-    likely = spark.sparkContext.broadcast(bitmap(frequent_pairs(pairs, least, bits)))
+    range_bits = max(RANGES, whole // RANGE_WINDOWS).bit_length()
+    sent = spark.sparkContext.broadcast(bits)
+    for level in range(2, depth):
+        windows = over_shards(docs, lambda level=level, sent=sent: Windows(sent.value, level, range_bits), Windows.schema)
+        bits = bits | bitmap(frequent_windows(windows, least, range_bits))
+        sent = spark.sparkContext.broadcast(bits)
 
-    shards = Written(over_shards(docs, lambda: Tries(frequent.value, likely.value, depth), Tries.schema), "tries")
-    # The range exchange is on the columns that the sums need, so each range's sorted runs are merged and summed where they meet.
-    trie = shards.df.repartitionByRange("lang", "phrase").groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-    trie = Written(trie, "trie")
-    shards.drop()
+    trie = Written(merged(over_shards(docs, lambda: Tries(sent.value, depth, range_bits), Tries.schema), least), "trie")
     return trie, totals
 
 

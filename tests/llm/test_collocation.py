@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -55,14 +56,46 @@ def test_equals_counting_every_phrase(spark, least, depth, top):
     assert got(spark, rows, least=least, depth=depth, top=top) == want and want
 
 
+def tally(counts, batch):
+    for r in batch.to_pylist():
+        for h, n in zip(np.frombuffer(r["hashes"], "<u4").tolist(), np.frombuffer(r["counts"], "<u4").tolist()):
+            counts[r["range"], h] += n
+
+
 def test_small_shards_and_crowded_bitmaps_change_nothing(spark, monkeypatch):
     rows = texts(9, 150)
     want = plainly(rows, 6, 5, 50)
-    for name, value in (("PART_BYTES", 64), ("HELD", 20), ("HELD_PAIRS", 16), ("RANGE_PAIRS", 50), ("RANGES", 4), ("RANK_PARTS", 2)):
+    for name, value in (("PART_BYTES", 64), ("HELD", 20), ("HELD_WINDOWS", 16), ("RANGE_WINDOWS", 50), ("RANGES", 4), ("RANK_PARTS", 2)):
         monkeypatch.setattr(collocation, name, value)
-    shard = collocation.Words()
-    shard.add("en", b"a b \xff c")
-    assert shard.counts["en"] == {b"a": 1, b"b": 1, b"c": 1, b"": 3}
+    all_bits = np.full((1 << collocation.FILTER_BITS) // 8, 255, np.uint8)
+    data = pa.RecordBatch.from_pydict({"lang": ["en" if k is None else k for k, _ in rows], "text": [t for _, t in rows]})
+    words_of = lambda b: [((r["lang"], r["word"]), r["n"]) for r in b.to_pylist()]
+    nodes_of = lambda b: [((r["lang"], x), n) for r in b.to_pylist() for x, n in zip(r["nodes"].split(b"\n"), np.frombuffer(r["counts"], "<i8").tolist())]
+    for make, read in ((collocation.Words, words_of), (lambda: collocation.Tries(all_bits, 5, 4), nodes_of)):
+        counts, rows_out = [], 0
+        for split in (True, False):  # shards that end after each part, and one for all
+            shard, c = make(), Counter()
+            for lang, part in collocation.by_language(iter([data])):
+                shard.add(lang, part)
+                for b in shard.rows() if split else ():
+                    for k, n in read(b):
+                        c[k] += n
+                        rows_out += 1
+            for b in shard.rows():
+                for k, n in read(b):
+                    c[k] += n
+            counts.append(c)
+        assert counts[0] == counts[1] and rows_out > len(counts[0])
+    windows = [collocation.Windows(all_bits, 3, 4) for _ in range(2)]
+    seen = [Counter(), Counter()]
+    for w, c, split in zip(windows, seen, (True, False)):
+        for lang, part in collocation.by_language(iter([data])):
+            w.add(lang, part)
+            for b in w.rows() if split else ():
+                tally(c, b)
+        for b in w.rows():
+            tally(c, b)
+    assert seen[0] == seen[1] and seen[0]
     assert got(spark, rows, least=6, depth=5, top=50) == want
 
 
