@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions import style
 from ..layers import table
-from ..operators import faults, registry as R
+from ..operators import faults, network, registry as R
 
 NOW = "timestamp '2024-02-01 00:00:00'"
 
@@ -84,6 +84,29 @@ LINES = """v AS (SELECT o_custkey AS line_id, row_number() OVER (PARTITION BY o_
 s AS (SELECT *, lead(x) OVER w AS x2, lead(y) OVER w AS y2, lead(z) OVER w AS z2 FROM v WINDOW w AS (PARTITION BY line_id ORDER BY ord)),
 l AS (SELECT *, sqrt((x2-x)^2+(y2-y)^2) AS len FROM s WHERE x2 IS NOT NULL),
 c AS (SELECT *, coalesce(sum(len) OVER (PARTITION BY line_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s0 FROM l WHERE len > 0)"""
+
+
+def _traces(s, d):
+    """A line of two vertices for each order; every hundredth comes again backwards, every thousandth once more without length."""
+    k = F.col("o_orderkey")
+    x, y = F.pmod(k * 7919, F.lit(9973)) * 10.0, F.pmod(k * 104729, F.lit(9967)) * 10.0
+    o = table(s, d, "orders").select(k.alias("line_id"), x.alias("x1"), y.alias("y1"), (x + 300 + k % 11 * 70).alias("x2"), (y + (F.pmod(k * 31, F.lit(17)) - 8) * 60).alias("y2"))
+    back = o.where("line_id % 100 = 0").select((F.col("line_id") + 100_000_000).alias("line_id"), F.col("x2").alias("x1"), F.col("y2").alias("y1"), F.col("x1").alias("x2"), F.col("y1").alias("y2"))
+    dots = o.where("line_id % 1000 = 0").select((F.col("line_id") + 200_000_000).alias("line_id"), "x1", "y1", F.col("x1").alias("x2"), F.col("y1").alias("y2"))
+    v = lambda n: F.struct(F.lit(n).alias("ord"), F.col(f"x{n}").alias("x"), F.col(f"y{n}").alias("y"))
+    return o.unionAll(back).unionAll(dots).select("line_id", F.explode(F.array(v(1), v(2))).alias("v")).select("line_id", "v.*")
+
+
+def _cleaned(s, d):
+    segments, log = network.clean_network(_traces(s, d).where("line_id < 100000000 OR line_id % 1000 <> 0 OR line_id >= 200000000"), 1e-3)
+    counts = log.where("change <> 'cut at a meeting place' AND change <> 'snapped an end'").groupBy("change").agg(F.count("*").alias("n"))
+    ends = segments.select("line_id", F.explode(F.array(F.struct(F.lit(1).alias("ord"), F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct(F.lit(2).alias("ord"), F.col("x2").alias("x"), F.col("y2").alias("y")))).alias("v"), (F.col("line_id") * 10_000 + F.col("part")).alias("piece"))
+    left = network.network_report(ends.select(F.col("piece").alias("line_id"), "v.*"), 1e-3).where("defect = 'meets without a node'")
+    return counts.unionAll(left.select(F.lit("meets without a node").alias("change")).groupBy().agg(F.count("change").alias("n")).select(F.lit("left to cut").alias("change"), "n"))
+
+
+TRACES = """o AS (SELECT o_orderkey AS k, (o_orderkey*7919 % 9973)*10.0::DOUBLE AS x1, (o_orderkey*104729 % 9967)*10.0::DOUBLE AS y1, (o_orderkey*7919 % 9973)*10.0::DOUBLE + 300 + o_orderkey % 11 * 70 AS x2, (o_orderkey*104729 % 9967)*10.0::DOUBLE + ((o_orderkey*31) % 17 - 8) * 60 AS y2 FROM orders),
+c AS (SELECT *, unnest(range(floor(x1/1000)::BIGINT, floor(x2/1000)::BIGINT + 1)) AS cx FROM o)"""
 STOPS = [(0.0, "#000080"), (0.5, "#00ff00"), (1.0, "#ff0000")]
 
 QUERIES = {
@@ -159,6 +182,17 @@ QUERIES = {
         lambda s, d: faults.duplicates(_segments(s, d).unionAll(_segments(s, d).where("id < 9").select((F.col("id") + 1000).alias("id"), F.col("x2").alias("x1"), F.col("y2").alias("y1"), F.col("x1").alias("x2"), F.col("y1").alias("y2")))),
         "SELECT s_suppkey + 1000 AS id, s_suppkey AS keep FROM supplier WHERE s_suppkey < 9",
     ),
+    "network_noding": (
+        lambda s, d: network.noded(network.segments_of(_traces(s, d).where("line_id < 100000000")), 1e-3).groupBy("line_id").agg(F.max("part").alias("pieces")).groupBy("pieces").agg(F.count("*").alias("lines")),
+        f"""WITH {TRACES}, p AS (SELECT DISTINCT a.k, a.x1, a.y1, a.x2, a.y2, b.k AS other, b.x1 AS x3, b.y1 AS y3, b.x2 AS x4, b.y2 AS y4, (a.x2-a.x1)*(b.y2-b.y1)-(a.y2-a.y1)*(b.x2-b.x1) AS d FROM c a JOIN c b ON a.cx = b.cx AND a.k <> b.k AND a.x1 <= b.x2 AND b.x1 <= a.x2 AND least(a.y1, a.y2) <= greatest(b.y1, b.y2) AND least(b.y1, b.y2) <= greatest(a.y1, a.y2)),
+        q AS (SELECT *, ((x3-x1)*(y4-y3)-(y3-y1)*(x4-x3))/d AS t, ((x3-x1)*(y2-y1)-(y3-y1)*(x2-x1))/d AS u FROM p WHERE d <> 0),
+        m AS (SELECT k, count(DISTINCT (round(x1+t*(x2-x1), 3), round(y1+t*(y2-y1), 3))) AS n FROM q WHERE t > 1e-9 AND t < 1 - 1e-9 AND u >= 0 AND u <= 1 GROUP BY k)
+        SELECT (coalesce(n, 0) + 1)::INTEGER AS pieces, count(*) AS lines FROM o LEFT JOIN m ON m.k = o.k GROUP BY 1""",
+    ),
+    "network_clean": (
+        _cleaned,
+        """SELECT 'dropped a line of no length' AS change, count(*) AS n FROM orders WHERE o_orderkey % 1000 = 0 HAVING count(*) > 0 UNION ALL SELECT 'merged a repeated line', count(*) FROM orders WHERE o_orderkey % 100 = 0 AND o_orderkey % 1000 <> 0 HAVING count(*) > 0 UNION ALL SELECT 'left to cut', 0""",
+    ),
     "densify_line": (
         lambda s, d: faults.densify(_lines(s, d), 75.0).select("line_id", "s", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"), F.round("z", 3).alias("z")),
         f"WITH {LINES} SELECT line_id, k * 75.0::DOUBLE AS s, round(x + (k*75-s0)/len*(x2-x), 4) AS x, round(y + (k*75-s0)/len*(y2-y), 4) AS y, round(z + (k*75-s0)/len*(z2-z), 3) AS z FROM (SELECT *, unnest(range(ceil(s0/75)::BIGINT, ceil((s0+len)/75)::BIGINT)) AS k FROM c)",
