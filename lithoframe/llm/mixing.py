@@ -14,6 +14,8 @@ WEIGHTS, MOST = (5, 2, 1), 3
 SLOPES = (-0.5, 0.0, 0.5)
 #: Documents of a source that one task orders at most, on average.
 BUCKET_DOCS = 20_000
+#: Words of the mix that one range of positions holds at most.
+RANGE_WORDS = 20_000_000
 SEED = 20
 
 
@@ -54,13 +56,20 @@ def when_reached(share: Column, slope: Column) -> Column:
     return F.when(slope == 0, share).otherwise((1 + slope - inside) / (2 * slope) + 0.0)
 
 
+def all_given(sources: DataFrame) -> tuple[float, float]:
+    """(a, b): by the time t, all sources together have given a t - b t^2 words, their schedules' integrals added up."""
+    r = sources.agg(F.sum(F.col("target") * (1 + F.col("slope"))).alias("a"), F.sum(F.col("target") * F.col("slope")).alias("b")).first()
+    return r["a"] or 0.0, r["b"] or 0.0
+
+
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST, seed: int = SEED) -> DataFrame:
-    """One row per row of docs: doc_id, size, source_size, target, taken, passes, position, range-sorted by position.
+    """One row per row of docs: doc_id, size, source_size, target, taken, passes, positions, position, range-sorted by position.
 
     Each source is an endless reel of its documents in a seeded hash order; the mix plays target words of it, so every
-    document is taken floor(target / source_size) times whole, and the last, partial pass stops at the target. position
-    is the training time of its first word. Documents without words, and those that the partial pass doesn't reach, have
-    taken 0 and null position. A source's reel is cut into hash buckets whose totals are added up first, so the
+    document is taken floor(target / source_size) times whole, and the last, partial pass stops at the target. Each pass starts
+    at a time by the source's own schedule; positions has, for each pass, the words that all sources together have given by then,
+    so equal steps are equal numbers of words; position is the first. Documents without words, and those that the partial pass
+    doesn't reach, have taken 0, no positions and null position. A source's reel is cut into hash buckets whose totals are added up first, so the
     order within a hot source is never one task's. Null text has size 0; a null source is a source of its own; repeated
     rows each count, in an order among themselves that no result shows. Texts of any length are counted whole; rows of equal
     hash go by doc_id, and rows of equal position are sorted by doc_id; an empty table gives no rows. Other columns are
@@ -95,21 +104,36 @@ def _placed(docs: DataFrame, weights: tuple, most: int, seed: int) -> DataFrame:
     rest = words - whole * F.col("source_size")
     partial = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("at")))
     taken = (whole * F.col("size") + partial).cast("long")
-    position = F.when(F.col("taken") > 0, when_reached(F.try_divide(F.col("at").cast("double"), F.col("target")), F.col("slope")))
-    passes = F.ceil(F.try_divide(F.col("taken"), F.col("size"))).cast("long")
-    return placed.withColumn("taken", taken).select("doc_id", "size", "source_size", "target", "taken", passes.alias("passes"), position.alias("position"), "order")
+    passes = F.coalesce(F.ceil(F.try_divide(F.col("taken"), F.col("size"))), F.lit(0)).cast("long")
+    a, b = all_given(sources)
+
+    def given(p: Column) -> Column:
+        t = when_reached(F.try_divide((F.col("at") + p * F.col("source_size")).cast("double"), F.col("target")), F.col("slope"))
+        return F.lit(a) * t - F.lit(b) * t * t
+
+    each_pass = F.when(F.col("passes") > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col("passes") - 1), given)).otherwise(F.array().cast("array<double>"))
+    out = placed.withColumn("taken", taken).withColumn("passes", passes).withColumn("positions", each_pass)
+    return out.select("doc_id", "size", "source_size", "target", "taken", "passes", "positions", F.get("positions", F.lit(0)).alias("position"), "order")
 
 
 def mixed_documents(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST) -> DataFrame:
-    """docs with each row as often as the mix takes it: taken / size, rounded, so the one document a source's last pass
-    cuts stays whole or goes. Rows the mix doesn't reach go; columns stay as they are."""
+    """docs with each row as often as the mix takes it, in the order of the curriculum: a row for each pass, sorted by the pass's
+    position over all partitions.
+
+    A row comes taken / size times, rounded, so the one document a source's last pass cuts stays whole or goes. Rows the mix
+    doesn't reach go; columns stay as they are; rows that repeat take the places of one of their kind each; an empty table gives
+    no rows. Positions count words, so equal ranges of them hold about equal amounts of text, and rows go to their range without
+    a sample."""
     times = F.round(F.try_divide(F.col("taken"), F.col("size"))).cast("int")
-    plan = _placed(docs, weights, most, SEED).select(F.col("order").alias("__lf_order"), times.alias("__lf_times")).where("__lf_times > 0")
-    plan = Written(plan.groupBy("__lf_order").agg(F.sort_array(F.collect_list("__lf_times")).alias("__lf_times")), "mix").df
+    placed = _placed(docs, weights, most, SEED).select(F.col("order").alias("__lf_order"), F.slice("positions", 1, times).alias("__lf_at")).where(F.size("__lf_at") > 0)
+    plan = Written(placed.groupBy("__lf_order").agg(F.sort_array(F.collect_list("__lf_at")).alias("__lf_at")), "mix").df
     joined = docs.withColumn("__lf_own", _order(SEED)).join(small(plan), F.col("__lf_own") == F.col("__lf_order"))
-    # a row that repeats takes the times of one of its kind; all others have one entry
+    # a row that repeats takes the places of one of its kind; all others have one entry
     nth = F.row_number().over(W.partitionBy("__lf_own").orderBy(F.lit(1)))
-    one = joined.where(F.size("__lf_times") == 1).withColumn("__lf_n", F.lit(1))
-    some = joined.where(F.size("__lf_times") > 1).withColumn("__lf_n", nth)
-    both = one.unionAll(some).withColumn("__lf_n", F.get("__lf_times", F.col("__lf_n") - 1)).where("__lf_n > 0")
-    return both.withColumn("__lf_n", F.explode(F.sequence(F.lit(1), F.col("__lf_n")))).select(*docs.columns)
+    one = joined.where(F.size("__lf_at") == 1).withColumn("__lf_n", F.lit(1))
+    some = joined.where(F.size("__lf_at") > 1).withColumn("__lf_n", nth)
+    each = one.unionAll(some).withColumn("__lf_position", F.explode(F.get("__lf_at", F.col("__lf_n") - 1)))
+    last = plan.agg(F.max(F.array_max(F.flatten("__lf_at")))).first()[0] or 0.0
+    ranges = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(last // RANGE_WORDS))
+    where = F.least(F.floor(F.col("__lf_position") / F.lit(last + 1.0) * ranges), F.lit(ranges - 1)).cast("int")
+    return each.repartitionById(ranges, where).sortWithinPartitions("__lf_position", "__lf_own").select(*docs.columns)

@@ -24,6 +24,9 @@ from .common import scratch_path
 TARGET_BYTES, FAN_IN, RATIO = 64 << 20, 4, 4
 #: Merges that run side by side, arrivals that a load is dealt into, and versions that stay readable while it runs.
 MERGES_AT_A_TIME, ARRIVALS, READABLE = 16, 4, 2
+#: A load's small shards are SMALL times smaller than the target, and its target at least PARTS times smaller than the load, down to
+#: LEAST_BYTES; commits that lose a race are tried TRIES times.
+SMALL, PARTS, LEAST_BYTES, TRIES = 16, 8, 1 << 16, 8
 
 
 class Conflict(RuntimeError):
@@ -65,7 +68,8 @@ class Store:
         return made
 
     def _written(self, folders: list[str]) -> list[dict]:
-        """The shards in folders: paths and bytes from the file system, rows by one count over their footers."""
+        """The shards in folders that hold rows: paths and bytes from the file system, rows by one count over their footers.
+        Files without rows, as empty tasks leave them, are deleted."""
         found = [(folder, s) for folder in folders for s in self._fs.listStatus(self._path(folder)) if s.getPath().getName().endswith(".parquet")]
         if not found:
             return []
@@ -75,28 +79,43 @@ class Store:
         out = []
         for folder, s in found:
             path = f"{folder}/{s.getPath().getName()}"
-            out.append({"path": path, "rows": rows.get("/".join(path.split("/")[-2:]), 0), "bytes": s.getLen(), "tier": self.tier(s.getLen())})
+            if not rows.get("/".join(path.split("/")[-2:])):
+                self._fs.delete(s.getPath(), False)
+                continue
+            out.append({"path": path, "rows": rows["/".join(path.split("/")[-2:])], "bytes": s.getLen(), "tier": self.tier(s.getLen())})
         return out
 
     def tier(self, size: int) -> int:
         """0 for the target and above; each tier below is RATIO times smaller."""
         return 0 if size >= self.target * 3 // 4 else math.floor(math.log(self.target / max(1, size), RATIO)) + 1
 
-    def write(self, arrivals: DataFrame) -> list[dict]:
-        """The rows as small immutable shards, one for each task's output, which no version names yet: nothing is shuffled or
-        sorted."""
+    def write(self, arrivals: DataFrame, rows: int = 0) -> list[dict]:
+        """The rows as small immutable shards of at most `rows` rows (0: one for each task), which no version names yet: nothing is
+        shuffled or sorted."""
         folder = f"{self.path}/{fresh('arrival')}"
-        arrivals.write.parquet(folder)
+        arrivals.write.option("maxRecordsPerFile", rows).parquet(folder)
         return self._written([folder])
 
     def append(self, arrivals: DataFrame) -> dict:
         """Commits the rows as small shards."""
         return self.add(self.write(arrivals))
 
+    def _tried(self, change) -> dict:
+        """Commits what change makes of the newest manifest's shards, again on the next version where another writer was first."""
+        for k in range(TRIES):
+            base = self.manifest()
+            shards = change(base["shards"])
+            if shards is None:
+                return base
+            try:
+                return self.commit(base["version"], shards)
+            except Conflict:
+                if k + 1 == TRIES:
+                    raise
+
     def add(self, shards: list[dict]) -> dict:
         """Commits written shards after those of the newest version."""
-        base = self.manifest()
-        return self.commit(base["version"], base["shards"] + shards)
+        return self._tried(lambda have: have + shards) if shards else self.manifest()
 
     def plan(self, shards: Iterable[dict], final: bool = False) -> list[list[dict]]:
         """Groups of shards to merge: from the smallest tier on, fan_in or more of a tier, packed up to the target. With
@@ -134,7 +153,12 @@ class Store:
         with ThreadPoolExecutor(MERGES_AT_A_TIME) as pool:
             new = self._written(list(pool.map(merge, groups)))
         gone = {s["path"] for g in groups for s in g}
-        return self.commit(base["version"], [s for s in base["shards"] if s["path"] not in gone] + new)
+
+        def swapped(have: list[dict]) -> list[dict] | None:
+            """The newest shards with the mergers in place of what they hold; none where another writer has merged some of it."""
+            return [s for s in have if s["path"] not in gone] + new if gone <= {s["path"] for s in have} else None
+
+        return self._tried(swapped)
 
     def schema(self, manifest: dict):
         return self.spark.read.parquet(manifest["shards"][0]["path"]).schema
@@ -161,29 +185,44 @@ def fresh(label: str) -> str:
     return f"{label}-{uuid.uuid4().hex}"
 
 
-def shard_documents(docs: DataFrame, path: str | None = None, target_bytes: int = TARGET_BYTES, arrivals: int = ARRIVALS) -> tuple[Store, dict]:
-    """A store of all rows of docs, and its manifest. The shards that one pass over docs writes arrive in `arrivals` commits,
-    one after another; after each, tiers that hold enough shards are merged until none does, and shards that only versions
-    before the last READABLE ones name are deleted.
+def load_size(docs: DataFrame) -> tuple[int, int]:
+    """(rows, bytes of text) of docs."""
+    r = docs.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("b")).first()
+    return r["n"], r["b"] or 0
+
+
+def shard_documents(docs: DataFrame, path: str | None = None, target_bytes: int | None = None, arrivals: int = ARRIVALS) -> tuple[Store, dict]:
+    """A store of all rows of docs, and its manifest.
+
+    One pass writes docs as shards SMALL times smaller than the target. They arrive in `arrivals` commits, one after another; after
+    each, tiers that hold enough shards are merged until none does, and at the end what is left below the target is packed. Shards
+    that only versions before the last READABLE ones name are deleted. The target is TARGET_BYTES, or for a load of less than PARTS
+    such shards that part of its text.
 
     Rows keep every column, nulls, empty texts, repeats and texts of any length. Shards of equal size merge in the order of
     their paths. An empty table gives a store without rows."""
-    store = Store(docs.sparkSession, path or scratch_path(docs.sparkSession, "store"), target_bytes)
-    written = store.write(docs)
+    rows, size = load_size(docs)
+    target = target_bytes or max(LEAST_BYTES, min(TARGET_BYTES, size // PARTS))
+    store = Store(docs.sparkSession, path or scratch_path(docs.sparkSession, "store"), target)
+    # half a byte of Parquet for a byte of text, as compression has it; a shard that comes out larger or smaller has its own tier
+    written = store.write(docs, max(1, rows * target // SMALL // max(1, size // 2)))
     step = max(1, -(-len(written) // arrivals))
     now = store.manifest()
+
+    def packed(final: bool) -> dict:
+        made = store.manifest()
+        while (nxt := store.compact(final, schema=docs.schema))["version"] != made["version"]:
+            made = nxt
+            store.vacuum(made["version"] + 1 - READABLE)
+        return made
+
     for first in range(0, len(written), step):
-        now = store.add(written[first : first + step])
-        while True:
-            nxt = store.compact(schema=docs.schema)
-            if nxt["version"] == now["version"]:
-                break
-            now = nxt
-            store.vacuum(now["version"] + 1 - READABLE)
-    return store, now
+        store.add(written[first : first + step])
+        now = packed(False)
+    return store, packed(True) if written else now
 
 
-def shard_digest(docs: DataFrame, target_bytes: int = TARGET_BYTES) -> DataFrame:
+def shard_digest(docs: DataFrame, target_bytes: int | None = None) -> DataFrame:
     """doc_id, shard, shard_rows, shard_bytes, version, text_sha256 of every row of the compacted store, read back from its
     shards; no row for an empty table. Columns other than doc_id and text are kept in the shards, whatever their names, and not
     read back."""

@@ -90,5 +90,49 @@ def test_one_of_several_writers_wins(spark, tmp_path):
         assert len(won) == 1 and store.versions() == [1] and store.manifest()["shards"][0]["path"] == str(won[0])
 
 
+def test_tiers_merge_and_no_shard_is_empty_or_small(spark, sf_dir, tmp_path):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").unionAll(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    store, now = sharding.shard_documents(docs.repartition(5), f"file://{tmp_path}/t")
+    history = [store.manifest(v)["shards"] for v in store.versions()]
+    target = store.target
+    assert all(s["rows"] > 0 for shards in history for s in shards) and sum(s["rows"] for s in now["shards"]) == docs.count()
+    # of the final shards at most one is below half the target, and none is far above it
+    sizes = sorted(s["bytes"] for s in now["shards"])
+    assert len(sizes) > 2 and all(n >= target // 2 for n in sizes[1:]) and sizes[-1] < 2 * target
+    assert now["version"] >= 8
+    assert store.compact(final=True, schema=docs.schema)["version"] == now["version"]
+    same = lambda df: sorted(map(repr, df.collect()))
+    assert same(store.read(docs.schema)) == same(docs)
+    listed = {p.name for p in (tmp_path / "t").rglob("*.parquet")}
+    assert {s["path"].split("/")[-1] for s in now["shards"]} <= listed and len(listed) <= 3 * len(sizes) + 20
+
+
+def test_a_lost_race_is_tried_again(spark, docs_of, tmp_path):
+    one, two = (sharding.Store(spark, f"file://{tmp_path}/race", target_bytes=10_000) for _ in range(2))
+    shards = [[*s.write(docs_of([(k, "x")]).coalesce(1))] for k, s in enumerate((one, two))]
+    gate, done = threading.Barrier(2), []
+
+    def add(store, own):
+        gate.wait()
+        done.append(store.add(own)["version"])
+
+    ts = [threading.Thread(target=add, args=x) for x in zip((one, two), shards)]
+    [t.start() for t in ts], [t.join() for t in ts]
+    assert sorted(done) == [1, 2] and {r.doc_id for r in one.read(docs_of([]).schema).collect()} == {0, 1}
+    # a merge whose shards another writer has merged meanwhile changes nothing
+    for k in range(2, 6):
+        one.append(docs_of([(k, "y" * k)]).coalesce(1))
+    real, before = two.commit, two.manifest()
+
+    def late(base, shards):
+        two.commit = real
+        one.compact(schema=docs_of([]).schema)
+        return real(base, shards)
+
+    two.commit = late
+    assert two.compact(schema=docs_of([]).schema)["version"] == before["version"] + 1
+    assert sorted(r.doc_id for r in two.read(docs_of([]).schema).collect()) == list(range(6))
+
+
 def test_empty(docs_of):
     assert sharding.shard_digest(docs_of([])).count() == 0
