@@ -206,11 +206,12 @@ def cross_validate(control: DataFrame, model: Model, *, k: int = NEIGHBOURS, mos
     return e.agg(F.count("e").alias("n"), F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rmse"), F.avg("e").alias("mean_error"), F.avg(F.abs("e")).alias("mae"), F.stddev_pop("e").alias("std"))
 
 
-def minimum_curvature_array(nx: int, ny: int, cells: np.ndarray, z: np.ndarray, *, tension: float = 0.0, blocked: set | None = None, iterations: int = 20_000, tolerance: float = 1e-7) -> tuple[np.ndarray, int]:
+def minimum_curvature_array(nx: int, ny: int, cells: np.ndarray, z: np.ndarray, *, tension: float = 0.0, blocked: set | None = None, soft: set | None = None, iterations: int = 20_000, tolerance: float = 1e-7) -> tuple[np.ndarray, int]:
     """(surface [ny, nx], iterations): least squares of second differences (and first, by the tension) that pass near the data at
-    fractional cells (col, row), by conjugate gradients without a matrix. blocked: links (row, col, way) no difference spans.
+    fractional cells (col, row), by conjugate gradients without a matrix. blocked: links (row, col, way) no difference spans, as a
+    fault parts the surface; soft: links that only second differences don't span, as a breakline bends it.
 
-    A grid starts from the surface, without blocked links, of one half as fine, and so on down to COARSEST nodes a side. A
+    A grid starts from the surface, without such links, of one half as fine, and so on down to COARSEST nodes a side. A
     surface that doesn't reach the tolerance (the residual's share of the right-hand side) within the iterations is an error."""
     v0 = None
     if min(nx, ny) > 2 * COARSEST:
@@ -221,11 +222,14 @@ def minimum_curvature_array(nx: int, ny: int, cells: np.ndarray, z: np.ndarray,
     open_e, open_s = np.ones((ny, nx - 1), bool), np.ones((ny - 1, nx), bool)
     for r, c, way in blocked or ():
         (open_e if way == "e" else open_s)[r, c] = False
+    flat_e, flat_s = open_e.copy(), open_s.copy()
+    for r, c, way in soft or ():
+        (flat_e if way == "e" else flat_s)[r, c] = False
     c0, r0 = np.clip(np.floor(cells[:, 0]).astype(int), 0, nx - 2), np.clip(np.floor(cells[:, 1]).astype(int), 0, ny - 2)
     fx, fy = cells[:, 0] - c0, cells[:, 1] - r0
     at = np.stack([r0 * nx + c0, r0 * nx + c0 + 1, (r0 + 1) * nx + c0, (r0 + 1) * nx + c0 + 1])
     wt = np.stack([(1 - fx) * (1 - fy), fx * (1 - fy), (1 - fx) * fy, fx * fy])
-    xx, yy = open_e[:, :-1] & open_e[:, 1:], open_s[:-1] & open_s[1:]
+    xx, yy = flat_e[:, :-1] & flat_e[:, 1:], flat_s[:-1] & flat_s[1:]
     data, grad = 1000.0, max(tension, 1e-6)
 
     def normal(v: np.ndarray) -> np.ndarray:
@@ -280,16 +284,17 @@ def _stretched(s: np.ndarray, nx: int, ny: int) -> np.ndarray:
     return rows[:, c] * (1 - fc) + rows[:, c + 1] * fc
 
 
-def minimum_curvature(spark, grid, control: DataFrame, *, tension: float = 0.0, blocked: DataFrame | None = None) -> DataFrame:
-    """(cell_id, row, col, value): one global system over a capped number of cells, solved in one task."""
+def minimum_curvature(spark, grid, control: DataFrame, *, tension: float = 0.0, blocked: DataFrame | None = None, soft: DataFrame | None = None) -> DataFrame:
+    """(cell_id, row, col, value): one global system over a capped number of cells, solved in one task. blocked and soft are links
+    (row, col, way) that faults and breaklines cross, as blocked_links() gives them; at most two for each cell of the capped grid."""
     xy, z = _control(control)
-    links = {(r["row"], r["col"], r["way"]) for r in blocked.collect()} if blocked is not None else set()
+    links, bends = ({tuple(r) for r in df.select("row", "col", "way").toLocalIterator()} if df is not None else set() for df in (blocked, soft))
     nx, ny, x0, y0, size = grid.nx, grid.ny, grid.x0, grid.y0, grid.size
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for _ in batches:
             at = np.stack([(xy[:, 0] - x0) / size - 0.5, (y0 - xy[:, 1]) / size - 0.5], axis=1)
-            s, _ = minimum_curvature_array(nx, ny, at, z, tension=tension, blocked=links)
+            s, _ = minimum_curvature_array(nx, ny, at, z, tension=tension, blocked=links, soft=bends)
             i = np.arange(nx * ny)
             yield pd.DataFrame({"cell_id": i, "row": (i // nx).astype(np.int32), "col": (i % nx).astype(np.int32), "value": s.ravel()})
 

@@ -184,3 +184,127 @@ def detect_anisotropy(points: DataFrame, model: Model, directions: int = 8, **op
     m, c, s = np.linalg.lstsq(np.stack([np.ones_like(a), np.cos(2 * a), np.sin(2 * a)], axis=1), r, rcond=None)[0]
     swing = math.hypot(c, s)
     return replace(model, range=float(math.exp(m + swing)), ratio=float(max(0.1, math.exp(-2 * swing))), azimuth=math.degrees(math.atan2(s, c)) / 2 % 180)
+
+
+#: Points, sectors of half a turn and shuffles of an anisotropy test; the p-value and the ratio from which it is used, and the pairs that a
+#: direction needs.
+TEST_SAMPLE, SECTORS, SHUFFLES, SIGNIFICANT, MEANINGFUL, DIRECTION_PAIRS = 4_000, 8, 99, 0.05, 1.3, 200
+
+
+@dataclass(frozen=True)
+class Anisotropy:
+    """ratio of the longest to the shortest directional range, azimuth of the longest, and the share of shuffles (and the data)
+    whose directions differ at least as much; ranges by azimuth."""
+
+    ratio: float
+    azimuth: float
+    p_value: float
+    ranges: dict[float, float]
+
+    @property
+    def significant(self) -> bool:
+        return self.p_value < SIGNIFICANT
+
+    @property
+    def use(self) -> bool:
+        """Whether an estimate should take the ellipse: directions of any data differ, so it must be more than chance and worth it."""
+        return self.significant and self.ratio >= MEANINGFUL
+
+
+def directional_sums(points: DataFrame, *, lags: int = LAGS, max_lag: float | None = None, shuffles: int = SHUFFLES, seed: int = 1, most: int = TEST_SAMPLE) -> DataFrame:
+    """(shuffle, sector, lag_bin, n, h, d2): pairs, distances and squared differences by sector of direction and lag, of the values as
+    they are (shuffle 0) and of seeded shuffles of them over the same places.
+
+    The points are a bounded sample of `most`. Their blocks meet in pairs as in experimental(); each pair of blocks is measured once
+    and its places serve all shuffles, so the pass over the pairs is one."""
+    p = sample(points, most, seed).where("x IS NOT NULL AND y IS NOT NULL AND v IS NOT NULL")
+    rows = p.select(*[F.col(c).cast("double").alias(c) for c in ("x", "y", "v")]).toArrow()
+    x, y, v = (rows[c].to_numpy() for c in ("x", "y", "v"))
+    require(len(x) >= POINTS_MIN, f"a variogram needs {POINTS_MIN} points, not {len(x)}; add control")
+    top = float(max_lag or math.hypot(np.ptp(x), np.ptp(y)) / 2)
+    require(top > 0, "all points lie at one place; a variogram needs distances")
+    order = np.lexsort((v, y, x))
+    x, y, v = x[order], y[order], v[order]
+    r = np.random.default_rng(seed)
+    values = np.stack([v, *(r.permutation(v) for _ in range(shuffles))])
+    spark = points.sparkSession
+    shared = spark.sparkContext.broadcast((x, y, values))
+    block = BLOCK // 4
+    blocks = -(-len(x) // block)
+    cells = SECTORS * lags
+
+    def run(batches):
+        x, y, values = shared.value
+        for batch in batches:
+            n, far, d2 = np.zeros(cells), np.zeros(cells), np.zeros((len(values), cells))
+            for pair in batch.column(0).to_numpy().tolist():
+                a = (math.isqrt(8 * pair + 1) - 1) // 2
+                b = pair - a * (a + 1) // 2
+                i, j = (np.arange(k * block, min(len(x), (k + 1) * block)) for k in (a, b))
+                dx, dy = np.subtract.outer(x[i], x[j]), np.subtract.outer(y[i], y[j])
+                h = np.hypot(dx, dy)
+                keep = (h < top) & (h > 0)
+                if a == b:
+                    keep &= np.tri(*h.shape, -1, dtype=bool)
+                p, q = np.nonzero(keep)
+                sector = np.floor(np.mod(np.degrees(np.arctan2(dx[keep], dy[keep])), 180.0) / (180.0 / SECTORS)).astype(int) % SECTORS
+                at = sector * lags + np.floor(h[keep] / (top / lags)).astype(int)
+                n += np.bincount(at, minlength=cells)
+                far += np.bincount(at, h[keep], cells)
+                for k, row in enumerate(values):
+                    d = row[i][p] - row[j][q]
+                    d2[k] += np.bincount(at, d * d, cells)
+            where = np.tile(np.arange(cells), len(values))
+            columns = [np.repeat(np.arange(len(values)), cells).astype(np.int32), (where // lags).astype(np.int32), (where % lags).astype(np.int32), np.tile(n, len(values)), np.tile(far, len(values)), d2.ravel()]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["shuffle", "sector", "lag_bin", "n", "h", "d2"])
+
+    pairs = blocks * (blocks + 1) // 2
+    met = spark.range(0, pairs, 1, min(pairs, 4 * spark.sparkContext.defaultParallelism)).mapInArrow(run, "shuffle int, sector int, lag_bin int, n double, h double, d2 double")
+    return met.groupBy("shuffle", "sector", "lag_bin").agg(*[F.sum(c).alias(c) for c in ("n", "h", "d2")])
+
+
+def _contrast(n: np.ndarray, d2: np.ndarray) -> float:
+    """How much directions differ: the swing over half a turn of log gamma against that of all directions at the same lag, the
+    nearer half of the lags weighed by their pairs. n, d2: [sectors, lags]."""
+    near = slice(0, n.shape[1] // 2)
+    n, d2 = n[:, near], d2[:, near]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        c = np.log((d2 / n) / (d2.sum(axis=0) / n.sum(axis=0)))
+    w = np.where(np.isfinite(c), n, 0.0)
+    per = (w * np.where(np.isfinite(c), c, 0.0)).sum(axis=1) / np.maximum(w.sum(axis=1), 1e-300)
+    turn = np.exp(2j * np.pi * np.arange(len(per)) / len(per))
+    return float(abs((per * turn).sum()) * 2 / len(per))
+
+
+def range_of(model: Model, lag: np.ndarray, gamma: np.ndarray, weight: np.ndarray) -> float:
+    """The range with which a model, its nugget and sill kept, fits lags of one direction best."""
+    w = weight / np.maximum(lag, 1e-12) ** 2
+    tried = np.geomspace(lag.max() / 50, lag.max() * 50, 400)
+    return float(min(tried, key=lambda r: (w * (gamma - replace(model, range=float(r)).gamma(lag)) ** 2).sum()))
+
+
+def anisotropy_test(points: DataFrame, kind: str = "spherical", **options) -> Anisotropy:
+    """Directional ranges, those of one model with the nugget and sill of all pairs, and whether directions differ by more than
+    those of shuffled values over the same places do."""
+    t = directional_sums(points, **options).orderBy("shuffle", "sector", "lag_bin").toPandas()
+    shape = (t["shuffle"].max() + 1, SECTORS, t["lag_bin"].max() + 1)
+    n, h, d2 = (t[c].to_numpy().reshape(shape) for c in ("n", "h", "d2"))
+    every = n[0].sum(axis=0) >= PAIRS_MIN
+    if every.sum() < 3:
+        return Anisotropy(1.0, 0.0, 1.0, {})
+    whole = [x[0].sum(axis=0)[every] for x in (n, h, d2)]
+    model = fit_lags(whole[1] / whole[0], whole[2] / (2 * whole[0]), whole[0], kind)
+    ranges: dict[float, float] = {}
+    for k in range(SECTORS):
+        # a direction's window is the sector on either side of it
+        pairs, far, sums = (x[0, k] + x[0, k - 1] for x in (n, h, d2))
+        enough = pairs >= PAIRS_MIN
+        if pairs.sum() >= DIRECTION_PAIRS and enough.sum() >= 3:
+            ranges[180.0 / SECTORS * k] = range_of(model, far[enough] / pairs[enough], sums[enough] / (2 * pairs[enough]), pairs[enough])
+    if len(ranges) < 2:
+        return Anisotropy(1.0, 0.0, 1.0, ranges)
+    seen = [_contrast(n[k], d2[k]) for k in range(shape[0])]
+    # the data are one of the arrangements, so the value never is 0
+    p = (1 + sum(c >= seen[0] for c in seen[1:])) / len(seen)
+    azimuth = max(ranges, key=ranges.get)
+    return Anisotropy(ranges[azimuth] / min(ranges.values()), azimuth, p, ranges)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..layers import points, table
-from ..operators import grids, neighbours, statistics as ST, variogram as V
+from ..operators import neighbours, prep, statistics as ST, variogram as V
 from .spatial_queries import PTS
 
 CELLS = "cells AS (SELECT a.n_nationkey * 25 + b.n_nationkey AS cell_id, a.n_nationkey * 4000.0::DOUBLE AS x, b.n_nationkey * 4000.0::DOUBLE AS y FROM nation a, nation b)"
@@ -27,6 +27,16 @@ def coarse(spark, d):
     return points(spark, d).withColumns({"x": F.pmod(k, F.lit(97)) * 10.0, "y": F.pmod(k, F.lit(5)) * 10.0})
 
 
+def _planted(spark, d):
+    """Points in groups about a place, each within 0.8 of the next of its group."""
+    k = F.col("id")
+    return points(spark, d).withColumns({"x": F.pmod(k, F.lit(97)) * 10.0 + F.pmod(k, F.lit(3)) * 0.4, "y": F.pmod(k, F.lit(5)) * 10.0 + F.pmod(k, F.lit(2)) * 0.3})
+
+
+def _flags(spark, kept, flags):
+    return spark.createDataFrame([(f.name, f.number) for f in flags] + [("left", kept.count())], "name string, number long")
+
+
 COARSE = f"{PTS}, co AS (SELECT id, (id%97)*10.0::DOUBLE AS x, (id%5)*10.0::DOUBLE AS y, v FROM pts)"
 
 
@@ -86,6 +96,18 @@ QUERIES = {
         f"WITH {COARSE} SELECT round_even(x/40, 0)::BIGINT AS kx, round_even(y/40, 0)::BIGINT AS ky, min(id) AS id, min_by(v, id) AS v, count(*) AS n FROM co GROUP BY 1, 2",
     ),
     "variogram_iso": (lambda s, d: _variogram(s, d), f"{PAIRS} {LAGGED.format('')}"),
+    "variogram_sectors": (
+        lambda s, d: V.directional_sums(points(s, d), max_lag=20000.0, shuffles=0, most=100_000).where("n > 0").select("sector", "lag_bin", F.col("n").cast("long").alias("n_pairs"), F.round(F.col("h") / F.col("n"), 3).alias("lag"), F.round(F.col("d2") / F.col("n") / 2, 1).alias("gamma")),
+        f"{PAIRS} SELECT floor(((degrees(atan2(dx, dy)) % 180 + 180) % 180) / 22.5)::INTEGER % 8 AS sector, floor(h/1000)::INTEGER AS lag_bin, count(*) AS n_pairs, round(avg(h), 3) AS lag, round(avg(dv)/2, 1) AS gamma FROM p WHERE h > 0 GROUP BY 1, 2",
+    ),
+    "control_clusters": (
+        lambda s, d: prep.clusters(_planted(s, d), 1.0).groupBy("cluster").agg(F.count("*").alias("n"), F.min("id").alias("first"), F.round(F.avg("v"), 6).alias("mean")).drop("cluster"),
+        f"WITH {PTS}, p AS (SELECT id, id % 97 AS kx, id % 5 AS ky, v FROM pts) SELECT count(*) AS n, min(id) AS first, round(avg(v), 6) AS mean FROM p GROUP BY kx, ky",
+    ),
+    "control_valid": (
+        lambda s, d: _flags(s, *prep.validate(_planted(s, d).withColumn("v", F.when(F.col("id") % 50 != 7, F.col("v"))), tolerance=1.0, duplicates="first")),
+        f"WITH {PTS}, p AS (SELECT *, id % 97 AS kx, id % 5 AS ky FROM pts WHERE id % 50 <> 7), g AS (SELECT count(DISTINCT (kx, ky)) AS n, count(*) AS all_ FROM p) SELECT * FROM (SELECT 'ROWS_DROPPED' AS name, (SELECT count(*) FROM pts) - all_ AS number FROM g UNION ALL SELECT 'DUPLICATES_RESOLVED', all_ - n FROM g UNION ALL SELECT 'left', n FROM g) WHERE number > 0",
+    ),
     "variogram_azimuth": (lambda s, d: _variogram(s, d, azimuth=45.0), f"{PAIRS} {LAGGED.format('WHERE least(((degrees(atan2(dx, dy)) - 45) % 180 + 180) % 180, 180 - ((degrees(atan2(dx, dy)) - 45) % 180 + 180) % 180) <= 22.5')}"),
     "log_transform": (lambda s, d: points(s, d).select("id", F.round(ST.log_transform(F.col("v"), 1001.0), 8).alias("t")), f"WITH {PTS} SELECT id, round(ln(v + 1001), 8) AS t FROM pts"),
     "boxcox_transform": (lambda s, d: points(s, d).select("id", F.round(ST.boxcox_transform(F.col("v"), 0.3, 1001.0), 6).alias("t")), f"WITH {PTS} SELECT id, round(((v + 1001)^0.3::DOUBLE - 1) / 0.3::DOUBLE, 6) AS t FROM pts"),

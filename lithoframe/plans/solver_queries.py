@@ -56,10 +56,26 @@ def _events(s, d):
     return table(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def _walls(s, d):
+    """A wall between the columns of the grid south of each region's middle: region r's goes down beside column 5 r + 4."""
+    r = F.col("r_regionkey")
+    x = (r * 5 + 4) * 4000.0 + 4000.0
+    return table(s, d, "region").where("r_regionkey < 4").select(r.alias("id"), x.alias("x1"), F.lit(-5000.0).alias("y1"), x.alias("x2"), F.lit(105000.0).alias("y2"))
+
+
 def _faults(s, d):
-    wall = s.createDataFrame([(1, 44000.0, -5000.0, 44000.0, 105000.0)], "id long, x1 double, y1 double, x2 double, y2 double")
     grid = GRID.cells(s).select("row", "col", "x", "y")
-    return faults.compartments(grid, faults.blocked_links(grid, wall, 4000.0), 25)
+    return faults.compartments(grid, faults.blocked_links(grid, _walls(s, d), 4000.0), 25, side=8)
+
+
+def _bent(s, d):
+    """A surface over a roof: control of |x - 52000| with a breakline along its ridge, and the worst miss of it."""
+    grid = GRID.cells(s).select("row", "col", "x", "y")
+    ridge = table(s, d, "region").where("r_regionkey = 0").select(F.lit(1).alias("id"), F.lit(50000.0).alias("x1"), F.lit(-5000.0).alias("y1"), F.lit(50000.0).alias("x2"), F.lit(105000.0).alias("y2"))
+    roof = lambda x: F.abs(x - 50000.0)
+    near = control(s, d).where("x < 96000 AND y < 96000 AND x > 4000 AND y > 4000").withColumn("value", roof(F.col("x")))
+    top = S.minimum_curvature(s, GRID, near, soft=faults.soft_links(grid, ridge, 4000.0)).join(grid, ["row", "col"])
+    return top.agg((F.max(F.abs(F.col("value") - roof(F.col("x")))) < 1100).alias("close"))
 
 
 QUERIES = {
@@ -75,9 +91,13 @@ QUERIES = {
         lambda s, d: S.spline(cells(s, d), control(s, d).withColumn("value", F.col("x") + 2 * F.col("y")), k=16).select("cell_id", F.round("value", 3).alias("value")),
         f"WITH {CELLS} SELECT cell_id, round(x + 2 * y, 3) AS value FROM cells",
     ),
+    "min_curvature_breakline": (_bent, "SELECT count(*) > 0 AS close FROM region"),
     "min_curvature": (lambda s, d: S.minimum_curvature(s, GRID, control(s, d)), None),
     "variogram_fit": (lambda s, d: s.createDataFrame([(m.kind, m.nugget, m.sill, m.range) for m in [fit_auto(points(s, d), max_lag=20000.0)]], "kind string, nugget double, sill double, range double"), None),
-    "compartments": (lambda s, d: _faults(s, d), "SELECT (range // 25)::INTEGER AS row, (range % 25)::INTEGER AS col, CASE WHEN range % 25 <= 10 THEN 0 ELSE 11 END AS compartment FROM range(625)"),
+    "compartments": (
+        _faults,
+        "WITH w AS (SELECT r_regionkey * 5 + 5 AS c FROM region WHERE r_regionkey < 4), g AS (SELECT (range // 25)::INTEGER AS row, (range % 25)::INTEGER AS col FROM range(625)) SELECT row, col, coalesce((SELECT max(c) FROM w WHERE c <= col), 0)::BIGINT AS compartment FROM g",
+    ),
     "convex_hull": (lambda s, d: _area(P.convex_hull(_pts(s, d))), None),
     "concave_hull": (lambda s, d: _area(P.concave_hull(_pts(s, d), 0.3)), None),
     "voronoi": (
