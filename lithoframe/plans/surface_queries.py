@@ -6,12 +6,15 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import style
-from ..layers import points, table
+from ..layers import points, table, zones
+from ..operators import clipping
 from ..operators import contours as C
 from ..operators import grids
 from ..operators import statistics as ST
+from ..scratch import fresh
+from ..sources.grids import read_grid, write_grid
 from .point_queries import MODEL, _breaks
-from .spatial_queries import PTS
+from .spatial_queries import PTS, Z, _diamonds, _turned
 
 #: Cells along the ground surface and their size; the bounds of the points lie inside.
 SIDE, CELL = 8, 12515.0
@@ -57,6 +60,28 @@ def _cells(s, d):
     return grids.Grid.covering((b["a"], b["b"], b["c"], b["d"]), 20000.0).cells(s)
 
 
+def _fine(s, d):
+    """Two columns of 25 cells for each nation, side by side."""
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n)))
+    cells = table(s, d, "nation").select(F.col("n_nationkey").alias("i"), upto(24).alias("j")).withColumn("k", upto(1))
+    x = (F.col("i") * 2 + F.col("k")) * 2003.0 + 501.0
+    return cells.select((F.col("i") * 1000 + F.col("j") * 10 + F.col("k")).alias("cell_id"), F.col("j").alias("row"), (F.col("i") * 2 + F.col("k")).alias("col"), x.alias("x"), (F.col("j") * 4001.0 + 7.0).alias("y"), (F.col("i") * 1.0 + F.col("j")).alias("value"))
+
+
+FINE = "fine AS (SELECT a.n_nationkey * 1000 + b.n_nationkey * 10 + r_regionkey AS cell_id, (a.n_nationkey * 2 + r_regionkey) * 2003.0::DOUBLE + 501 AS x, b.n_nationkey * 4001.0::DOUBLE + 7 AS y, a.n_nationkey * 1.0::DOUBLE + b.n_nationkey AS value FROM nation a, nation b, region WHERE r_regionkey < 2)"
+
+
+def _stored(s, d) -> str:
+    """The ground surface at rest, in a fresh shared folder."""
+    path = fresh(s, "grid")
+    write_grid(ground(s, d), grids.Grid(0.0, SIDE * CELL, CELL, SIDE, SIDE), path, name="ground")
+    return path
+
+
+def _window(s, d):
+    return read_grid(s, _stored(s, d), window=(20000.0, 10000.0, 70000.0, 90000.0))[0].select("row", "col", F.round("value", 6).alias("value"))
+
+
 COVER = f"""{PTS}, m AS (SELECT min(x) AS a, min(y) AS b, ceil((max(x) - min(x)) / 20000)::BIGINT + 1 AS nx, ceil((max(y) - min(y)) / 20000)::BIGINT + 1 AS ny FROM pts), cell AS (
   SELECT i AS cell_id, (i // nx)::INTEGER AS row, (i % nx)::INTEGER AS col, a - 10000 + (i % nx + 0.5) * 20000.0::DOUBLE AS x, b + (ny - 0.5) * 20000.0::DOUBLE - (i // nx + 0.5) * 20000.0::DOUBLE AS y FROM (SELECT *, unnest(range(nx * ny)) AS i FROM m)
 )"""
@@ -89,6 +114,26 @@ QUERIES = {
         lambda s, d: grids.clip_to_box(ground(s, d), (20000.0, 10000.0, 70000.0, 90000.0)).select("row", "col", F.round("value", 6).alias("value")),
         f"WITH {GROUND} SELECT r AS row, c AS col, CASE WHEN (c + 0.5) * {CELL} BETWEEN 20000 AND 70000 AND ({SIDE - 0.5} - r) * {CELL} BETWEEN 10000 AND 90000 THEN round(v, 6) END AS value FROM g",
     ),
+    "clip_polygons": (
+        lambda s, d: clipping.clip_to_polygons(_turned(_fine(s, d)), _diamonds(zones(s, d).where("zid % 2 = 1"), "zid")).select("cell_id", "value"),
+        f"WITH {FINE}, {Z} SELECT cell_id, CASE WHEN EXISTS (SELECT 1 FROM zones WHERE zid % 2 = 1 AND x >= xmin AND x <= xmax AND y >= ymin AND y <= ymax) THEN value END AS value FROM fine",
+    ),
+    "clip_polygons_invert": (
+        lambda s, d: clipping.clip_to_polygons(_turned(_fine(s, d)), _diamonds(zones(s, d).where("zid % 2 = 1"), "zid"), invert=True).agg(F.count("value").alias("n"), F.sum("value").alias("total")),
+        f"WITH {FINE}, {Z} SELECT count(*) AS n, sum(value) AS total FROM fine WHERE NOT EXISTS (SELECT 1 FROM zones WHERE zid % 2 = 1 AND x >= xmin AND x <= xmax AND y >= ymin AND y <= ymax)",
+    ),
+    "control_supported": (
+        lambda s, d: clipping.supported(_fine(s, d), points(s, d), 2500.0).select("cell_id", "supported"),
+        f"WITH {PTS}, {FINE} SELECT cell_id, EXISTS (SELECT 1 FROM pts p WHERE (p.x - f.x)^2 + (p.y - f.y)^2 <= 6250000) AS supported FROM fine f",
+    ),
+    "grid_window": (
+        _window,
+        f"WITH {GROUND} SELECT r AS row, c AS col, round(v, 6) AS value FROM g WHERE (c + 0.5) * {CELL} BETWEEN 20000 AND 70000 AND ({SIDE - 0.5} - r) * {CELL} BETWEEN 10000 AND 90000",
+    ),
+    "grid_round_trip": (
+        lambda s, d: read_grid(s, _stored(s, d), level=0)[0].groupBy().agg(F.count("*").alias("cells"), F.round(F.avg("value"), 6).alias("mean")),
+        f"WITH {GROUND} SELECT count(*) AS cells, round(avg(v), 6) AS mean FROM g",
+    ),
     "grid_cells": (_cells, f"WITH {COVER} SELECT * FROM cell"),
     "nice_cell_size": (
         lambda s, d: points(s, d).groupBy("nk").agg(((F.max("x") - F.min("x") + 1) / grids.ACROSS).alias("z")).select("nk", G.nice_at_least(F.col("z")).alias("size")),

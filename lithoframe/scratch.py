@@ -8,11 +8,27 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+def folder(spark: SparkSession) -> str:
+    """The shared folder that spark.checkpoint.dir names. Only a local master may go without: elsewhere executors would write to
+    disks of their own."""
+    sc = spark.sparkContext
+    root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not root:
+        if not sc.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        root = f"file://{tempfile.mkdtemp(prefix='lithoframe-')}"
+        sc.setCheckpointDir(root)
+    return root
+
+
+def fresh(spark: SparkSession, label: str) -> str:
+    """The path of a folder of its own in the shared one."""
+    return f"{folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df computed once into the folder that spark.checkpoint.dir names; a temporary one only where none is set."""
-    sc = df.sparkSession.sparkContext
-    if not (sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()):
-        sc.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='lithoframe-')}")
+    """df computed once into the shared folder."""
+    folder(df.sparkSession)
     return df.checkpoint()
 
 
