@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import folder
+
 #: What the contracts call white space, and the letters they lower-case.
 BLANKS = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -27,13 +28,8 @@ def ascii_lower(c: Column) -> Column:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a temporary one only where none is set, as in tests."""
-    sc = spark.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not root:
-        root = f"file://{tempfile.mkdtemp(prefix='lithoframe-')}"
-        sc.setCheckpointDir(root)
-    return root
+    """The shared folder that the cluster names; a temporary one only on a local master without one, as in tests."""
+    return folder(spark)
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
