@@ -111,8 +111,9 @@ QUERIES = {
         lambda s, d: _area(P.clip_to_convex(_squares(s, d), np.array([[20.0, 10.0], [70.0, 10.0], [70.0, 60.0], [20.0, 60.0], [20.0, 10.0]])), "id").where("area > 0"),
         f"WITH {SQ} SELECT id, round((least(x+w, 70)-greatest(x, 20))*(least(y+w, 60)-greatest(y, 10)), 4) AS area FROM sq WHERE x < 70 AND x+w > 20 AND y < 60 AND y+w > 10",
     ),
-    "smooth": (lambda s, d: _area(P.smooth(_squares(s, d), 0.5), "id"), f"WITH {SQ} SELECT id, round(w*w*(1 - 0.125 - 4*0.25*0.125/4*1.0*0.5*0 ) , 4) AS area FROM sq WHERE false"),
-    "simplify": (lambda s, d: _area(P.simplify(P.smooth(_squares(s, d), 0.5), 0.01), "id"), None),
+    # two rounds of corners cut at a quarter leave 27/32 of a square
+    "smooth": (lambda s, d: _area(P.smooth(_squares(s, d), 0.5), "id"), f"WITH {SQ} SELECT id, round(w * w * 27 / 32, 4) AS area FROM sq"),
+    "simplify": (lambda s, d: _area(P.simplify(P.smooth(_squares(s, d), 0.5), 0.01), "id"), f"WITH {SQ} SELECT id, round(w * w * 27 / 32, 4) AS area FROM sq"),
     "split": (
         lambda s, d: P.measures(P.split(_squares(s, d), (0.0, 40.5), (100.0, 40.5))).groupBy("id").agg(F.count("*").alias("parts"), F.round(F.sum("area"), 4).alias("area")),
         f"WITH {SQ} SELECT id, CASE WHEN y < 40.5 AND y + w > 40.5 THEN 2 ELSE 1 END AS parts, round(w*w, 4) AS area FROM sq",
@@ -135,4 +136,3 @@ QUERIES = {
         "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events) SELECT user_id, sum(fresh)::BIGINT AS sessions, count(*) AS n FROM g GROUP BY 1",
     ),
 }
-QUERIES["smooth"] = (QUERIES["smooth"][0], None)

@@ -12,6 +12,7 @@ from ..operators import aggregate as A
 from ..operators import overlay as O
 from ..operators import relations as Q
 from ..operators import spatial as S
+from ..operators import topology
 
 PTS = "pts AS (SELECT c_custkey AS id, ((c_custkey*7919)%10007)*10.0::DOUBLE AS x, ((c_custkey*104729)%10009)*10.0::DOUBLE AS y, c_acctbal AS v, c_nationkey AS nk, c_mktsegment AS seg FROM customer)"
 
@@ -210,6 +211,15 @@ QUERIES = {
         lambda s, d: _r(A.aggregate("summarize_within", [_diamonds(zones(s, d, 20020.0), "zid"), _turned(points(s, d))], STATS[:2]), "v_mean").select("zid", "n", "v_mean"),
         f"WITH {PTS}, {zones_sql('20020.0')} SELECT zid, count(id) AS n, round(avg(v), 4) AS v_mean FROM zones LEFT JOIN pts ON x >= xmin AND x <= xmax AND y >= ymin AND y <= ymax GROUP BY zid",
     ),
+    "topology_warnings": (
+        lambda s, d: topology.shared_warnings(_diamonds(zones(s, d), "zid")).select("zid", "shared_vertices", "neighbours"),
+        f"""WITH {Z}, c AS (SELECT zid, unnest([xmin, xmin, xmax, xmax]) AS x, unnest([ymin, ymax, ymin, ymax]) AS y FROM zones), p AS (SELECT a.zid, b.zid AS other, a.x, a.y FROM c a JOIN c b ON a.x = b.x AND a.y = b.y AND a.zid <> b.zid)
+        SELECT zid, count(DISTINCT (x, y)) AS shared_vertices, count(DISTINCT other) AS neighbours FROM p GROUP BY zid""",
+    ),
+    "simplify_shared": (
+        lambda s, d: _area(topology.simplify_shared(_diamonds(zones(s, d), "zid"), 5000.0)).select("zid", "area"),
+        f"WITH {Z} SELECT zid, round((xmax - xmin) * (ymax - ymin) / 2, 2) AS area FROM zones",
+    ),
     "box_clip": (
         lambda s, d: S.clip(boxes(s, d), MASK).select("sid", *G.SIDES),
         f"WITH {BOX} SELECT sid, greatest(xmin, 15000) AS xmin, greatest(ymin, 25000) AS ymin, least(xmax, 61000) AS xmax, least(ymax, 70000) AS ymax FROM bx WHERE xmin < 61000 AND xmax > 15000 AND ymin < 70000 AND ymax > 25000",
