@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +19,14 @@ BASE = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: Cheap tests that every text with a base match passes.
+#: Cheaper tests than the patterns' own, by their place in BASE and PROPOSED: all parts of a row must be in the text, a part being one
+#: of the strings named; DIGITS stands for a run of eight digits at most three characters apart, which is looked for once.
+DIGITS = r"[0-9](?:[^0-9]{0,3}+[0-9]){7}"
+HOLDS = {
+    "email": [["@"]], "ip": [["."]], "card": [["DIGITS"]], "phone": [["+"]],
+    0: [["at)", "at]", "at}"]], 1: [[" at "], [" dot "]], 2: [[":"]], 3: [["::"]], 4: [["DIGITS"]], 5: [["DIGITS"]], 6: [["DIGITS"]], 7: [["=", ":"]],
+}
+#: Tests that every text with a base match passes.
 GATES = {"email": r"@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]++\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){11}", "phone": r"\+[0-9]"}
 PART = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{0,2})"
 IP_VALID = rf"^{PART}\.{PART}\.{PART}\.{PART}$"
@@ -47,11 +57,16 @@ def luhn(digits: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0), lambda a, i: a + worth(i)) % 10 == 0
 
 
-def _found(df: DataFrame, name: str, kind: str, pattern: str, gate: str) -> DataFrame:
+def _holds(rows: list[list[str]]) -> Column:
+    part = lambda p: F.col("_digits") if p == "DIGITS" else F.contains("text", F.lit(p))
+    return reduce(and_, [reduce(or_, map(part, row)) for row in rows])
+
+
+def _found(df: DataFrame, name: str, kind: str, pattern: str, gate: str, holds: list[list[str]]) -> DataFrame:
     """df with column `name`: the leftmost non-overlapping matches with their places in code points, from the lengths of
     the pieces between them."""
     none = F.array().cast("array<string>")
-    df = df.withColumn("_go", F.col("text").rlike(gate))
+    df = df.withColumn("_go", _holds(holds) & F.col("text").rlike(gate))
     df = df.withColumn("_hits", F.when(F.col("_go"), F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).otherwise(none))
     df = df.withColumn("_gaps", F.when(F.size("_hits") > 0, F.split("text", pattern, -1)).otherwise(none))
     pairs = F.arrays_zip(F.col("_hits").alias("hit"), F.slice("_gaps", F.lit(1), F.size("_hits")).alias("gap"))
@@ -109,19 +124,19 @@ def _overlap(a: Column, b: Column) -> Column:
 
 def find_spans(docs: DataFrame) -> DataFrame:
     """docs' doc_id and text (null: empty) with arrays base, spans and secrets of struct (start, kind, end, hit), by start, then
-    kind; no rows for an empty table, and texts of any length are searched whole.
+    kind, spans holding the others; no rows for an empty table, and texts of any length are searched whole.
 
     base: matches of the base patterns that pass their tests; a failing match is dropped and not retried. Proposals of
     the wider patterns are scored by boosted trees on format and context; one is added where its score reaches its
-    kind's calibrated threshold and it overlaps neither a base span nor a proposal of higher score (of equal scores, the one of
-    the kind named first, then the first, then the longest stays). spans: base and what is added; secrets apart. Repeated rows are
+    kind's calibrated threshold and it overlaps neither a base span nor an added one of higher score (of equal scores, the one of
+    the kind named first, then the first, then the longest is added). spans: base and what is added. Repeated rows are
     judged one by one; other columns are ignored. One pass over the text in its own task: nothing is shuffled."""
-    df = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    df = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("_digits", F.col("text").rlike(DIGITS))
     for k in KINDS:
-        df = _found(df, f"_base_{k}", k, BASE[k], GATES[k])
+        df = _found(df, f"_base_{k}", k, BASE[k], GATES[k], HOLDS[k])
         df = df.withColumn(f"_base_{k}", F.filter(f"_base_{k}", _test(k)))
     for i, (k, pattern, gate) in enumerate(PROPOSED):
-        df = _found(df, f"_more_{i}", k, pattern, gate)
+        df = _found(df, f"_more_{i}", k, pattern, gate, HOLDS[i])
     df = df.withColumn("base", F.array_sort(F.concat(*[F.col(f"_base_{k}") for k in KINDS])))
     df = df.withColumn("_more", F.concat(*[F.col(f"_more_{i}") for i in range(len(PROPOSED))]))
     fit = model.fitted()
@@ -130,13 +145,16 @@ def find_spans(docs: DataFrame) -> DataFrame:
     df = df.withColumn("_more", F.transform("_more", lambda s: F.struct(s.alias("span"), F.array(*features(F.col("text"), s)).alias("x"))))
     df = df.withColumn("_more", F.transform("_more", lambda s: F.struct(_score(s["x"], fit["trees"]).alias("score"), s["span"].alias("span"))))
     df = df.withColumn("_more", F.filter("_more", lambda s: s["score"] >= F.get(limits, s["span"]["kind"])))
-    place = lambda s: F.struct(-s["score"], s["span"]["kind"], s["span"]["start"], -s["span"]["end"])
-    better = lambda a, b: place(a) < place(b)
-    kept = F.filter("_more", lambda s: ~F.exists("_more", lambda o: _overlap(o["span"], s["span"]) & better(o, s)))
-    df = df.withColumn("_kept", F.transform(kept, lambda s: s["span"]))
+    spans = F.array_sort(F.concat("base", best(F.col("_more"))))
     secret = model.PROPOSED_KINDS.index("secret")
-    spans = F.array_sort(F.concat("base", F.filter("_kept", lambda s: s["kind"] != secret)))
-    return df.select("doc_id", "text", "base", spans.alias("spans"), F.array_sort(F.filter("_kept", lambda s: s["kind"] == secret)).alias("secrets"))
+    return df.select("doc_id", "text", "base", spans.alias("spans")).withColumn("secrets", F.filter("spans", lambda s: s["kind"] == secret))
+
+
+def best(scored: Column) -> Column:
+    """The spans of (score, span) that stay: from the best on, each that overlaps none kept before it."""
+    order = F.array_sort(F.transform(scored, lambda s: F.struct(-s["score"], s["span"]["kind"], s["span"]["start"], -s["span"]["end"], s["span"].alias("span"))))
+    keep = lambda kept, s: F.when(F.exists(kept, lambda k: _overlap(k, s["span"])), kept).otherwise(F.concat(kept, F.array(s["span"])))
+    return F.aggregate(order, F.array().cast(SPAN), keep)
 
 
 def _listed(spans: str) -> Column:
@@ -145,15 +163,17 @@ def _listed(spans: str) -> Column:
 
 
 def pii_digest(docs: DataFrame) -> DataFrame:
-    """doc_id, n_<kind> (base spans), base_sha256, spans, secrets (listed likewise), n_found (of spans and secrets)."""
+    """doc_id, n_<kind> (base spans), base_sha256, spans (all), secrets (those among them, listed likewise), n_found."""
     out = find_spans(docs)
     of = lambda i: lambda s: s["kind"] == i
     counts = [F.size(F.filter("base", of(i))).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
-    return out.select("doc_id", *counts, F.sha2(_listed("base"), 256).alias("base_sha256"), _listed("spans").alias("spans"), _listed("secrets").alias("secrets"), (F.size("spans") + F.size("secrets")).cast("long").alias("n_found"))
+    return out.select("doc_id", *counts, F.sha2(_listed("base"), 256).alias("base_sha256"), _listed("spans").alias("spans"), _listed("secrets").alias("secrets"), F.size("spans").cast("long").alias("n_found"))
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """doc_id and text with every span and secret replaced by its kind in brackets; overlapping spans become one, of the first's kind."""
+    """doc_id and text with every span replaced by its kind in brackets; overlapping spans become one, of the first's kind. Null texts
+    come out empty, texts without spans as they are; repeated rows and rows without doc_id each come out, an empty table gives no
+    rows, and other columns are ignored, whatever their names."""
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in model.PROPOSED_KINDS])
 
     def step(acc: Column, s: Column) -> Column:
@@ -161,5 +181,5 @@ def redact(docs: DataFrame) -> DataFrame:
         gap = F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"])
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], gap, F.get(names, s["kind"]))).otherwise(acc["out"]).alias("out"))
 
-    whole = F.aggregate(F.array_sort(F.concat("spans", "secrets")), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.char_length("text"))))
+    whole = F.aggregate(F.col("spans"), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.char_length("text"))))
     return find_spans(docs).select("doc_id", whole.alias("text"))
