@@ -121,3 +121,28 @@ def test_links_of_vectors_with_a_common_direction(spark):
         label = new
     got = {r.vec_id: (r.n_links, r.component_id) for r in neardup.near_duplicates(frame(spark, [(i, v.tolist(), 1) for i, v in enumerate(u)]), block=16).collect()}
     assert got == {i: (int(links[i].sum()), int(label[i])) for i in range(6000)}
+
+
+def test_recall_of_a_large_label_that_points_one_way(spark):
+    """20,000 vectors of one label, their mean cosine about 0.8, half of them just within reach of another: at least 0.9 of all links
+    between them are found with the parameters of the query, and none that is not there."""
+    r = np.random.default_rng(12)
+    n, d = 20_000, 64
+    spread = np.linspace(2.0, 0.2, d)  # some directions vary more than others
+    u = r.normal(size=(n, d)) * spread
+    u = u / np.linalg.norm(u, axis=1)[:, None] * math.sqrt(0.2)
+    u[:, 0] += math.sqrt(0.8)
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    half = n // 2
+    side = r.normal(size=(half, d)) * spread
+    side -= (side * u[:half]).sum(axis=1)[:, None] * u[:half]
+    cos = r.uniform(0.9802, 0.99, half)[:, None]
+    u[half:] = cos * u[:half] + np.sqrt(1 - cos**2) * side / np.linalg.norm(side, axis=1)[:, None]
+    u = u.astype(np.float32)
+    x = u.astype(float) / np.linalg.norm(u.astype(float), axis=1)[:, None]
+    links = np.concatenate([((x[k : k + 2000] @ x.T) >= 0.98).sum(axis=1) - 1 for k in range(0, n, 2000)])
+    got = {g.vec_id: g.n_links for g in neardup.near_duplicates(spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(u)], "vec_id long, embedding array<float>, label long")).collect()}
+    assert links.sum() >= n and all(got[i] <= links[i] for i in range(n))
+    recall = sum(got.values()) / links.sum()
+    print(f"recall {recall:.4f} of {links.sum()} links")
+    assert recall >= 0.9
