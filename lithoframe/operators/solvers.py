@@ -182,12 +182,12 @@ def overshoot(surface: DataFrame, control: DataFrame) -> DataFrame:
     return a.join(F.broadcast(c)).select(F.try_divide(F.greatest(F.col("b") - F.col("d"), F.lit(0.0)) + F.greatest(F.col("c") - F.col("a"), F.lit(0.0)), F.col("d") - F.col("c")).alias("overshoot"))
 
 
-def cross_validate(control: DataFrame, model: Model, *, k: int = NEIGHBOURS, most: int = 2000) -> DataFrame:
-    """One row (n, rmse, mean_error, mae, std): each control point estimated from the others; about `most` of them by a hash."""
-    n = control.count()
+def cross_validate(control: DataFrame, model: Model, *, k: int = NEIGHBOURS, most: int | None = None) -> DataFrame:
+    """One row (n, rmse, mean_error, mae, std): each control point estimated from the others, or about `most` of them by a hash."""
+    n = control.count() if most is not None else 0
     xy, z = _control(control)
     shared = control.sparkSession.sparkContext.broadcast((xy, z))
-    asked = control if n <= most else control.where(F.xxhash64("id") / 2.0**64 + 0.5 < most / n)
+    asked = control if most is None or n <= most else control.where(F.xxhash64("id") / 2.0**64 + 0.5 < most / n)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         xy, z = shared.value

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions import style
 from ..layers import table
-from ..operators import faults, network, registry as R
+from ..operators import faults, ledger, network, registry as R
 
 NOW = "timestamp '2024-02-01 00:00:00'"
 
@@ -105,6 +105,22 @@ def _cleaned(s, d):
     return counts.unionAll(left.select(F.lit("meets without a node").alias("change")).groupBy().agg(F.count("change").alias("n")).select(F.lit("left to cut").alias("change"), "n"))
 
 
+def _entries(s, d):
+    """Each user's events as changes of one object: some purchases end it."""
+    from pyspark.sql import Window as W
+
+    v = F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")).cast("bigint")
+    gone = (F.col("event_type") == "purchase") & (F.col("event_id") % 40 == 0)
+    fields = F.create_map(F.lit("type"), F.col("event_type"), F.col("event_type"), F.round(F.col("value"), 2).cast("string"), F.lit("odd"), F.when(F.col("event_id") % 3 == 1, F.lit("yes")))
+    op = F.when(gone, "delete").when(v == 1, "create").otherwise("update")
+    return table(s, d, "events").select(F.lit("user").alias("kind"), F.col("user_id").cast("string").alias("id"), v.alias("version"), F.col("ts").cast("timestamp").alias("at"), F.lit("a").alias("actor"), op.alias("op"), F.when(gone, F.create_map().cast("map<string,string>")).otherwise(fields).alias("fields"))
+
+
+def _folded(s, d):
+    f = F.col("fields")
+    return ledger.fold(_entries(s, d)).select("id", "version", "deleted", f["type"].alias("type"), f["click"].cast("double").alias("click"), f["odd"].alias("odd"))
+
+
 TRACES = """o AS (SELECT o_orderkey AS k, (o_orderkey*7919 % 9973)*10.0::DOUBLE AS x1, (o_orderkey*104729 % 9967)*10.0::DOUBLE AS y1, (o_orderkey*7919 % 9973)*10.0::DOUBLE + 300 + o_orderkey % 11 * 70 AS x2, (o_orderkey*104729 % 9967)*10.0::DOUBLE + ((o_orderkey*31) % 17 - 8) * 60 AS y2 FROM orders),
 c AS (SELECT *, unnest(range(floor(x1/1000)::BIGINT, floor(x2/1000)::BIGINT + 1)) AS cx FROM o)"""
 STOPS = [(0.0, "#000080"), (0.5, "#00ff00"), (1.0, "#ff0000")]
@@ -182,6 +198,14 @@ QUERIES = {
         lambda s, d: faults.duplicates(_segments(s, d).unionAll(_segments(s, d).where("id < 9").select((F.col("id") + 1000).alias("id"), F.col("x2").alias("x1"), F.col("y2").alias("y1"), F.col("x1").alias("x2"), F.col("y1").alias("y2")))),
         "SELECT s_suppkey + 1000 AS id, s_suppkey AS keep FROM supplier WHERE s_suppkey < 9",
     ),
+    "ledger_fold": (
+        _folded,
+        """WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS v, event_type = 'purchase' AND event_id % 40 = 0 AS gone FROM events),
+        h AS (SELECT user_id, max(v) AS version, min(CASE WHEN gone THEN v END) AS dead FROM e GROUP BY 1),
+        k AS (SELECT e.* FROM e JOIN h ON h.user_id = e.user_id AND (dead IS NULL OR v < dead))
+        SELECT id, version, deleted, type, click, nullif(odd0, '') AS odd FROM (SELECT h.user_id::VARCHAR AS id, version, dead IS NOT NULL AS deleted, max_by(event_type, v) AS type, max_by(round(value, 2), v) FILTER (event_type = 'click') AS click, max_by(CASE WHEN event_id % 3 = 1 THEN 'yes' ELSE '' END, v) AS odd0
+        FROM h LEFT JOIN k ON k.user_id = h.user_id GROUP BY h.user_id, version, dead)""",
+    ),
     "network_noding": (
         lambda s, d: network.noded(network.segments_of(_traces(s, d).where("line_id < 100000000")), 1e-3).groupBy("line_id").agg(F.max("part").alias("pieces")).groupBy("pieces").agg(F.count("*").alias("lines")),
         f"""WITH {TRACES}, p AS (SELECT DISTINCT a.k, a.x1, a.y1, a.x2, a.y2, b.k AS other, b.x1 AS x3, b.y1 AS y3, b.x2 AS x4, b.y2 AS y4, (a.x2-a.x1)*(b.y2-b.y1)-(a.y2-a.y1)*(b.x2-b.x1) AS d FROM c a JOIN c b ON a.cx = b.cx AND a.k <> b.k AND a.x1 <= b.x2 AND b.x1 <= a.x2 AND least(a.y1, a.y2) <= greatest(b.y1, b.y2) AND least(b.y1, b.y2) <= greatest(a.y1, a.y2)),

@@ -15,6 +15,7 @@ from ..operators.grids import Grid
 from ..operators.variogram import Model, fit_auto
 from ..streaming import windows
 from .point_queries import CELLS, cells, control
+from .spatial_queries import PTS
 
 MODEL = Model("spherical", 0.0, 9e6, 12000.0)
 GRID = Grid(0.0, 100000.0, 4000.0, 25, 25)
@@ -84,7 +85,7 @@ QUERIES = {
     "kriging_simple": (lambda s, d: S.kriging(cells(s, d), control(s, d), MODEL, k=24, mean=4500.0, least=8), None),
     "kriging_universal": (lambda s, d: S.kriging(cells(s, d), control(s, d), MODEL, k=16, order=1), None),
     "kriging_block": (lambda s, d: S.kriging(cells(s, d), control(s, d), MODEL, k=16, block=4000.0), None),
-    "cross_validation": (lambda s, d: S.cross_validate(control(s, d), MODEL, k=12, most=500), None),
+    "cross_validation": (lambda s, d: S.cross_validate(control(s, d), MODEL, k=12), None),
     "regression_kriging": (lambda s, d: S.regression_kriging(cells(s, d), control(s, d), ["x", "y"], MODEL, k=12), None),
     "spline_tps": (lambda s, d: S.spline(cells(s, d), control(s, d), k=16), None),
     "spline_plane": (
@@ -98,6 +99,10 @@ QUERIES = {
         _faults,
         "WITH w AS (SELECT r_regionkey * 5 + 5 AS c FROM region WHERE r_regionkey < 4), g AS (SELECT (range // 25)::INTEGER AS row, (range % 25)::INTEGER AS col FROM range(625)) SELECT row, col, coalesce((SELECT max(c) FROM w WHERE c <= col), 0)::BIGINT AS compartment FROM g",
     ),
+    "compartment_control": (
+        lambda s, d: faults.assign_compartments(_faults(s, d), control(s, d), GRID).groupBy("compartment").agg(F.count("*").alias("n")),
+        f"WITH {PTS}, w AS (SELECT r_regionkey * 5 + 5 AS c FROM region WHERE r_regionkey < 4), p AS (SELECT floor(x / 4000)::INTEGER AS col, floor((100000 - y) / 4000)::INTEGER AS row FROM pts) SELECT CASE WHEN col < 25 AND row BETWEEN 0 AND 24 THEN coalesce((SELECT max(c) FROM w WHERE c <= col), 0) END::BIGINT AS compartment, count(*) AS n FROM p GROUP BY 1",
+    ),
     "convex_hull": (lambda s, d: _area(P.convex_hull(_pts(s, d))), None),
     "concave_hull": (lambda s, d: _area(P.concave_hull(_pts(s, d), 0.3)), None),
     "voronoi": (
