@@ -14,7 +14,7 @@ from ..operators import solvers as S
 from ..operators.grids import Grid
 from ..operators.variogram import Model, fit_auto
 from ..streaming import windows
-from .point_queries import CELLS, cells, control
+from .point_queries import CELLS, PAIRS, cells, control
 from .spatial_queries import PTS
 
 MODEL = Model("spherical", 0.0, 9e6, 12000.0)
@@ -94,7 +94,16 @@ QUERIES = {
     ),
     "min_curvature_breakline": (_bent, "SELECT count(*) > 0 AS close FROM region"),
     "min_curvature": (lambda s, d: S.minimum_curvature(s, GRID, control(s, d)), None),
-    "variogram_fit": (lambda s, d: s.createDataFrame([(m.kind, m.nugget, m.sill, m.range) for m in [fit_auto(points(s, d), max_lag=20000.0)]], "kind string, nugget double, sill double, range double"), None),
+    "variogram_fit": (
+        lambda s, d: s.createDataFrame([(m.kind, m.nugget, m.sill, m.range) for m in [fit_auto(points(s, d), max_lag=20000.0)]], "kind string, nugget double, sill double, range double").select("kind", *[F.round(c, 2).alias(c) for c in ("nugget", "sill", "range")]),
+        # every kind, range and nugget share that is tried, with the sill that fits best
+        f"""{PAIRS}, g AS (SELECT avg(h) AS h, sum(dv)/(2*count(*)) AS gamma, count(*) / avg(h)^2 AS w FROM p GROUP BY floor(h/1000) HAVING count(*) >= 30), m AS (SELECT max(h) AS top FROM g),
+        t AS (SELECT kind, share, top / 10 * 15.0::DOUBLE ^ (k / 15.0::DOUBLE) AS r FROM m, (SELECT unnest(['spherical', 'exponential', 'gaussian']) AS kind), (SELECT unnest(range(13)) * 0.075::DOUBLE AS share), (SELECT unnest(range(16)) AS k)),
+        u AS (SELECT kind, share, r, w, gamma, share + (1 - share) * CASE kind WHEN 'exponential' THEN 1 - exp(-3 * h / r) WHEN 'gaussian' THEN 1 - exp(-3 * (h / r)^2) ELSE CASE WHEN h < r THEN 1.5 * h / r - 0.5 * (h / r)^3 ELSE 1 END END AS unit FROM g, t),
+        f AS (SELECT kind, share, r, sum(w * unit * gamma) / sum(w * unit * unit) AS sill FROM u GROUP BY 1, 2, 3),
+        e AS (SELECT f.kind, f.share, f.r, sill, sum(w * (gamma - sill * unit)^2) AS miss FROM f JOIN u ON u.kind = f.kind AND u.share = f.share AND u.r = f.r GROUP BY 1, 2, 3, 4)
+        SELECT kind, round(share * sill, 2) AS nugget, round(sill, 2) AS sill, round(r, 2) AS range FROM e WHERE sill > 0 ORDER BY miss LIMIT 1""",
+    ),
     "compartments": (
         _faults,
         "WITH w AS (SELECT r_regionkey * 5 + 5 AS c FROM region WHERE r_regionkey < 4), g AS (SELECT (range // 25)::INTEGER AS row, (range % 25)::INTEGER AS col FROM range(625)) SELECT row, col, coalesce((SELECT max(c) FROM w WHERE c <= col), 0)::BIGINT AS compartment FROM g",
