@@ -4,6 +4,7 @@ from. A job that fails leaves no dataset, only files that none names; the same j
 from __future__ import annotations
 
 import json
+import math
 import traceback
 from collections.abc import Callable
 
@@ -33,9 +34,9 @@ def levels_for(surface: DataFrame, levels: list[float] | None = None, interval:
     if levels:
         return sorted(float(v) for v in levels)
     if interval:
-        first, last = int(-(-r["a"] // interval)), int(r["b"] // interval)
-        out = [k * interval for k in range(first, last + 1) if k * interval < r["b"]]
-        require(0 < len(out) <= LEVELS_MAX, f"an interval of {interval} gives {len(out)} levels over {r['a']} to {r['b']}; 1 to {LEVELS_MAX} can be drawn")
+        first, last = math.ceil(r["a"] / interval), math.ceil(r["b"] / interval) - 1
+        require(0 < last - first + 1 <= LEVELS_MAX, f"an interval of {interval} gives {last - first + 1} levels over {r['a']} to {r['b']}; 1 to {LEVELS_MAX} can be drawn")
+        out = [k * interval for k in range(first, last + 1)]
         return out
     return auto_levels(r["a"], r["b"], target)
 
