@@ -51,6 +51,7 @@ def _variogram(spark, d, **options):
 
 PAIRS = f"WITH {PTS}, p AS (SELECT sqrt((a.x-b.x)^2+(a.y-b.y)^2) AS h, b.x-a.x AS dx, b.y-a.y AS dy, (a.v-b.v)^2 AS dv FROM pts a JOIN pts b ON a.id < b.id AND (a.x-b.x)^2+(a.y-b.y)^2 < 400000000::DOUBLE)"
 LAGGED = "SELECT floor(h/1000)::INTEGER AS lag_bin, round(avg(h), 3) AS lag, round(sum(dv)/(2*count(*)), 1) AS gamma, count(*) AS n_pairs FROM p {} GROUP BY 1 HAVING count(*) >= 30"
+WITHIN = "y.s2 - q.s2 - (y.s1 - q.s1)^2 / (y.i - q.i)"
 MODEL = V.Model("spherical", 0.2, 1.5, 9000.0)
 
 QUERIES = {
@@ -127,7 +128,17 @@ QUERIES = {
     "equal_interval_breaks": (lambda s, d: _breaks(s, ST.classify(points(s, d), "v", "equal_interval", 5)), f"WITH {PTS}, m AS (SELECT min(v) AS a, max(v) AS b FROM pts) SELECT (range - 1)::INTEGER AS i, round(a + (b - a) * range / 5, 4) AS b FROM m, range(1, 5)"),
     "quantile_breaks": (lambda s, d: _breaks(s, ST.classify(points(s, d), "v", "quantile", 4)), f"WITH {PTS} SELECT unnest([0, 1, 2]) AS i, round(unnest(quantile_cont(v, [0.25::DOUBLE, 0.5, 0.75])), 4) AS b FROM pts"),
     "stddev_breaks": (lambda s, d: _breaks(s, ST.classify(points(s, d), "v", "standard_deviation", 6)), f"WITH {PTS}, m AS (SELECT avg(v) AS m, stddev_pop(v) AS s FROM pts) SELECT (range - 1)::INTEGER AS i, round(m + (range - 3) * s, 4) AS b FROM m, range(1, 6)"),
-    "jenks_breaks": (lambda s, d: _breaks(s, ST.classify(points(s, d), "v", "natural_breaks", 4)), None),
+    "jenks_breaks": (
+        lambda s, d: _breaks(s, ST.classify(points(s, d), "v", "natural_breaks", 4)),
+        # the best splits of the first values into two, three and four classes; over all values, as jenks_breaks takes up to 5,000
+        f"""WITH {PTS}, s AS (SELECT v, row_number() OVER (ORDER BY v) AS i FROM pts), p AS (SELECT 0 AS i, 0.0::DOUBLE AS s1, 0.0::DOUBLE AS s2, NULL::DOUBLE AS v UNION ALL SELECT i, sum(v) OVER (ORDER BY i), sum(v * v) OVER (ORDER BY i), v FROM s),
+        b1 AS (SELECT i AS b, s2 - s1 * s1 / i AS c FROM p WHERE i > 0),
+        b2 AS (SELECT y.i AS b, min(x.c + {WITHIN}) AS c, arg_min(q.i, x.c + {WITHIN}) AS a FROM p y JOIN p q ON q.i < y.i AND q.i >= 1 JOIN b1 x ON x.b = q.i GROUP BY y.i),
+        b3 AS (SELECT y.i AS b, min(x.c + {WITHIN}) AS c, arg_min(q.i, x.c + {WITHIN}) AS a FROM p y JOIN p q ON q.i < y.i AND q.i >= 2 JOIN b2 x ON x.b = q.i GROUP BY y.i),
+        b4 AS (SELECT arg_min(q.i, x.c + {WITHIN}) AS a FROM p y JOIN p q ON q.i < y.i AND q.i >= 3 JOIN b3 x ON x.b = q.i WHERE y.i = (SELECT max(i) FROM p)),
+        cuts AS (SELECT 2 AS k, a FROM b4 UNION ALL SELECT 1, b3.a FROM b4 JOIN b3 ON b3.b = b4.a UNION ALL SELECT 0, b2.a FROM b4 JOIN b3 ON b3.b = b4.a JOIN b2 ON b2.b = b3.a)
+        SELECT k AS i, round(v, 4) AS b FROM cuts JOIN p ON p.i = cuts.a + 1""",
+    ),
     "class_assign": (lambda s, d: points(s, d).select(ST.class_of(F.col("v"), [0.0, 2500.0, 5000.0]).alias("class")).groupBy("class").agg(F.count("*").alias("n")), f"WITH {PTS} SELECT (v >= 0)::INTEGER + (v >= 2500)::INTEGER + (v >= 5000)::INTEGER AS class, count(*) AS n FROM pts GROUP BY 1"),
     "nscore_transform": (lambda s, d: ST.nscore(points(s, d), "v"), None),
 }

@@ -112,7 +112,18 @@ QUERIES = {
         lambda s, d: faults.assign_compartments(_faults(s, d), control(s, d), GRID).groupBy("compartment").agg(F.count("*").alias("n")),
         f"WITH {PTS}, w AS (SELECT r_regionkey * 5 + 5 AS c FROM region WHERE r_regionkey < 4), p AS (SELECT floor(x / 4000)::INTEGER AS col, floor((100000 - y) / 4000)::INTEGER AS row FROM pts) SELECT CASE WHEN col < 25 AND row BETWEEN 0 AND 24 THEN coalesce((SELECT max(c) FROM w WHERE c <= col), 0) END::BIGINT AS compartment, count(*) AS n FROM p GROUP BY 1",
     ),
-    "convex_hull": (lambda s, d: _area(P.convex_hull(_pts(s, d))), None),
+    "convex_hull": (
+        lambda s, d: _area(P.convex_hull(_pts(s, d))),
+        # the farthest points of 64 directions make a polygon of hull corners; what isn't strictly inside it may be one too, and of those
+        # pairs that leave no other point on their right, and none of their line beyond them, are the hull's sides
+        f"""WITH {PTS}, far AS (SELECT k, max_by(struct_pack(x := x, y := y), x * cos(2 * pi() * k / 64) + y * sin(2 * pi() * k / 64)) AS p FROM pts, (SELECT unnest(range(64)) AS k) GROUP BY k),
+        ring AS (SELECT a.p.x AS x1, a.p.y AS y1, b.p.x AS x2, b.p.y AS y2 FROM far a JOIN far b ON b.k = (a.k + 1) % 64 WHERE a.p <> b.p),
+        c AS (SELECT DISTINCT x, y FROM pts, ring WHERE (x2 - x1) * (y - y1) - (y2 - y1) * (x - x1) <= 0),
+        sides AS (SELECT a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM c a, c b, c o WHERE (a.x, a.y) <> (b.x, b.y) GROUP BY ALL
+          HAVING min((b.x - a.x) * (o.y - a.y) - (b.y - a.y) * (o.x - a.x)) >= 0
+          AND max(CASE WHEN (b.x - a.x) * (o.y - a.y) - (b.y - a.y) * (o.x - a.x) = 0 THEN (o.x - a.x) * (o.x - b.x) + (o.y - a.y) * (o.y - b.y) END) <= 0)
+        SELECT round(sum(x1 * y2 - x2 * y1) / 2, 4) AS area FROM sides""",
+    ),
     "concave_hull": (lambda s, d: _area(P.concave_hull(_pts(s, d), 0.3)), None),
     "voronoi": (
         lambda s, d: _area(P.voronoi(points(s, d), np.array([[0.0, 0.0], [100080.0, 0.0], [100080.0, 100080.0], [0.0, 100080.0], [0.0, 0.0]]))).agg(F.count("*").alias("n"), F.round(F.sum("area") / 1e6, 3).alias("area")),
