@@ -33,8 +33,8 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's target weight takes it. Null is a source of its own; texts without words have
-    no size and go; repeated rows each count."""
+    """Each document as often as its source's target weight takes it, in the order of the curriculum. Null is a source of its own;
+    texts without words have no size and go; repeated rows each count."""
     return mixing.mixed_documents(docs)
 
 
