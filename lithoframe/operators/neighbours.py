@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..errors import require
+from ..scratch import cut
 
 #: Neighbours of inverse distance, its power, and the multiple of the median spacing that reaches.
 K_IDW, POWER, REACH = 16, 2.0, 3.0
@@ -47,16 +48,17 @@ def knn(queries: DataFrame, points: DataFrame, k: int, *, cell: float | None = N
         span = F.sequence(F.lit(-ring), F.lit(ring))
         asked = left.withColumn("__cx", F.explode(F.transform(span, lambda o: F.floor(F.col("qx") / cell).cast("long") + o)))
         asked = asked.withColumn("__cy", F.explode(F.transform(span, lambda o: F.floor(F.col("qy") / cell).cast("long") + o)))
-        got = asked.join(celled, ["__cx", "__cy"]).withColumn("d2", d2).where(fits).withColumn("rank", rank).where(F.col("rank") <= k)
+        got = cut(asked.join(celled, ["__cx", "__cy"]).withColumn("d2", d2).where(fits).withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "id", "d2", "rank"))
         reach = ring * cell  # every point nearer than this has been seen
-        done = got.where((F.col("rank") == k) & (F.col("d2") <= reach * reach)).select("query_id")
-        if max_radius is not None and max_radius <= reach:
-            done = left.select("query_id")
-        found = got.join(done, "query_id", "left_semi").select("query_id", "id", "d2", "rank")
+        last = max_radius is not None and max_radius <= reach
+        done = left.select("query_id") if last else got.where((F.col("rank") == k) & (F.col("d2") <= reach * reach)).select("query_id")
+        found = got if last else got.join(done, "query_id", "left_semi")
         out = found if out is None else out.unionAll(found)
-        if max_radius is not None and max_radius <= reach:
+        if last:
+            return out
+        left = cut(left.join(done, "query_id", "left_anti"))
+        if left.isEmpty():
             return out
-        left = left.join(done, "query_id", "left_anti")
     # what is left has few points near: it meets all of them in 64 blocks, and each block sends on k of them
     blocked = p.withColumn("__b", F.pmod(F.xxhash64("id"), F.lit(64)))
     asked = left.withColumn("__b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(63).cast("long"))))
