@@ -11,11 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import require
+from ..scratch import cut
 
-#: Points of a pair sample, lags, least points, least pairs of a lag, and the practical-range factor.
+#: Points of a pair sample where one is asked for, lags, least points, least pairs of a lag, and the practical-range factor.
 SAMPLE, LAGS, POINTS_MIN, PAIRS_MIN, PRACTICAL = 20_000, 20, 10, 30, 3.0
-#: Points of a block.
-BLOCK = 1024
+#: Points of a block, at least and at most; blocks that are aimed at between; pairs of points that are arrays at once.
+BLOCK, BLOCK_MAX, BLOCKS, CHUNK = 1024, 16_384, 64, 1 << 17
 MODELS = ("spherical", "exponential", "gaussian", "power", "matern", "stable")
 
 
@@ -25,66 +26,90 @@ def sample(points: DataFrame, most: int = SAMPLE, seed: int = 1) -> DataFrame:
     return points if n <= most else points.where(F.xxhash64(F.lit(seed), "id") / 2.0**64 + 0.5 < most / n)
 
 
-def experimental(points: DataFrame, *, lags: int = LAGS, max_lag: float | None = None, azimuth: float | None = None, tolerance: float = 22.5, pairs_min: int = PAIRS_MIN, weight: str | None = None, most: int = SAMPLE) -> DataFrame:
-    """(lag_bin, lag, gamma, n_pairs) over pairs of points (id, x, y, v) by equal bins from 0 to max_lag, half the greatest
-    distance of the bounds' corners by default. azimuth: degrees from north, modulo 180.
+def experimental(points: DataFrame, *, lags: int = LAGS, max_lag: float | None = None, azimuth: float | None = None, tolerance: float = 22.5, pairs_min: int = PAIRS_MIN, weight: str | None = None, most: int | None = None) -> DataFrame:
+    """(lag_bin, lag, gamma, n_pairs) over all pairs of points (id, x, y, v) by equal bins from 0 to max_lag, half the greatest
+    distance of the bounds' corners by default. azimuth: degrees from north, modulo 180. most: a bounded sample instead of all points.
 
-    The points are a bounded sample of `most`, sent to every task. Blocks of them that lie near enough meet in pairs, each pair of
-    blocks as arrays in one task, which sends on the sums of its bins alone: no pair of points is ever a row."""
-    p = sample(points, most).where("x IS NOT NULL AND y IS NOT NULL AND v IS NOT NULL")
+    Points are dealt to tiles, and those of a full tile to blocks. Blocks that lie near enough meet in pairs, each pair as arrays in
+    one group, which sends on the sums of its bins alone: no pair of points is ever a row, and no task holds more than two blocks."""
+    p = sample(points, most) if most else points
     w = F.col(weight) if weight else F.lit(1.0)
-    rows = p.select(*[c.cast("double").alias(n) for n, c in (("x", F.col("x")), ("y", F.col("y")), ("v", F.col("v")), ("w", w))]).toArrow()
-    x, y, v, ww = (rows[c].to_numpy() for c in ("x", "y", "v", "w"))
-    require(len(x) >= POINTS_MIN, f"a variogram needs {POINTS_MIN} points, not {len(x)}; add control")
-    top = float(max_lag or math.hypot(np.ptp(x), np.ptp(y)) / 2)
+    rows = p.select("id", *[F.col(c).cast("double").alias(c) for c in ("x", "y", "v")], w.cast("double").alias("w")).where("x IS NOT NULL AND y IS NOT NULL AND v IS NOT NULL")
+    n, x0, x1, y0, y1 = rows.agg(F.count("*"), F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    require(n >= POINTS_MIN, f"a variogram needs {POINTS_MIN} points, not {n}; add control")
+    top = float(max_lag or math.hypot(x1 - x0, y1 - y0) / 2)
     require(top > 0, "all points lie at one place; a variogram needs distances")
-    # strips as wide as a block would be if square, each from south to north: a block covers little ground
-    side = max(np.ptp(x), np.ptp(y), 1e-9) / max(1.0, math.sqrt(len(x) / BLOCK))
-    order = np.lexsort((v, x, y, np.floor((x - x.min()) / side)))
-    spark = points.sparkSession
-    shared = spark.sparkContext.broadcast([a[order] for a in (x, y, v, ww)])
-    blocks = -(-len(x) // BLOCK)
-
-    def run(batches):
-        x, y, v, w = shared.value
-        for batch in batches:
-            sums = np.zeros((4, lags + 1))
-            for pair in batch.column(0).to_numpy().tolist():
-                a = (math.isqrt(8 * pair + 1) - 1) // 2
-                b = pair - a * (a + 1) // 2
-                sums += _block_sums(*((c[a * BLOCK : (a + 1) * BLOCK], c[b * BLOCK : (b + 1) * BLOCK]) for c in (x, y, v, w)), a == b, top, lags, azimuth, tolerance)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(lags + 1), pa.int32()), *map(pa.array, sums)], names=["lag_bin", "n", "w", "wh", "wd"])
-
-    pairs = blocks * (blocks + 1) // 2
-    met = spark.range(0, pairs, 1, min(pairs, 4 * spark.sparkContext.defaultParallelism)).mapInArrow(run, "lag_bin int, n double, w double, wh double, wd double")
+    size = min(max(n // BLOCKS, BLOCK), BLOCK_MAX)
+    side = max(x1 - x0, y1 - y0, 1e-9) / max(1.0, math.sqrt(n / size))
+    at = lambda c, lo: F.floor((F.col(c) - lo) / side).cast("int")
+    tiled = rows.withColumns({"cx": at("x", x0), "cy": at("y", y0)})
+    full = tiled.groupBy("cx", "cy").agg(F.ceil(F.count("*") / size).alias("parts"))
+    dealt = tiled.join(full, ["cx", "cy"]).withColumn("part", F.pmod(F.xxhash64("id", "x", "y"), "parts"))
+    blocks = full.select("cx", "cy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    a, b = (blocks.select(*[F.col(c).alias(f"{side_}_{c}") for c in ("cx", "cy", "part")]) for side_ in "ab")
+    apart = [F.greatest(F.abs(F.col(f"a_{c}") - F.col(f"b_{c}")) - 1, F.lit(0)) * side for c in ("cx", "cy")]
+    key = lambda s: F.struct(*[f"{s}_{c}" for c in ("cx", "cy", "part")])
+    # a point on the border of two tiles may fall on either side of it by rounding
+    near = (key("a") <= key("b")) & (apart[0] * apart[0] + apart[1] * apart[1] < (top + 1e-6 * side) ** 2)
+    pairs = cut(a.join(b, near).withColumn("pair", F.monotonically_increasing_id()))
+    ends = [pairs.select("pair", F.lit(k).alias("end"), *[F.col(f"{s}_{c}").alias(c) for c in ("cx", "cy", "part")]) for k, s in enumerate("ab")]
+    met = dealt.join(ends[0].unionAll(ends[1].join(pairs.where(key("a") != key("b")).select("pair"), "pair", "left_semi")), ["cx", "cy", "part"])
+
+    def run(table: pa.Table) -> pa.Table:
+        end = table["end"].to_numpy()
+        x, y, v, w = ([c[end == k] for k in (0, 1)] for c in (table[name].to_numpy() for name in ("x", "y", "v", "w")))
+        same = not len(x[1])
+        if same:
+            x, y, v, w = ([c[0], c[0]] for c in (x, y, v, w))
+        sums = _block_sums(x, y, v, w, same, top, lags, azimuth, tolerance, weight is not None)
+        return pa.table([pa.array(np.arange(lags + 1), pa.int32()), *map(pa.array, sums)], names=["lag_bin", "n", "w", "wh", "wd"])
+
+    met = met.select("pair", "end", "x", "y", "v", "w").repartition(4 * points.sparkSession.sparkContext.defaultParallelism, "pair")
+    met = met.groupBy("pair").applyInArrow(run, "lag_bin int, n double, w double, wh double, wd double")
     total = F.sum("w")
     bins = met.groupBy("lag_bin").agg((F.sum("wh") / total).alias("lag"), (F.sum("wd") / (2 * total)).alias("gamma"), F.sum("n").cast("long").alias("n_pairs"))
     return bins.where((F.col("n_pairs") >= pairs_min) & (F.col("n_pairs") > 0))
 
 
-def _block_sums(x, y, v, w, same: bool, top: float, lags: int, azimuth: float | None, tolerance: float) -> np.ndarray:
+def _block_sums(x, y, v, w, same: bool, top: float, lags: int, azimuth: float | None, tolerance: float, weighed: bool) -> np.ndarray:
     """[pairs, weights, weights x distance, weights x squared difference] by bin over the pairs of two blocks."""
     out = np.zeros((4, lags + 1))
-    apart = [max(a.min() - b.max(), b.min() - a.max(), 0.0) for a, b in (x, y)]
-    if math.hypot(*apart) >= top:
+    if not len(x[0]) or math.hypot(*(max(a.min() - b.max(), b.min() - a.max(), 0.0) for a, b in (x, y))) >= top:
         return out
-    dx, dy = (np.subtract.outer(a, b) for a, b in (x, y))
-    h = np.sqrt(dx * dx + dy * dy)
-    keep = h < top
-    if same:
-        keep &= np.tri(*h.shape, -1, dtype=bool)
-    if azimuth is not None:
-        turn = np.mod(np.degrees(np.arctan2(dx, dy)) - azimuth, 180.0)
-        keep &= np.minimum(turn, 180.0 - turn) <= tolerance
-    i, j = np.nonzero(keep)
-    h, ww = h[keep], w[0][i] * w[1][j]
-    d = v[0][i] - v[1][j]
-    at = np.floor(h / (top / lags)).astype(np.int64)
-    for row, part in enumerate((None, ww, ww * h, ww * d * d)):
-        out[row] = np.bincount(at, part, lags + 1)
+    wide = len(x[1])
+    step = max(1, CHUNK // wide)
+    for lo in range(0, len(x[0]), step):
+        i = slice(lo, lo + step)
+        dx, dy = (np.subtract.outer(a[i], b) for a, b in (x, y))
+        h = np.sqrt(dx * dx + dy * dy)
+        keep = h < top
+        if same:
+            keep &= np.arange(wide) < np.arange(lo, lo + len(h))[:, None]
+        if azimuth is not None:
+            keep &= _along(dx, dy, h, azimuth, tolerance)
+        h, d = h[keep], np.subtract.outer(v[0][i], v[1])[keep]
+        ww = np.multiply.outer(w[0][i], w[1])[keep] if weighed else None
+        at = (h / (top / lags)).astype(np.int64)
+        pairs = np.bincount(at, minlength=lags + 1)
+        d *= d
+        out[0] += pairs
+        out[1] += np.bincount(at, ww, lags + 1) if weighed else pairs
+        out[2] += np.bincount(at, ww * h if weighed else h, lags + 1)
+        out[3] += np.bincount(at, ww * d if weighed else d, lags + 1)
     return out
 
 
+def _along(dx: np.ndarray, dy: np.ndarray, h: np.ndarray, azimuth: float, tolerance: float) -> np.ndarray:
+    """Whether pairs point along the azimuth within the tolerance; angles are taken of those alone that a cosine leaves open."""
+    a = math.radians(azimuth)
+    over = np.abs(dx * math.sin(a) + dy * math.cos(a)) - math.cos(math.radians(min(tolerance, 90.0))) * h
+    keep = over > 0
+    i, j = np.nonzero(np.abs(over) <= 1e-9 * h)
+    turn = np.mod(np.degrees(np.arctan2(dx[i, j], dy[i, j])) - azimuth, 180.0)
+    keep[i, j] = np.minimum(turn, 180.0 - turn) <= tolerance
+    return keep
+
+
 @dataclass(frozen=True)
 class Model:
     """A fitted variogram: gamma(0) = 0, so the nugget is a jump. Ratio and azimuth are of the minor to the major range."""

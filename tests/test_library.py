@@ -5,6 +5,7 @@ import math
 import shutil
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -360,3 +361,23 @@ def test_variogram_sums_equal_all_pairs(spark):
         for b in range(5):
             own = near & (np.floor(h / 5) == b)
             assert got[b].n_pairs == own.sum() and abs(got[b].lag - h[own].mean()) < 1e-9 and abs(got[b].gamma - d[own].mean() / 2) < 1e-9
+
+
+def test_variogram_takes_every_point(spark):
+    """More points than the old sample of 20,000, of which half lie in one corner, so that their tile is dealt to several blocks."""
+    from lithoframe.operators import variogram
+
+    r = np.random.default_rng(10)
+    n = 24_000
+    x, y, v = r.integers(0, 1000, n) * 1.0, r.integers(0, 1000, n) * 1.0, r.normal(size=n)
+    x[::2], y[::2] = x[::2] / 10, y[::2] / 10
+    df = spark.createDataFrame(pd.DataFrame({"id": np.arange(n), "x": x, "y": y, "v": v}))
+    count, far, d2 = np.zeros(3, int), np.zeros(3), np.zeros(3)
+    for i in range(0, n, 500):
+        h = np.hypot(np.subtract.outer(x[i : i + 500], x), np.subtract.outer(y[i : i + 500], y))
+        keep = (h < 9) & (np.arange(n) > np.arange(i, i + len(h))[:, None])
+        at, d = np.floor(h[keep] / 3).astype(int), np.subtract.outer(v[i : i + 500], v)[keep]
+        count, far, d2 = count + np.bincount(at, minlength=3), far + np.bincount(at, h[keep], 3), d2 + np.bincount(at, d * d, 3)
+    got = {g.lag_bin: g for g in variogram.experimental(df, lags=3, max_lag=9.0).collect()}
+    assert [got[b].n_pairs for b in range(3)] == list(count)
+    assert all(abs(got[b].lag - far[b] / count[b]) < 1e-9 and abs(got[b].gamma - d2[b] / count[b] / 2) < 1e-9 for b in range(3))
