@@ -15,9 +15,12 @@ from pyspark.sql import functions as F
 
 from ..errors import require
 from ..functions import wkb
+from ..scratch import cut
 
-#: Segments of a quarter circle; points that one Voronoi or concave hull may take.
+#: Segments of a quarter circle; points that one concave hull may take.
 QUARTER, POINTS_MAX = 8, 200_000
+#: Points that a tile of Voronoi cells is made for, neighbours that are tried first, distances held at once.
+TILE, NEAR, PAIRS = 500, 32, 1 << 21
 
 
 def area(ring: np.ndarray) -> float:
@@ -316,45 +319,138 @@ def concave_hull(layer: DataFrame, ratio: float = 0.3) -> DataFrame:
     return _bounded(layer, "concave hull").withColumn("g", F.lit(0)).groupBy("g").applyInPandas(run, "geometry binary")
 
 
+def _clip_many(ring: np.ndarray, size: np.ndarray, mid: np.ndarray, way: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Open convex rings [rings, vertices, 2], the first size vertices of each, cut to the side of mid that way points away from."""
+    at = np.arange(ring.shape[1])
+    side = ((ring - mid[:, None]) * way[:, None]).sum(axis=2)
+    own = at < size[:, None]
+    cut_ = np.nonzero((own & (side > 0)).any(axis=1))[0]
+    if not len(cut_):
+        return ring, size
+    r, s, own = ring[cut_], side[cut_], own[cut_]
+    after = np.where(at + 1 < size[cut_, None], at + 1, 0)
+    r2, s2 = np.take_along_axis(r, after[:, :, None], 1), np.take_along_axis(s, after, 1)
+    meets = own & (((s < 0) & (s2 > 0)) | ((s > 0) & (s2 < 0)))
+    t = np.divide(s, s - s2, out=np.zeros_like(s), where=meets)
+    both = np.stack([r, r + t[:, :, None] * (r2 - r)], axis=2).reshape(len(r), -1, 2)
+    keep = np.stack([own & (s <= 0), meets], axis=2).reshape(len(r), -1)
+    left = keep.sum(axis=1)
+    size = size.copy()
+    size[cut_] = np.where(left > 2, left, 0)
+    most = max(int(size.max()), 1)
+    out = np.zeros((len(ring), max(most, ring.shape[1]), 2))
+    out[:, : ring.shape[1]] = ring
+    first = np.argsort(~keep, axis=1, kind="stable")[:, :most]
+    out[cut_, : first.shape[1]] = np.take_along_axis(both, first[:, :, None], 1)
+    return out[:, :most], size
+
+
+def _reach(ring: np.ndarray, size: np.ndarray, xy: np.ndarray) -> np.ndarray:
+    """Distances of the rings' vertices from their points, 0 beyond a ring's size."""
+    return np.where(np.arange(ring.shape[1]) < size[:, None], np.hypot(*np.moveaxis(ring - xy[:, None], 2, 0)), 0.0)
+
+
+def _cells(own: np.ndarray, xy: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rings and their sizes of the points own (numbers into xy) among all of xy; size 0 where another lies at the same place."""
+    ring, size = np.repeat(window[None, :-1], len(own), axis=0), np.full(len(own), len(window) - 1)
+    far = np.hypot(*(xy[own, None] - xy[None]).transpose(2, 0, 1))
+    todo, at, k = np.arange(len(own)), 1, min(NEAR, len(xy))
+    while len(todo):
+        near = np.argpartition(far[todo], k - 1, axis=1)[:, :k] if k < len(xy) else np.broadcast_to(np.arange(k), (len(todo), k))
+        d = np.take_along_axis(far[todo], near, 1)
+        order = np.argsort(d, axis=1, kind="stable")
+        near, d = np.take_along_axis(near, order, 1), np.take_along_axis(d, order, 1)
+        if at == 1 and k > 1:
+            size[todo[d[:, 1] == 0]] = 0
+        r, s, c = ring[todo], size[todo], xy[own[todo]]
+        for j in range(at, k):
+            live = np.nonzero((s > 0) & (d[:, j] <= 2 * _reach(r, s, c).max(axis=1)))[0]
+            if not len(live):
+                break
+            q = xy[near[live, j]]
+            got, n = _clip_many(r[live], s[live], (q + c[live]) / 2, (q - c[live]) / d[live, j, None])
+            if got.shape[1] > r.shape[1]:
+                r = np.pad(r, ((0, 0), (0, got.shape[1] - r.shape[1]), (0, 0)))
+            r[live, : got.shape[1]], s[live] = got, n
+        if r.shape[1] > ring.shape[1]:
+            ring = np.pad(ring, ((0, 0), (0, r.shape[1] - ring.shape[1]), (0, 0)))
+        ring[todo, : r.shape[1]], size[todo] = r, s
+        todo = todo[(s > 0) & (d[:, -1] <= 2 * _reach(r, s, c).max(axis=1))] if k < len(xy) else todo[:0]
+        at, k = k, min(8 * k, len(xy))
+    return ring, size
+
+
 def voronoi(points: DataFrame, clip_to: np.ndarray | None = None) -> DataFrame:
     """(id, x, y, geometry): each point's Thiessen cell in a convex window, by default the extent with a margin of 10 % of its
-    larger side. Points at one place have no cell. Every cell is cut by bisectors with its neighbours, nearest first, until
-    none can reach it; cells are independent, so the points are broadcast (a checked number) and cells spread over tasks."""
-    p = points.select("id", "x", "y")
-    n = p.count()
-    require(3 <= n <= POINTS_MAX, f"Voronoi cells need 3 to {POINTS_MAX} points, not {n}")
-    rows = p.toPandas()
-    xy, ids = rows[["x", "y"]].to_numpy(float), rows["id"].to_numpy()
-    lo, hi = xy.min(axis=0), xy.max(axis=0)
-    pad = 0.1 * float((hi - lo).max())
-    box = np.array([[lo[0] - pad, lo[1] - pad], [hi[0] + pad, lo[1] - pad], [hi[0] + pad, hi[1] + pad], [lo[0] - pad, hi[1] + pad], [lo[0] - pad, lo[1] - pad]])
+    larger side. Points at one place have no cell. Every cell is cut by bisectors with its neighbours, nearest first, until none
+    can reach it.
+
+    Points go to tiles, and each tile is solved with the eight around it. What could still cut a cell lies nearer to one of its
+    corners than its own point does: where such a circle leaves those tiles, the points in the circles are looked up and cut it too."""
+    p = points.select("id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    n, x0, x1, y0, y1 = p.agg(F.count("*"), F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    require(n >= 3, f"Voronoi cells need 3 points or more, not {n}")
+    pad = 0.1 * max(x1 - x0, y1 - y0)
+    box = np.array([[x0 - pad, y0 - pad], [x1 + pad, y0 - pad], [x1 + pad, y1 + pad], [x0 - pad, y1 + pad], [x0 - pad, y0 - pad]])
     window = clip_to if clip_to is not None else box
-    shared = points.sparkSession.sparkContext.broadcast((xy, ids, window))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        xy, ids, window = shared.value
+    side = max(math.sqrt((x1 - x0) * (y1 - y0) * TILE / n), max(x1 - x0, y1 - y0) * TILE / n) or 1.0
+    lo, hi = np.array([x0, y0]), np.array([x1, y1])
+    at = lambda c, low: F.floor((F.col(c) - low) / side).cast("long")
+    tiled = p.withColumns({"cx": at("x", x0), "cy": at("y", y0)})
+    about = F.explode(F.array(*[F.struct((F.col("cx") + i).alias("cx"), (F.col("cy") + j).alias("cy"), F.lit(i == j == 0).alias("own")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    kind = points.schema["id"].dataType.simpleString()
+
+    def span(ring: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The tiles, from and to, that the circle of each corner meets; a little wider, as a corner is rounded."""
+        r = np.hypot(*(ring - c).T)[:, None] * (1 + 1e-9)
+        first, last = (np.floor((np.clip(e, lo, hi) - lo) / side).astype(int) for e in (ring - r, ring + r))
+        return first, last
+
+    def solve(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        xy, ids, out = pdf[["x", "y"]].to_numpy(float), pdf["id"].to_numpy(), []
+        home, step = np.nonzero(pdf["own"].to_numpy())[0], max(1, PAIRS // len(pdf))
+        for k in range(0, len(home), step):
+            own = home[k : k + step]
+            for i, r, m in zip(own, *_cells(own, xy, window)):
+                if m:
+                    first, last = span(r[:m], xy[i])
+                    done = (first >= np.array(key) - 1).all() and (last <= np.array(key) + 1).all()
+                    out.append((ids[i], *xy[i], wkb.encode("Polygon", [np.concatenate((r[:m], r[:1]))]), done))
+        return pd.DataFrame(out, columns=["id", "x", "y", "geometry", "done"])
+
+    shape = f"id {kind}, x double, y double, geometry binary"
+    first = cut(tiled.select("id", "x", "y", about.alias("t")).select("t.*", "id", "x", "y").groupBy("cx", "cy").applyInPandas(solve, f"{shape}, done boolean"))
+    left = first.withColumn("cell", F.monotonically_increasing_id()).where("NOT done").drop("done")
+
+    def looked_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for cell, x, y, g in zip(b["cell"], b["x"], b["y"], b["geometry"]):
+                ring, c = np.asarray(wkb.decode(g)[1][0])[:-1], np.array([x, y])
+                r = np.hypot(*(ring - c).T) * (1 + 1e-9)
+                seen = {(i, j) for a, z in zip(*span(ring, c)) for i in range(a[0], z[0] + 1) for j in range(a[1], z[1] + 1)}
+                out += [(cell, i, j, x, y, [float(v) for v in np.column_stack((ring, r)).ravel()]) for i, j in seen]
+            yield pd.DataFrame(out, columns=["cell", "cx", "cy", "px", "py", "circles"])
+
+    circles = left.mapInPandas(looked_up, "cell long, cx long, cy long, px double, py double, circles array<double>")
+    v = lambda k, i: F.get("circles", 3 * k + i)
+    inside_ = F.exists(F.sequence(F.lit(0), (F.size("circles") / 3).cast("int") - 1), lambda k: (F.col("x") - v(k, 0)) * (F.col("x") - v(k, 0)) + (F.col("y") - v(k, 1)) * (F.col("y") - v(k, 1)) < v(k, 2) * v(k, 2))
+    found = circles.join(tiled.select("cx", "cy", "x", "y"), ["cx", "cy"]).where("x <> px OR y <> py").where(inside_)
+    by = found.groupBy("cell").agg(F.collect_list("x").alias("xs"), F.collect_list("y").alias("ys"))
+
+    def again(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for i, x, y in zip(b["id"], b["x"], b["y"]):
-                c = np.array([x, y])
-                d = np.hypot(*(xy - c).T)
-                order = np.argsort(d, kind="stable")
-                if d[order[1]] == 0:
-                    continue
-                ring = window
-                for j in order[1:]:
-                    if not len(ring) or d[j] > 2 * np.hypot(*(ring - c).T).max():
-                        break
-                    m, v = (xy[j] + c) / 2, (xy[j] - c) / d[j]
-                    t = np.array([-v[1], v[0]])
-                    far = 4 * (np.abs(window).max() + d[j] + 1)
-                    half = np.array([m - t * far, m - t * far - v * far * 2, m + t * far - v * far * 2, m + t * far, m - t * far])
-                    ring = clip_convex(ring, half if area(half) > 0 else half[::-1])
-                if len(ring):
-                    out.append((i, x, y, wkb.encode("Polygon", [ring])))
+            for i, x, y, g, xs, ys in zip(b["id"], b["x"], b["y"], b["geometry"], b["xs"], b["ys"]):
+                ring = np.asarray(wkb.decode(g)[1][0])[None, :-1]
+                c, m = np.array([[x, y]]), np.array([ring.shape[1]])
+                for q in np.column_stack((xs, ys)) if xs is not None else ():
+                    ring, m = _clip_many(ring, m, (q + c) / 2, q - c)
+                if m[0]:
+                    out.append((i, x, y, wkb.encode("Polygon", [np.concatenate((ring[0, : m[0]], ring[0, :1]))])))
             yield pd.DataFrame(out, columns=["id", "x", "y", "geometry"])
 
-    return p.repartition(max(1, n // 500 + 1), "id").mapInPandas(run, f"id {points.schema['id'].dataType.simpleString()}, x double, y double, geometry binary")
+    return first.where("done").drop("done").unionAll(left.join(by, "cell", "left").select("id", "x", "y", "geometry", "xs", "ys").mapInPandas(again, shape))
 
 
 def split_polygon(ring: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[np.ndarray]:

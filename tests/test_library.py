@@ -381,3 +381,34 @@ def test_variogram_takes_every_point(spark):
     got = {g.lag_bin: g for g in variogram.experimental(df, lags=3, max_lag=9.0).collect()}
     assert [got[b].n_pairs for b in range(3)] == list(count)
     assert all(abs(got[b].lag - far[b] / count[b]) < 1e-9 and abs(got[b].gamma - d2[b] / count[b] / 2) < 1e-9 for b in range(3))
+
+
+def test_voronoi_of_clusters_equals_half_planes(spark):
+    """Clusters with empty ground between them, a place held twice, and points outside the window; each cell against all others."""
+    r = np.random.default_rng(12)
+    xy = np.concatenate([r.normal((c * 400, c % 2 * 300), 5, (350, 2)) for c in range(5)] + [r.uniform(-200, 1800, (40, 2)), np.array([[700.0, 50.0], [700.0, 50.0]])])
+    window = np.array([[-100.0, -100.0], [1600.0, -100.0], [1600.0, 500.0], [-100.0, 500.0], [-100.0, -100.0]])
+    df = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(xy)], "id long, x double, y double")
+    for at in (window, None):
+        got = {g.id: polygons.area(np.asarray(wkb.decode(bytes(g.geometry))[1][0])) for g in polygons.voronoi(df, at).collect()}
+        assert not {len(xy) - 1, len(xy) - 2} & set(got)
+        lo, hi = xy.min(axis=0), xy.max(axis=0)
+        pad = 0.1 * (hi - lo).max()
+        box = at if at is not None else np.array([lo - pad, [hi[0] + pad, lo[1] - pad], hi + pad, [lo[0] - pad, hi[1] + pad], lo - pad])
+        for i in [*range(0, len(xy) - 2, 37), *range(1750, 1790)]:
+            ring, m, c = box[None, :-1], np.array([4]), xy[i]
+            for q in xy[np.argsort(np.hypot(*(xy - c).T), kind="stable")[1:]]:
+                ring, m = polygons._clip_many(ring, m, (c + q)[None] / 2, (q - c)[None])
+            want = polygons.area(np.concatenate((ring[0, : m[0]], ring[0, :1]))) if m[0] else 0.0
+            assert abs(got.get(i, 0.0) - want) <= 1e-6 * max(want, 1)
+        if at is None:
+            assert sum(got.values()) < abs(polygons.area(box)) * (1 + 1e-9)
+
+
+def test_voronoi_takes_more_points_than_one_task(spark, monkeypatch):
+    monkeypatch.setattr(polygons, "POINTS_MAX", 100)
+    df = spark.range(2500).selectExpr("id", "double(id % 50) + 0.001 * (id * 7919 % 97) AS x", "double(floor(id / 50)) + 0.001 * (id * 104729 % 89) AS y")
+    got = [polygons.area(np.asarray(wkb.decode(bytes(g.geometry))[1][0])) for g in polygons.voronoi(df).collect()]
+    w, h, *lo = df.selectExpr("max(x)-min(x)", "max(y)-min(y)").first()
+    pad = 0.1 * max(w, h)
+    assert len(got) == 2500 and min(got) > 0 and sum(got) == pytest.approx((w + 2 * pad) * (h + 2 * pad), rel=1e-9)
