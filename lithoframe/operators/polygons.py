@@ -10,15 +10,19 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import require
 from ..functions import wkb
 from ..scratch import cut
 
-#: Segments of a quarter circle; points that one concave hull may take.
-QUARTER, POINTS_MAX = 8, 200_000
+#: Segments of a quarter circle.
+QUARTER = 8
+#: Points and edges that one round of a concave hull looks up, the fewest and the most points for an edge; edges that a block of its
+#: ring holds, and what sums of distances may be off by.
+LOOKED_UP, EDGES, FEWEST, MOST, BLOCK, OFF = 1 << 17, 4096, 32, 1024, 128, 1e-9
 #: Points that a tile of Voronoi cells is made for, neighbours that are tried first, distances held at once.
 TILE, NEAR, PAIRS = 500, 32, 1 << 21
 
@@ -256,45 +260,166 @@ def convex_hull(layer: DataFrame, dissolve_all: bool = True) -> DataFrame:
     return _points(layer).mapInPandas(_hull_batches, "x double, y double").coalesce(1).mapInPandas(whole, "geometry binary")
 
 
-def concave(points: np.ndarray, ratio: float) -> np.ndarray:
-    """The outline left after digging from the hull: the longest edge above the ratio's length gives way to the nearest
-    inner point, while edges don't cross points already used."""
-    p = np.unique(points, axis=0)
-    ring = hull(p)
-    if len(p) < 4 or ratio >= 1:
-        return ring
-    where = {tuple(v): i for i, v in enumerate(p)}
-    order = [where[tuple(v)] for v in ring[:-1]]
-    used = set(order)
-    after = {a: b for a, b in zip(order, order[1:] + order[:1])}
-    long = lambda a, b: float(math.hypot(*(p[b] - p[a])))
-    longest = max(long(a, b) for a, b in after.items())
-    limit = ratio * longest
-    heap = [(-long(a, b), a, b) for a, b in after.items()]
-    heapq.heapify(heap)
-    while heap:
-        d, a, b = heapq.heappop(heap)
-        if -d <= limit or after.get(a) != b:
+class _Ring:
+    """A ring's edges in blocks with boxes, so that a triangle meets only the edges about it."""
+
+    def __init__(self, edges: np.ndarray):
+        self.blocks, self.block, self.box = [], {}, np.zeros((0, 4))
+        for k in range(0, len(edges), BLOCK // 2):
+            self._add(edges[k : k + BLOCK // 2])
+
+    def _add(self, edges: np.ndarray) -> None:
+        self.blocks.append({(e[0], e[1]): (e[2], e[3]) for e in edges.tolist()})
+        self.block |= dict.fromkeys(self.blocks[-1], len(self.blocks) - 1)
+        self.box = np.concatenate((self.box, self._box(edges)))
+
+    @staticmethod
+    def _box(edges: np.ndarray) -> np.ndarray:
+        xy = edges.reshape(-1, 2)
+        return np.concatenate((xy.min(axis=0), xy.max(axis=0)))[None]
+
+    def _edges(self, n: int) -> np.ndarray:
+        return np.array([(*i, *j) for i, j in self.blocks[n].items()])
+
+    def after(self, a: tuple) -> tuple | None:
+        return self.blocks[self.block[a]][a]
+
+    def crossed(self, a: tuple, k: tuple, b: tuple) -> bool:
+        """Whether an edge crosses the segment from a or from b to k."""
+        t = np.array([a, k, b])
+        lo, hi = t.min(axis=0), t.max(axis=0)
+        for n in np.nonzero((self.box[:, :2] <= hi).all(axis=1) & (self.box[:, 2:] >= lo).all(axis=1))[0]:
+            e = self._edges(n).reshape(-1, 2, 2)
+            e = e[(e.min(axis=1) <= hi).all(axis=1) & (e.max(axis=1) >= lo).all(axis=1)]
+            if _cross(t[0], t[1], e).any() or _cross(t[2], t[1], e).any():
+                return True
+        return False
+
+    def dig(self, a: tuple, k: tuple, b: tuple) -> None:
+        """The edge from a to b goes through k."""
+        n = self.block[a]
+        self.blocks[n] |= {a: k, k: b}
+        self.block[k] = n
+        self.box[n, :2], self.box[n, 2:] = np.minimum(self.box[n, :2], k), np.maximum(self.box[n, 2:], k)
+        if len(self.blocks[n]) > BLOCK:
+            e = self._edges(n)
+            e = e[np.argsort(e[:, int(np.argmax(self.box[n, 2:] - self.box[n, :2]))], kind="stable")]
+            half = len(e) // 2
+            self.blocks[n] = {(r[0], r[1]): (r[2], r[3]) for r in e[:half].tolist()}
+            self.box[n] = self._box(e[:half])
+            self._add(e[half:])
+
+
+def _sums(xy: np.ndarray, a, b) -> np.ndarray:
+    """Distances from a and b, added."""
+    return np.hypot(*(xy - a).T) + np.hypot(*(xy - b).T)
+
+
+def _nearest(batches: Iterator[np.ndarray], edges: np.ndarray, most: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(edge, rows of sum, x, y): of all batches of points, those with the least distances from an edge's ends added, up to twice the
+    edge's length, by that sum, x and y; the first most of them. Points are tried in the box of the ellipse that still counts."""
+    a, b = edges[:, :2], edges[:, 2:]
+    d = np.hypot(*(b - a).T)
+    way = (b - a) / np.where(d > 0, d, 1)[:, None]
+    mid, bound, best = (a + b) / 2, 2 * d * (1 + OFF), {}
+    for xy in batches:
+        if not len(xy):
             continue
-        free = np.array([i for i in range(len(p)) if i not in used])
-        if not len(free):
-            break
-        da, db = np.hypot(*(p[free] - p[a]).T), np.hypot(*(p[free] - p[b]).T)
-        k = int(free[np.argmin(da + db)])
-        if max(long(a, k), long(k, b)) >= -d:
+        xy = xy[np.argsort(xy[:, 0], kind="stable")]
+        u = bound * (1 + OFF)
+        flat = np.sqrt((u[:, None] * way) ** 2 + np.maximum(u * u - d * d, 0)[:, None] * way[:, ::-1] ** 2) / 2
+        flat += OFF * (np.abs(mid) + u[:, None])
+        lo, hi = mid - flat, mid + flat
+        i, j = np.searchsorted(xy[:, 0], lo[:, 0], "left"), np.searchsorted(xy[:, 0], hi[:, 0], "right")
+        for e in np.nonzero((i < j) & (lo[:, 1] <= xy[:, 1].max()) & (hi[:, 1] >= xy[:, 1].min()))[0]:
+            p = xy[i[e] : j[e]]
+            p = p[(p[:, 1] >= lo[e, 1]) & (p[:, 1] <= hi[e, 1])]
+            s = _sums(p, a[e], b[e])
+            new = np.column_stack((s, p))[s <= bound[e]]
+            if not len(new):
+                continue
+            got = np.concatenate((best[e], new)) if e in best else new
+            best[e] = got[np.lexsort((got[:, 2], got[:, 1], got[:, 0]))[:most]]
+            if len(best[e]) == most:
+                bound[e] = best[e][-1, 0]
+    yield from best.items()
+
+
+def _dig(ring: np.ndarray, count: int, ratio: float, look: Callable[[np.ndarray, int, np.ndarray], dict[int, np.ndarray]]) -> np.ndarray:
+    """The outline left after digging from the hull of count points: the longest edge above the ratio's length gives way to the
+    nearest point that isn't used, while edges don't cross.
+
+    Points are looked up: look(edges, most, used) gives for the edges what _nearest does over all points but the used ones. An edge
+    is dug as long as its nearest point is known for sure. Points that an edge's list doesn't have lie beyond some sum of distances
+    from its ends; from the ends of an edge dug out of it they lie beyond that sum less the other edge's length, so the list serves
+    both. When the longest edge's list is used up, it is looked up again, and with it the next ones that need it."""
+    first = [tuple(v) for v in ring[:-1].tolist()]
+    edges = _Ring(np.column_stack((ring[:-1], ring[1:])))
+    long = lambda a, b: math.hypot(b[0] - a[0], b[1] - a[1])
+    used, near = dict.fromkeys(first), {}
+    heap = [(-long(a, b), a, b) for a, b in zip(first, first[1:] + first[:1])]
+    heapq.heapify(heap)
+    limit = ratio * -heap[0][0]
+
+    def found(d: float, a: tuple, b: tuple) -> tuple | bool | None:
+        """The nearest point of an edge; False where none can be near enough, None where that isn't known."""
+        rows, known = near.get(a, (np.zeros((0, 3)), 0.0))
+        for n in range(len(rows)):
+            if (k := tuple(rows[n, 1:].tolist())) not in used:
+                near[a] = rows[n:], known
+                return k
+        near[a] = rows[:0], known
+        return False if known >= 2 * d * (1 + OFF) else None
+
+    while heap and -heap[0][0] > limit and len(used) < count:
+        d, a, b = heap[0]
+        d, k = -d, found(-d, a, b)
+        if k is None:
+            heap.sort()
+            ask = []
+            for e in heap:
+                if -e[0] <= limit or len(ask) == EDGES:
+                    break
+                if found(-e[0], *e[1:]) is None:
+                    ask.append(e)
+            most = min(MOST, max(FEWEST, LOOKED_UP // len(ask)))
+            got = look(np.array([(*e[1], *e[2]) for e in ask]), most, np.array(list(used)))
+            for n, e in enumerate(ask):
+                rows = got.get(n, np.zeros((0, 3)))
+                near[e[1]] = rows, rows[-1, 0] if len(rows) == most else -2 * e[0] * (1 + OFF)
             continue
-        edges = np.array([[p[i], p[j]] for i, j in after.items() if i not in (a,) and j not in (a,) and i != b])
-        if len(edges) and any(_cross(p[s], p[k], edges).any() for s in (a, b)):
+        heapq.heappop(heap)
+        rows, known = near.pop(a)
+        if k is False or max(long(a, k), long(k, b)) >= d or edges.crossed(a, k, b):
             continue
-        after[a], after[k] = k, b
-        used.add(k)
-        heapq.heappush(heap, (-long(a, k), a, k)), heapq.heappush(heap, (-long(k, b), k, b))
-    start = order[0]
-    walk, at = [start], after[start]
-    while at != start:
+        edges.dig(a, k, b)
+        used[k] = None
+        for s, e, other in ((a, k, long(k, b)), (k, b, long(a, k))):
+            if long(s, e) > limit:
+                sure, own = (known - other) * (1 - OFF) - OFF * other, _sums(rows[:, 1:], s, e)
+                mine = np.column_stack((own, rows[:, 1:]))[own < sure]
+                near[s] = mine[np.lexsort((mine[:, 2], mine[:, 1], mine[:, 0]))], sure
+                heapq.heappush(heap, (-long(s, e), s, e))
+    walk, at = [first[0]], edges.after(first[0])
+    while at != first[0]:
         walk.append(at)
-        at = after[at]
-    return p[[*walk, start]]
+        at = edges.after(at)
+    return np.array([*walk, first[0]])
+
+
+def concave(points: np.ndarray, ratio: float) -> np.ndarray:
+    """The concave outline of points at hand; empty ones, as NaN, have no part in it."""
+    p = np.unique(points[~np.isnan(points).any(axis=1)], axis=0)
+    require(bool(np.isfinite(p).all()), "a concave hull needs finite coordinates")
+    ring = hull(p)
+    if len(p) < 4 or ratio >= 1:
+        return ring
+
+    def look(edges: np.ndarray, most: int, used: np.ndarray) -> dict[int, np.ndarray]:
+        out = set(map(tuple, used.tolist()))
+        return dict(_nearest([np.array([v for v in p.tolist() if tuple(v) not in out]).reshape(-1, 2)], edges, most))
+
+    return _dig(ring, len(p), ratio, look)
 
 
 def _cross(a: np.ndarray, b: np.ndarray, edges: np.ndarray) -> np.ndarray:
@@ -303,20 +428,31 @@ def _cross(a: np.ndarray, b: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return (side(a, b, c) * side(a, b, d) < 0) & (side(c, d, a) * side(c, d, b) < 0)
 
 
-def _bounded(layer: DataFrame, what: str) -> DataFrame:
-    p = _points(layer).distinct()
-    n = p.count()
-    require(n <= POINTS_MAX, f"{n} points are more than {POINTS_MAX} for one {what}; thin the layer or split it first")
-    return p
-
-
 def concave_hull(layer: DataFrame, ratio: float = 0.3) -> DataFrame:
-    require(0 <= ratio <= 1, f"the ratio must be 0 to 1, not {ratio}")
+    """(geometry) one concave outline over all points of the layer, however many; empty ones have no part in it.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"geometry": [wkb.encode("Polygon", [concave(pdf[["x", "y"]].to_numpy(), ratio)])]})
-
-    return _bounded(layer, "concave hull").withColumn("g", F.lit(0)).groupBy("g").applyInPandas(run, "geometry binary")
+    Points stay where Spark holds them; the driver digs the ring, which the one row of the result holds anyway, and each round looks
+    up a bounded number of points nearest to those edges that come next."""
+    require(0 <= ratio <= 1, f"the ratio must be 0 to 1, not {ratio}")
+    spark = layer.sparkSession
+    p = cut(_points(layer).dropna().distinct().sortWithinPartitions("x"))
+    count, far = p.agg(F.count("*"), F.max(F.greatest(F.abs("x"), F.abs("y")))).first()
+    require(count == 0 or far < math.inf, "a concave hull needs finite coordinates")
+    ring = hull(p.mapInPandas(_hull_batches, "x double, y double").repartition(1).mapInPandas(_hull_batches, "x double, y double").toPandas().to_numpy(float))
+
+    def look(edges: np.ndarray, most: int, used: np.ndarray) -> dict[int, np.ndarray]:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for e, rows in _nearest((b[["x", "y"]].to_numpy() for b in batches), edges, most):
+                yield pd.DataFrame({"e": e, "s": rows[:, 0], "x": rows[:, 1], "y": rows[:, 2]})
+
+        free = p.join(F.broadcast(spark.createDataFrame(pa.table({"x": used[:, 0], "y": used[:, 1]}))), ["x", "y"], "left_anti")
+        rank = F.row_number().over(Window.partitionBy("e").orderBy("s", "x", "y"))
+        got = free.mapInPandas(run, "e int, s double, x double, y double").withColumn("n", rank).where(F.col("n") <= most).toPandas().sort_values(["e", "n"])
+        return {int(e): g[["s", "x", "y"]].to_numpy() for e, g in got.groupby("e")}
+
+    if ratio < 1 and count > 3:
+        ring = _dig(ring, count, ratio, look)
+    return spark.createDataFrame([(wkb.encode("Polygon", [ring]),)] if len(ring) else [], "geometry binary")
 
 
 def _clip_many(ring: np.ndarray, size: np.ndarray, mid: np.ndarray, way: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
